@@ -17,6 +17,8 @@ from quarry.llm.structure import analyse
 NOTICE_PAGES, NOTICE_SHARE = 8, 0.01
 #: A masked sentence is a notice everywhere if so many lines have it and most of them are notices of their host.
 KNOWN_LINES, KNOWN_SHARE = 10, 0.5
+#: A sentence that is a notice of so many hosts is one everywhere.
+KNOWN_HOSTS = 3
 
 
 def winning_paths(analysis: DataFrame) -> DataFrame:
@@ -54,9 +56,11 @@ def main_lines(records: DataFrame) -> DataFrame:
         .filter((F.col("n") >= KNOWN_LINES) & (F.col("owned") >= KNOWN_SHARE * F.col("n")))
         .select(F.col("template").alias("known"))
     )
+    common = held.filter("own").groupBy("key").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= KNOWN_HOSTS).select(F.col("key").alias("common"))
     notices = held.filter("own").select(F.col("site").alias("of_site"), F.col("key").alias("of_key"))
     sentences = (
         asked.join(known, F.col("template") == F.col("known"), "left_anti")
+        .join(common, F.col("key") == F.col("common"), "left_anti")
         .join(notices, F.col("site").eqNullSafe(F.col("of_site")) & (F.col("key") == F.col("of_key")), "left_anti")
         .select("record_seq", F.col("no").alias("line_no"))
     )

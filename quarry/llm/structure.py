@@ -211,12 +211,12 @@ def body_lines(page: Page, n: list[int]) -> list[tuple[int, str, int | None, int
     a paragraph that ends like a sentence may still be one of the site's notices.
     """
     out = []
-    for x, nw, prose in zip(page.lines, n, page.is_prose):
+    for x, nw in zip(page.lines, n):
         if not x.path or x.link or x.noscript or ASIDE.search(x.path):
             continue
         if x.tag in PARTS:
             out.append((x.no, x.path, None, None))
-        elif nw >= 3 and (ENDS.search(x.text) or LOST in x.text or (prose and nw >= 12)) and not (nw < 12 and _DATE_LIKE.search(x.text)):
+        elif nw >= 3 and (nw >= 12 or ENDS.search(x.text) or LOST in x.text) and not (nw < 12 and _DATE_LIKE.search(x.text)):
             if nw > NOTICE_WORDS:
                 out.append((x.no, x.path, None, None))
             else:
