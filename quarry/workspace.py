@@ -41,3 +41,18 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Limits of the Arrow batches sent to Python workers where rows hold whole payloads.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of the Python workers of this session: payloads are large, the default counts rows only."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = int(spark.conf.get(key, "0") or 0)
+            if now <= 0 or now > most:
+                spark.conf.set(key, str(most))
+        except Exception:  # a version without this setting, or one that can't be changed
+            pass
