@@ -33,6 +33,8 @@ ENTER, LEAVE = math.log(1e-3), math.log(0.02)
 #: Probability of a bigram that a state has never seen, and of one the clean state has never seen.
 UNSEEN, RARE = 1e-6, 5e-5
 ROUNDS = 12
+#: Runs looked at in one piece, so that memory does not grow with the page.
+PIECE = 500
 #: By how much (in nats) a restored span must read better than the span itself, case set aside.
 SURER = 6.0
 #: Bigrams with a smaller share of all are rare.
@@ -214,19 +216,15 @@ class Model:
         runs = RUN.findall(text)
         if not runs:
             return False
-        steps = []
-        for run in runs:
-            steps.extend(self._steps(run))
-        if not steps:
-            return False
-        a = np.cumsum(np.array(steps), axis=0)
-        low = np.minimum.accumulate(np.vstack([np.zeros(len(STATES)), a])[:-1], axis=0)
-        gain = (a - low).max(0)
-        return bool((gain + ENTER + LEAVE > 0).any())
-
-    def _steps(self, run: str) -> list[np.ndarray]:
-        s = shapes(run)
-        return [self.ratios(s[k : k + 2]) for k in range(len(s) - 1)]
+        sum_, low = np.zeros(len(STATES)), np.zeros(len(STATES))
+        for at in range(0, len(runs), PIECE):
+            steps = [self.ratios(s[k : k + 2]) for s in map(shapes, runs[at : at + PIECE]) for k in range(len(s) - 1)]
+            a = np.cumsum(np.array(steps), axis=0) + sum_
+            lows = np.minimum(np.minimum.accumulate(np.vstack([low, a[:-1]]), axis=0), low)
+            if ((a - lows).max(0) + ENTER + LEAVE > 0).any():
+                return True
+            sum_, low = a[-1], np.minimum(lows[-1], a[-1])
+        return False
 
     def label(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, state) of the spans outside the clean state; state len(STATES) marks lost characters."""

@@ -16,6 +16,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry import workspace
 from quarry.codec.http import decode_content
 
 CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
@@ -42,6 +43,7 @@ def site_of(uri: Column) -> Column:
 
 def page_records(records: DataFrame, *keep: str | Column) -> DataFrame:
     """record_seq, site, content type and codings and payload of all pages, with the columns in keep."""
+    workspace.small_batches(records.sparkSession)
     kind = header("http_headers", "Content-Type")
     mime = F.lower(F.trim(F.split_part(kind, F.lit(";"), F.lit(1))))
     return records.filter((F.col("rec_type") == "response") & (F.length("payload") > 0) & (kind.isNull() | (mime == "") | (mime == "text/html"))).select(
