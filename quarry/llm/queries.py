@@ -35,5 +35,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_lines(table(spark, sf_dir, "archive_records"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found)}
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.subjects import document_subjects
+
+    return document_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.subjects import composition
+
+    return composition(table(spark, sf_dir, "documents"), _subjects(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found, p10_found, p10_composition)}
 ORACLE: dict[str, str] = {}
