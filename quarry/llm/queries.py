@@ -35,6 +35,43 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_lines(table(spark, sf_dir, "archive_records"))
 
 
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.containers import filled
+
+    capacity = table(spark, sf_dir, "container_kinds").filter("container_kind = 'standard'").first().capacity_tokens
+    return filled(table(spark, sf_dir, "documents"), capacity)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.containers import oversized
+
+    return oversized(_filled(spark, sf_dir))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir)
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    each = _filled(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
+    capacity = table(spark, sf_dir, "container_kinds").filter("container_kind = 'standard'").first().capacity_tokens
+    return each.agg(F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), (F.sum("used") / F.count("*") / capacity).alias("filled_share"))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import selection
+
+    return selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import shares
+
+    return shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.subjects import document_subjects
 
@@ -51,5 +88,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition(table(spark, sf_dir, "documents"), _subjects(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found, p10_found, p10_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found, p8_found, p8_containers, p8_usage, p9_selection, p9_shares, p10_found, p10_composition)}
 ORACLE: dict[str, str] = {}
