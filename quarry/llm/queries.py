@@ -23,6 +23,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages(table(spark, sf_dir, "archive_records")).select("record_seq")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.repeated_lines import repeated_lines
+
+    return repeated_lines(table(spark, sf_dir, "archive_records")).select("record_seq", "line_no")
+
+
+def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.repeated_lines import without_repeated
+
+    return without_repeated(table(spark, sf_dir, "archive_records"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.residue import residue_pages
 
@@ -88,5 +100,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition(table(spark, sf_dir, "documents"), _subjects(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found, p8_found, p8_containers, p8_usage, p9_selection, p9_shares, p10_found, p10_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_cleaned, p6_found, p7_found, p8_found, p8_containers, p8_usage, p9_selection, p9_shares, p10_found, p10_composition)}
 ORACLE: dict[str, str] = {}
