@@ -17,6 +17,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_pages(table(spark, sf_dir, "archive_records")).select("record_seq")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "archive_records")).select("accepted_seq", "duplicate_seq")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.spam import spam_pages
 
@@ -100,5 +106,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition(table(spark, sf_dir, "documents"), _subjects(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_cleaned, p6_found, p7_found, p8_found, p8_containers, p8_usage, p9_selection, p9_shares, p10_found, p10_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_cleaned, p6_found, p7_found, p8_found, p8_containers, p8_usage, p9_selection, p9_shares, p10_found, p10_composition)}
 ORACLE: dict[str, str] = {}
