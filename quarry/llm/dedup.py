@@ -1,10 +1,9 @@
 """Deduplicating new batches against everything accepted so far.
 
-The history keeps three tables, to which each batch adds the rows of its accepted records only:
-``exact`` (hash of the payload), ``keys`` (blocking keys: minimum-hash bands of five-word shingles
-within the site) and ``texts`` (the words as codes, for the comparison of candidate pairs, beside
-the fields that are scored). A batch probes them with its own keys; no text of the history is
-parsed again. What is left is compared inside the batch in rounds: in each, the records that lead
+The history is a table to which each batch adds the rows of its accepted records only, with the hash
+of the payload, blocking keys (minimum-hash bands of five-word shingles within the site), the words
+as codes, and the fields that are scored. A batch probes its hashes and keys with its own; no text of
+the history is parsed again. What is left is compared inside the batch in rounds: in each, the records that lead
 all of their keys are accepted, and those that share a key with one of them are compared with it.
 So no key's group is ever paired with itself, and a group of near copies costs one comparison each.
 
@@ -172,17 +171,20 @@ def _levels() -> list[Column]:
 
 
 class History:
-    """Accepted records, kept below a folder; give the same folder again to go on."""
+    """Accepted records, kept below a folder; give the same folder again to go on.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+    One table holds all: of its columns, the hashes answer for exact copies, the keys for blocking,
+    and the words and fields are read for candidate pairs alone.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, batches: list[str] | None = None) -> None:
         self.spark = spark
         self.folder = folder or workspace.fresh_path(spark, "history")
-        self.tables: dict[str, list[str]] = {"exact": [], "keys": [], "texts": []}
+        self.paths = [f"{self.folder}/{b}" for b in batches or []]
         self.counts: dict[tuple[str, int, bool], int] = {}
 
-    def read(self, name: str) -> DataFrame | None:
-        paths = self.tables[name]
-        return self.spark.read.parquet(*paths) if paths else None
+    def accepted(self) -> DataFrame | None:
+        return self.spark.read.schema(ACCEPTED).parquet(*self.paths) if self.paths else None
 
     def weights(self) -> dict[tuple[str, int], float]:
         """Weight of evidence of each field's level, from the pairs decided so far."""
@@ -196,19 +198,19 @@ class History:
         return out
 
     def learn(self, pairs: DataFrame) -> None:
-        for r in pairs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("level")) for f in EVIDENCE))).alias("e"), "same").groupBy("e.field", "e.level", "same").count().collect():  # at most a few dozen rows
+        fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("level")) for f in EVIDENCE))
+        for r in pairs.select(F.explode(fields).alias("e"), "same").groupBy("e.field", "e.level", "same").count().collect():  # at most a few dozen rows
             self.counts[r.field, r.level, r.same] = self.counts.get((r.field, r.level, r.same), 0) + r["count"]
 
     def add(self, accepted: DataFrame, batch: str) -> None:
         """Append the accepted records of a batch."""
-        for name, rows in (
-            ("exact", accepted.select("h1", "h2", "record_seq")),
-            ("keys", accepted.select(F.explode("keys").alias("key"), "record_seq")),
-            ("texts", accepted.select("record_seq", "path", "day", "declared", "words").sortWithinPartitions("record_seq")),
-        ):
-            path = f"{self.folder}/{name}/{batch}"
-            rows.write.option("compression", "zstd").parquet(path)
-            self.tables[name].append(path)
+        path = f"{self.folder}/{batch}"
+        accepted.select(*ACCEPTED_COLUMNS).sortWithinPartitions("record_seq").write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+
+
+ACCEPTED = "record_seq bigint, path string, day string, declared string, h1 bigint, h2 bigint, keys array<bigint>, words binary"
+ACCEPTED_COLUMNS = [x.split()[0] for x in ACCEPTED.split(", ")]
 
 
 def compared(pairs: DataFrame, mine: DataFrame, theirs: DataFrame, history: History) -> DataFrame:
@@ -227,64 +229,72 @@ def compared(pairs: DataFrame, mine: DataFrame, theirs: DataFrame, history: Hist
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(same, pa.bool_())], [*kept.schema.names, "same"])
 
     decided = levels.mapInArrow(part, "seq bigint, other bigint, bands int, path int, declared int, day int, same boolean")
-    out = workspace.written(decided.withColumn("score", score), "pairs")
-    history.learn(out)
-    return out
+    return workspace.written(decided.withColumn("score", score), "pairs")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """seq, accepted_seq, score: the first of the records that a record repeats, and the best score among them."""
+    return pairs.filter("same").groupBy("seq").agg(F.min("other").alias("accepted_seq"), F.max("score").alias("score"))
 
 
 def refuse(batch: DataFrame, history: History, name: str) -> DataFrame:
-    """accepted_seq, duplicate_seq, exact of the refused records of a batch; the accepted ones join the history.
+    """accepted_seq, duplicate_seq, exact, score of the refused records of a batch; the accepted ones join the history.
 
     ``batch`` holds features(), written. Records are taken by record_seq. A record of null site or
     without words can only be an exact copy. Equal record_seq are one record.
     """
     spark = batch.sparkSession
-    answers: list[DataFrame] = []
     # copies of one payload on one site share one fate: the first stands for them
     first = batch.groupBy("h1", "h2", "site").agg(F.min("record_seq").alias("lead"))
-    heads = batch.join(first.select("lead"), F.col("record_seq") == F.col("lead"), "left_semi")
-    open_ = heads
-    old_exact, old_keys, old_texts = (history.read(n) for n in ("exact", "keys", "texts"))
-    if old_exact is not None:
-        seen = old_exact.groupBy("h1", "h2").agg(F.min("record_seq").alias("accepted_seq"))
-        hit = workspace.written(heads.select("h1", "h2", "record_seq").join(seen, ["h1", "h2"]).select("accepted_seq", F.col("record_seq").alias("duplicate_seq"), F.lit(True).alias("exact")), "refused")
-        answers.append(hit)
-        open_ = open_.join(hit, F.col("record_seq") == F.col("duplicate_seq"), "left_anti")
+    open_ = batch.join(first.select("lead"), F.col("record_seq") == F.col("lead"), "left_semi")
+    answers: list[DataFrame] = []
+    learnt: list[DataFrame] = []
+    old = history.accepted()
+    if old is not None:
+        copies = open_.select("h1", "h2", F.col("record_seq").alias("duplicate_seq")).join(old.groupBy("h1", "h2").agg(F.min("record_seq").alias("accepted_seq")), ["h1", "h2"])
         mine = open_.select(F.explode("keys").alias("key"), F.col("record_seq").alias("seq"))
-        pairs = mine.join(old_keys.withColumnRenamed("record_seq", "other"), "key").groupBy("seq", "other").agg(F.count("*").alias("n_keys"))
-        near = compared(pairs, open_, old_texts, history)
-        hit = near.filter("same").groupBy("seq").agg(F.min("other").alias("accepted_seq"), F.collect_set("other").alias("all")).select("accepted_seq", F.col("seq").alias("duplicate_seq"), F.lit(False).alias("exact"))
+        theirs = old.select(F.explode("keys").alias("key"), F.col("record_seq").alias("other"))
+        near = compared(mine.join(theirs, "key").groupBy("seq", "other").agg(F.count("*").alias("n_keys")), open_, old, history)
+        learnt.append(near)
+        exact = copies.select("accepted_seq", "duplicate_seq", F.lit(True).alias("exact"), F.lit(None).cast("double").alias("score"))
+        alike = _best(near).join(copies, F.col("seq") == F.col("duplicate_seq"), "left_anti").select("accepted_seq", F.col("seq").alias("duplicate_seq"), F.lit(False).alias("exact"), "score")
+        hit = workspace.written(exact.unionByName(alike), "refused")
         answers.append(hit)
         open_ = open_.join(hit, F.col("record_seq") == F.col("duplicate_seq"), "left_anti")
     accepted: list[DataFrame] = []
-    open_ = workspace.written(open_.withColumn("all_keys", F.array_append(F.coalesce("keys", F.array().cast("array<bigint>")), F.xxhash64("h1", "h2"))), "open")
+    hash_key = F.array(F.xxhash64("h1", "h2"))
+    open_ = workspace.written(open_.withColumn("all_keys", F.concat(F.coalesce("keys", F.array().cast("array<bigint>")), hash_key)), "open")
     while True:
         keyed = open_.select(F.explode("all_keys").alias("key"), "record_seq")
-        leads = keyed.groupBy("key").agg(F.min("record_seq").alias("lead"), F.count("*").alias("n"))
-        held = workspace.written(keyed.join(leads.filter("n > 1"), "key").groupBy("record_seq", "lead").agg(F.count("*").alias("n_keys")), "leads")
-        behind = held.filter("record_seq <> lead").select("record_seq").distinct()
-        sure = open_.join(behind, "record_seq", "left_anti")
-        accepted.append(sure)
-        if held.isEmpty():
+        leads = keyed.groupBy("key").agg(F.min("record_seq").alias("lead"), F.count("*").alias("n")).filter("n > 1")
+        held, n_held = workspace.counted(keyed.join(leads, "key").filter("record_seq <> lead").groupBy("record_seq", "lead").agg(F.count("*").alias("n_keys")), "leads")
+        if not n_held:
+            accepted.append(open_)
             break
-        pairs = held.filter("record_seq <> lead").join(behind.withColumnRenamed("record_seq", "lead"), "lead", "left_anti").select(F.col("record_seq").alias("seq"), F.col("lead").alias("other"), "n_keys")
+        behind = held.select("record_seq").distinct()
+        accepted.append(open_.join(behind, "record_seq", "left_anti"))
+        pairs = held.join(behind.withColumnRenamed("record_seq", "lead"), "lead", "left_anti").select(F.col("record_seq").alias("seq"), F.col("lead").alias("other"), "n_keys")
+        near = compared(pairs, open_, open_, history)
+        learnt.append(near)
         hashes = open_.select(F.col("record_seq").alias("seq"), "h1", "h2")
         equal = pairs.join(hashes, "seq").join(hashes.withColumnRenamed("seq", "other"), ["other", "h1", "h2"]).groupBy("seq").agg(F.min("other").alias("accepted_seq"))
-        near = compared(pairs, open_, open_, history).filter("same").groupBy("seq").agg(F.min("other").alias("accepted_seq"))
-        hit = equal.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False))).groupBy("seq").agg(F.max_by("accepted_seq", "exact").alias("accepted_seq"), F.max("exact").alias("exact"))
-        hit = workspace.written(hit.select("accepted_seq", F.col("seq").alias("duplicate_seq"), "exact"), "refused")
+        both = equal.select("seq", "accepted_seq", F.lit(None).cast("double").alias("score"), F.lit(True).alias("exact")).unionByName(_best(near).withColumn("exact", F.lit(False)))
+        hit = both.groupBy("seq").agg(F.max_by("accepted_seq", "exact").alias("accepted_seq"), F.max("exact").alias("exact"), F.max("score").alias("score"))
+        hit = workspace.written(hit.select("accepted_seq", F.col("seq").alias("duplicate_seq"), "exact", "score"), "refused")
         answers.append(hit)
-        open_ = workspace.written(open_.join(behind, "record_seq", "left_semi").join(hit, F.col("record_seq") == F.col("duplicate_seq"), "left_anti"), "open")
-        if open_.isEmpty():
+        open_, n_open = workspace.counted(open_.join(behind, "record_seq", "left_semi").join(hit, F.col("record_seq") == F.col("duplicate_seq"), "left_anti"), "open")
+        if not n_open:
             break
     taken = accepted[0]
     for more in accepted[1:]:
         taken = taken.unionByName(more)
-    history.add(workspace.written(taken.drop("all_keys"), "accepted"), name)
-    refused = answers[0] if answers else spark.createDataFrame([], "accepted_seq bigint, duplicate_seq bigint, exact boolean")
+    history.add(taken, name)
+    if learnt:
+        history.learn(learnt[0] if len(learnt) == 1 else learnt[0].unionByName(learnt[1]))
+    refused = answers[0] if answers else spark.createDataFrame([], "accepted_seq bigint, duplicate_seq bigint, exact boolean, score double")
     for more in answers[1:]:
         refused = refused.unionByName(more)
-    return workspace.written(with_copies(batch, refused), "refused")
+    return with_copies(batch, refused)
 
 
 def with_copies(batch: DataFrame, refused: DataFrame) -> DataFrame:
@@ -292,12 +302,12 @@ def with_copies(batch: DataFrame, refused: DataFrame) -> DataFrame:
     first = batch.groupBy("h1", "h2", F.coalesce("site", F.lit("")).alias("at")).agg(F.min("record_seq").alias("lead"))
     rest = batch.select("record_seq", "h1", "h2", F.coalesce("site", F.lit("")).alias("at")).join(first, ["h1", "h2", "at"]).filter("record_seq <> lead")
     of_head = refused.select(F.col("duplicate_seq").alias("lead"), F.col("accepted_seq").alias("of_lead"))
-    copies = rest.join(of_head, "lead", "left").select(F.coalesce("of_lead", "lead").alias("accepted_seq"), F.col("record_seq").alias("duplicate_seq"), F.col("of_lead").isNull().alias("exact"))
+    copies = rest.join(of_head, "lead", "left").select(F.coalesce("of_lead", "lead").alias("accepted_seq"), F.col("record_seq").alias("duplicate_seq"), F.col("of_lead").isNull().alias("exact"), F.lit(None).cast("double").alias("score"))
     return refused.unionByName(copies)
 
 
 def deduplicated(records: DataFrame, history: History | None = None) -> DataFrame:
-    """accepted_seq, duplicate_seq, exact over all batches of records, one after the other.
+    """accepted_seq, duplicate_seq, exact, score over all batches of records, one after the other.
 
     Records without payload, of other types, or of an equal record_seq are left out; a null batch
     comes first. Extra columns are ignored.
@@ -311,7 +321,7 @@ def deduplicated(records: DataFrame, history: History | None = None) -> DataFram
     for (number,) in everything.select("batch_no").distinct().orderBy("batch_no").collect():  # a row for each batch
         refused = refuse(everything.filter(F.col("batch_no") == number), history, f"batch-{number}")
         found = refused if found is None else found.unionByName(refused)
-    return found if found is not None else spark.createDataFrame([], "accepted_seq bigint, duplicate_seq bigint, exact boolean")
+    return found if found is not None else spark.createDataFrame([], "accepted_seq bigint, duplicate_seq bigint, exact boolean, score double")
 
 
 def merged(representatives: DataFrame, links: DataFrame) -> DataFrame:
