@@ -11,6 +11,8 @@ from quarry.llm.pages import CODE, TAG, raw_lines
 OPEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>")
 CONTAINERS = frozenset("div section article main td th tr table tbody aside nav header footer center ul ol form dl fieldset".split())
 _ATTRIBUTE = re.compile(r"""\b(id|class)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: 2 for containers, 1 for noscript, 0 for other elements, by name as it was met.
+_KINDS: dict[str, int] = {}
 _WS = re.compile(r"\s+")
 _LINK = re.compile(r"\A(?:<[^aA/][^<>]*>\s*)*<a\b[^<>]*>.*</a\s*>(?:\s*</[^<>]*>)*\s*\Z", re.I | re.S)
 _ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.I | re.S)
@@ -57,13 +59,18 @@ def lines_of(content: str) -> list[Line]:
         tag = ""
         noscript = False
         for closing, name, attributes in OPEN.findall(raw):
-            name = name.lower()
+            kind = _KINDS.get(name)
+            if kind is None:
+                name = name.lower()
+                kind = 2 if name in CONTAINERS else 1 if name == "noscript" else 0
+                if len(_KINDS) < 1000:
+                    _KINDS[name] = kind
             if not tag and not closing:
-                tag = name
-            if name == "noscript":
-                noscript = True
-            if name not in CONTAINERS:
+                tag = name.lower()
+            if kind < 2:
+                noscript |= kind == 1
                 continue
+            name = name.lower()
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
@@ -80,6 +87,6 @@ def lines_of(content: str) -> list[Line]:
         bare = text
         if "<code" in raw or "<CODE" in raw:
             bare = " ".join(html.unescape(TAG.sub(" ", CODE.sub(" ", raw))).split())
-        link = ("<a" in raw or "<A" in raw) and not TAG.sub("", _ANCHOR.sub("", raw)).strip(" \t\r|›»·,")
+        link = ("<a " in raw or "<A " in raw) and not TAG.sub("", _ANCHOR.sub("", raw)).strip(" \t\r|›»·,")
         out.append(Line(no, text, bare, path, box, tag, link, noscript))
     return out

@@ -67,13 +67,14 @@ def count_trigrams(pages: DataFrame) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N**3, np.int64)
         for batch in batches:
-            for content in contents(batch):
-                taught = [x.bare for x in lines_of(content) if not x.link and len(x.bare) > 40 and ENDS.search(x.bare)]
-                codes, begins, n, f = line_symbols(taught)
-                ends = np.append(begins[1:], len(codes))
-                for b, e, nw, nf in zip(begins, ends, n, f):
-                    if nw >= TAUGHT_WORDS and nf >= TAUGHT_SHARE * nw:
-                        np.add.at(total, codes[b : e - 2], 1)
+            taught = [x.bare for content in contents(batch) for x in lines_of(content) if not x.link and len(x.bare) > 40 and ENDS.search(x.bare)]
+            codes, begins, n, f = line_symbols(taught)
+            if not len(begins):
+                continue
+            ends = np.append(begins[1:], len(codes))
+            counted = np.repeat((n >= TAUGHT_WORDS) & (f >= TAUGHT_SHARE * n), ends - begins)
+            counted[ends - 1] = counted[ends - 2] = False  # the start marks of the next line
+            total += np.bincount(codes[counted], minlength=N**3)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"code": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
@@ -140,8 +141,7 @@ class Page:
             sums = np.add.reduceat(lp, begins)
             ends = np.append(begins[1:], len(codes))
             lengths = np.maximum(ends - begins - 2, 1)
-            for k in range(len(begins) - 1):
-                sums[k] -= lp[ends[k] - 2] + lp[ends[k] - 1]
+            sums[:-1] -= (lp[ends - 2] + lp[ends - 1])[:-1]
             perplexity = np.exp(-sums / lengths)
             fluent = (n >= LEAST_WORDS) & (f >= FUNCTION_SHARE * n) & (perplexity <= MOST_PERPLEXING)
         else:
