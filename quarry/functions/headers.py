@@ -49,24 +49,34 @@ def add_header(headers: Column | str, name: Column | str, value: Column | str) -
     return F.concat(_headers(headers), F.array(header(name, value)))
 
 
-def _last(headers: Column | str, name: Column | str) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _last(headers: Column, name: Column | str) -> Column:
     """Place from 0 of the last header of a name; -1 if absent."""
-    same = F.transform(_headers(headers), _is(name))
-    return F.coalesce(F.size(same) - F.nullif(F.array_position(F.reverse(same), True), F.lit(0)), F.lit(-1))
+    same = _is(name)
+    return F.coalesce(F.array_max(F.transform(headers, lambda h, i: F.when(same(h), i).otherwise(-1))), F.lit(-1))
 
 
 def replace_header(headers: Column | str, name: Column | str, value: Column | str) -> Column:
     """The last header of a name with another value, its name as it was spelled; appended if absent."""
-    at = _last(headers, name)
     new = _text(value).cast("string")
-    replaced = F.transform(_headers(headers), lambda h, i: F.when(i == at, F.struct(h["name"].alias("name"), new.alias("value"))).otherwise(h))
-    return F.when(at < 0, add_header(headers, name, value)).otherwise(replaced)
+
+    def replaced(h: Column) -> Column:
+        def at(k: Column) -> Column:
+            kept = F.transform(h, lambda x, i: F.when(i == k, F.struct(x["name"].alias("name"), new.alias("value"))).otherwise(x))
+            return F.when(k < 0, F.concat(h, F.array(header(name, value)))).otherwise(kept)
+
+        return _let(_last(h, name), at)
+
+    return _let(_headers(headers), replaced)
 
 
 def remove_header(headers: Column | str, name: Column | str) -> Column:
     """Without the last header of a name."""
-    at = _last(headers, name)
-    return F.filter(_headers(headers), lambda h, i: i != at)
+    return _let(_headers(headers), lambda h: _let(_last(h, name), lambda k: F.filter(h, lambda _, i: i != k)))
 
 
 def filter_headers(headers: Column | str, keep: Callable[[Column], Column]) -> Column:
