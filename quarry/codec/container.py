@@ -167,7 +167,8 @@ def opened(file: BinaryIO, start: int, joined: bool = False) -> Plain:
 def read_records(file: BinaryIO, options: Options = Options(), start: int = 0, limit: int | None = None, ids: Any = new_id) -> Iterator[dict[str, Any]]:
     """Rows of the records from the current place on, which is the offset ``start`` of the file.
 
-    The last row before an error has only ``error``; the caller decides whether to raise. Rows come
+    A row with ``error`` has no other fields of a record; where nothing can be read on, it is the
+    last one. The caller decides whether to raise. Rows come
     one by one, with at most one payload in memory.
     """
     reader = opened(file, start, options.all_members)
@@ -201,7 +202,7 @@ def read_records(file: BinaryIO, options: Options = Options(), start: int = 0, l
             end = reader.tell() - len(line or b"")
         if row is not None:
             length = end - offset if reader.compressed else end - offset - blank
-            yield row | {"record_id_seq": seq, "offset": offset, "record_length": length, "warnings": warnings, "error": None}
+            yield {"error": None} | row | {"record_id_seq": seq, "offset": offset, "record_length": length, "warnings": warnings}
             seq += 1
         if reader.compressed:
             if line is None:
@@ -258,7 +259,7 @@ def _record(reader: Plain, line: bytes | None, known: str | None, options: Optio
     at = 0
     if options.parse_http and length != 0 and rec_type in WITH_HTTP:
         if uri is None:
-            return _failed(form, rec_type, block.protocol, headers, "no WARC-Target-URI"), form
+            return {"error": f"{rec_type} record without WARC-Target-URI"}, form
         if uri.startswith(("http:", "https:")):
             lines = _Lines(body)
             words = (HTTP_VERBS if rec_type == "request" else HTTP_VERSIONS) if options.verify_http else None
@@ -280,7 +281,7 @@ def _record(reader: Plain, line: bytes | None, known: str | None, options: Optio
         digest = verdict(body, body[at:], *declared_, rec_type, get(headers, "WARC-Segment-Number"), complete) if any(declared_) and length is not None else (None, [])
     payload = body[at:] if at else body
     if len(payload) > options.max_payload:
-        return _failed(form, rec_type, block.protocol, headers, f"payload of {len(payload)} bytes is larger than max_payload"), form
+        return {"error": f"payload of {len(payload)} bytes is larger than max_payload"}, form
     return {
         "format": "warc" if form == "arc2warc" else form,
         "rec_type": rec_type,
@@ -297,10 +298,6 @@ def _record(reader: Plain, line: bytes | None, known: str | None, options: Optio
     }, form if not options.arc2warc else known
 
 
-def _failed(form: str, rec_type: str | None, protocol: str, headers: list[Header], error: str) -> dict[str, Any]:
-    return {"format": form, "rec_type": rec_type, "rec_protocol": protocol, "rec_headers": headers, "warnings": [error]}
-
-
 class _Lines:
     def __init__(self, data: bytes) -> None:
         self.data, self.at = data, 0

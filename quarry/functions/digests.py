@@ -62,7 +62,7 @@ def digest_matches(declared: Column | str, data: Column | str) -> Column:
     width = F.ceil(size / 5) * 8
     same = (
         F.when(F.length(value) > width, F.lower(value) == hashed)
-        .when(F.length(value) < width, F.translate(value, "-_", "+/") == F.base64(F.unhex(hashed)))
+        .when(F.length(value) < width, F.translate(value, "-_", "+/") == F.translate(F.base64(F.unhex(hashed)), "\r\n", ""))
         .otherwise(value == _base32(hashed, size))
     )
     return F.when((F.instr(text, ":") > 0) & d.isNotNull() & hashed.isNotNull(), same)

@@ -20,7 +20,7 @@ from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import CaseInsensitiveDict, DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import CaseInsensitiveDict, DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, WriterCommitMessage
 
 from quarry.codec.container import ArchiveError, Options, read_records
 from quarry.codec.serialize import gzip_member, serialized
@@ -170,33 +170,26 @@ class ArchiveReader(DataSourceReader):
         return arrow_batches(rows_of_file(partition.path, reading(self.options), failfast, policy, partition.start, partition.limit))
 
 
-class ArchiveStreamReader(SimpleDataSourceStreamReader):
-    """New files of a folder, a few at a time. Meant for small ones; use quarry.streaming for large archives."""
+class ArchiveStreamReader(DataSourceStreamReader):
+    """New files of a folder in the order they came, each a task; the offset is how many there were."""
 
     def __init__(self, options: CaseInsensitiveDict) -> None:
         self.options = dict(options)
-        self.most = int(self.options.get("maxFilesPerTrigger", 16))
 
     def initialOffset(self) -> dict:
-        return {"done": 0}
+        return {"files": 0}
 
-    def _files(self) -> list[str]:
-        files = files_below(self.options["path"])
-        return sorted(files, key=lambda f: (os.stat(f).st_mtime_ns, f))
+    def latestOffset(self) -> dict:
+        return {"files": len(self._files())}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = self._files()[start["done"] : start["done"] + self.most]
-        end = {"done": start["done"] + len(files)}
-        return self._rows(files), end
+    def _files(self) -> list[str]:
+        return sorted(files_below(self.options["path"]), key=lambda f: (os.stat(f).st_mtime_ns, f))
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(self._files()[start["done"] : end["done"]])
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        return [FilePartition(f) for f in self._files()[start["files"] : end["files"]]]
 
-    def _rows(self, files: list[str]) -> Iterator[tuple]:
-        for f in files:
-            for row in rows_of_file(f, reading(self.options)):
-                row["warnings"] = row.get("warnings") or []
-                yield tuple(row.get(c) for c in COLUMNS)
+    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+        return arrow_batches(rows_of_file(partition.path, reading(self.options)))
 
 
 class Written(WriterCommitMessage):
@@ -269,7 +262,7 @@ class WebArchive(DataSource):
     def reader(self, schema: Any) -> DataSourceReader:
         return ArchiveReader(self.options)
 
-    def simpleStreamReader(self, schema: Any) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: Any) -> DataSourceStreamReader:
         return ArchiveStreamReader(self.options)
 
     def writer(self, schema: Any, overwrite: bool) -> DataSourceArrowWriter:
