@@ -220,16 +220,15 @@ def compared(pairs: DataFrame, mine: DataFrame, theirs: DataFrame, history: Hist
     b = theirs.select(F.col("record_seq").alias("other"), *(F.col(f).alias(f"b_{f}") for f in fields))
     weight = history.weights()
     levels = pairs.join(a, "seq").join(b, "other").select("seq", "other", *_levels(), "a_words", "b_words")
-    score = sum((F.element_at(F.array(*(F.lit(weight[f, k]) for k in range(4))), F.col(f) + 1) for f in EVIDENCE), F.lit(0.0))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches:  # weights are used here and not in an expression, whose code would be compiled anew for each batch
             same = [same_words(x, y) for x, y in columns(batch, "a_words", "b_words")]
+            score = [sum(weight[f, k] for f, k in zip(EVIDENCE, levels_)) for levels_ in columns(batch, *EVIDENCE)]
             kept = batch.drop_columns(["a_words", "b_words"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(same, pa.bool_())], [*kept.schema.names, "same"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(same, pa.bool_()), pa.array(score, pa.float64())], [*kept.schema.names, "same", "score"])
 
-    decided = levels.mapInArrow(part, "seq bigint, other bigint, bands int, path int, declared int, day int, same boolean")
-    return workspace.written(decided.withColumn("score", score), "pairs")
+    return workspace.written(levels.mapInArrow(part, "seq bigint, other bigint, bands int, path int, declared int, day int, same boolean, score double"), "pairs")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -291,10 +290,10 @@ def refuse(batch: DataFrame, history: History, name: str) -> DataFrame:
     history.add(taken, name)
     if learnt:
         history.learn(learnt[0] if len(learnt) == 1 else learnt[0].unionByName(learnt[1]))
-    refused = answers[0] if answers else spark.createDataFrame([], "accepted_seq bigint, duplicate_seq bigint, exact boolean, score double")
+    refused = answers[0] if answers else spark.createDataFrame([], REFUSED)
     for more in answers[1:]:
         refused = refused.unionByName(more)
-    return with_copies(batch, refused)
+    return workspace.written(with_copies(batch, refused), "refused")
 
 
 def with_copies(batch: DataFrame, refused: DataFrame) -> DataFrame:
@@ -306,6 +305,9 @@ def with_copies(batch: DataFrame, refused: DataFrame) -> DataFrame:
     return refused.unionByName(copies)
 
 
+REFUSED = "accepted_seq bigint, duplicate_seq bigint, exact boolean, score double"
+
+
 def deduplicated(records: DataFrame, history: History | None = None) -> DataFrame:
     """accepted_seq, duplicate_seq, exact, score over all batches of records, one after the other.
 
@@ -317,11 +319,10 @@ def deduplicated(records: DataFrame, history: History | None = None) -> DataFram
     path = workspace.fresh_path(spark, "features")
     features(records).write.option("compression", "zstd").partitionBy("batch_no").parquet(path)
     everything = spark.read.schema(FEATURES).parquet(path)
-    found: DataFrame | None = None
+    files: list[str] = []
     for (number,) in everything.select("batch_no").distinct().orderBy("batch_no").collect():  # a row for each batch
-        refused = refuse(everything.filter(F.col("batch_no") == number), history, f"batch-{number}")
-        found = refused if found is None else found.unionByName(refused)
-    return found if found is not None else spark.createDataFrame([], "accepted_seq bigint, duplicate_seq bigint, exact boolean, score double")
+        files += refuse(everything.filter(F.col("batch_no") == number), history, f"batch-{number}").inputFiles()
+    return spark.read.schema(REFUSED).parquet(*files) if files else spark.createDataFrame([], REFUSED)
 
 
 def merged(representatives: DataFrame, links: DataFrame) -> DataFrame:
