@@ -25,6 +25,7 @@ TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![^>]*>")
 SCRIPT = re.compile(r"<script\b.*?(?:</script\s*>|\Z)", re.I | re.S)
 CODE = re.compile(r"<code\b.*?(?:</code\s*>|\Z)", re.I | re.S)
 BODY = re.compile(r"<body\b", re.I)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 #: Bytes in which a page may declare its charset.
 DECLARED_WITHIN = 4096
 
@@ -86,18 +87,17 @@ def _blank(match: re.Match) -> str:
 def raw_lines(content: str) -> Iterator[tuple[int, str]]:
     """(line_no, markup) of the lines after that with <body; script elements are blanked out."""
     at = BODY.search(content)
-    start = 0
-    if at:
-        start = content.find("\n", at.start()) + 1
-        if start == 0:
-            return
+    start = at.start() if at else 0
     first = content.count("\n", 0, start) + 1
     rest = content[start:]
     if "<script" in rest or "<SCRIPT" in rest or "<Script" in rest:
         rest = SCRIPT.sub(_blank, rest)
     if "<!--" in rest:
-        rest = re.sub(r"<!--.*?(?:-->|\Z)", _blank, rest, flags=re.S)
-    for k, line in enumerate(rest.split("\n"), first):
+        rest = COMMENT.sub(_blank, rest)
+    lines = enumerate(rest.split("\n"), first)
+    if at:
+        next(lines)
+    for k, line in lines:
         if line:
             yield k, line
 
