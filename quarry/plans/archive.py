@@ -451,3 +451,61 @@ def bad_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     declared = F.when(k % 4 == 0, F.concat(F.lit("-"), k)).when(k % 4 == 1, F.concat(k, F.lit("x"))).when(k % 4 == 2, k.cast("string"))
     return framed_length(table(spark, sf_dir, "supplier").select("s_suppkey", declared.alias("declared")), "s_suppkey", "declared")
+
+
+@query("""SELECT event_id, 'response' AS type, 'http://a.example/x y/' || event_id AS uri, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS date, CAST(strlen(event_type) AS BIGINT) AS payload_length, event_type AS payload FROM events""")
+def scan_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ARC files of a hundred records each, read as WARC records."""
+    from quarry.streaming.archives import parsed_files
+
+    k = F.col("event_id")
+    body = F.concat(F.lit("HTTP/1.0 200 OK\nContent-Type: text/plain\n\n"), F.col("event_type"))
+    line = F.concat_ws(" ", F.concat(F.lit("http://a.example/x y/"), k), F.lit("192.0.2.1"), D.time_to_timestamp(F.col("ts").cast("timestamp_ntz")), F.lit("text/plain"), F.octet_length(body).cast("string"))
+    rows = table(spark, sf_dir, "events").select(F.floor(k / 100).alias("file"), k.alias("k"), F.concat(line, F.lit("\n"), body, F.lit("\n")).alias("record"))
+    top = F.lit("filedesc://x.arc 192.0.2.1 20200101000000 text/plain 23\n1 0 Example\nURL Length\n\n")
+    files = rows.groupBy("file").agg(F.concat(top, F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "record"))), lambda r: r["record"]), "")).cast("binary").alias("content"))  # a hundred records a file
+    got = parsed_files(files.select(F.concat(F.col("file").cast("string"), F.lit(".arc")).alias("path"), "content"), arc2warc=True).filter("rec_type = 'response'")
+    uri = H.get_header("rec_headers", "WARC-Target-URI")
+    return got.select(F.substring_index(uri, "/", -1).cast("bigint").alias("event_id"), F.col("rec_type").alias("type"), with_blanks(uri).alias("uri"), H.get_header("rec_headers", "WARC-Date").alias("date"), "payload_length", F.col("payload").cast("string").alias("payload"))
+
+
+def with_blanks(uri: Column) -> Column:
+    """Blanks of a repaired URI again."""
+    return F.replace(uri, F.lit("%20"), F.lit(" "))
+
+
+@query(f"""SELECT date_trunc('hour', TRY_CAST(replace({_header('WARC-Date')}, 'Z', '') AS TIMESTAMP)) AS start, rec_type, count(*) AS n FROM archive_records
+           WHERE TRY_CAST(replace({_header('WARC-Date')}, 'Z', '') AS TIMESTAMP) IS NOT NULL GROUP BY ALL""")
+def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures by the hour of their date, counted over a stream of the record table."""
+    from quarry.streaming.archives import captures_by_hour
+
+    rows = records(spark, sf_dir)
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/archive_records.parque[t]")
+    out, at = workspace.fresh_path(spark, "hours"), workspace.fresh_path(spark, "progress")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    q = captures_by_hour(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("start timestamp, rec_type string, n bigint").parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT doc_id, 'revisit' AS type, 'http://d.example/' || doc_id AS uri, 'http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' AS profile, 'http://d.example/0' AS refers_to,
+          '2019-01-01T00:00:00Z' AS refers_date, 'sha1:X' AS digest, 'application/http; msgtype=response' AS content_type, CAST(0 AS BIGINT) AS length FROM documents""")
+def build_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    given = F.array(*A.revisit_headers(F.lit("sha1:X"), F.lit("http://d.example/0"), F.lit("2019-01-01T00:00:00Z"), "WARC/1.1"))
+    built = A.build_records(docs, F.concat(F.lit("http://d.example/"), "doc_id"), "revisit", date=F.lit("2020-01-01T00:00:00Z"), identity=F.col("doc_id"), warc_headers=given, version="WARC/1.1", keep=["doc_id"])
+    got = {"type": "WARC-Type", "uri": "WARC-Target-URI", "profile": "WARC-Profile", "refers_to": "WARC-Refers-To-Target-URI", "refers_date": "WARC-Refers-To-Date", "digest": "WARC-Payload-Digest"}
+    return built.select("doc_id", *(H.get_header("rec_headers", n).alias(a) for a, n in got.items()), "content_type", "length")
+
+
+@query(f"""SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 4 > 0 AS longer, md5('WARC/1.0' || chr(13) || chr(10)) AS top FROM documents""")
+def serialize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as bytes, and compressed and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    built = A.build_records(docs, F.concat(F.lit("http://d.example/"), "doc_id"), "resource", F.col("text"), F.lit("2020-01-01T00:00:00Z"), F.col("doc_id"), F.lit("text/plain"), keep=["doc_id"])
+    data = A.serialized_records(built, keep=["doc_id", "payload"])
+    return data.select("doc_id", (F.octet_length("data") > F.octet_length("payload") + 4).alias("longer"), F.md5(F.substring("data", 1, 10)).alias("top"))
