@@ -39,7 +39,17 @@ REVISIT_PROFILES = {
 
 
 def read(spark: SparkSession, path: str | Sequence[str], **options: object) -> DataFrame:
-    """Records of archive files; see quarry.sources.webarchive for the options."""
+    """Records of archive files; see quarry.sources.webarchive for the options.
+
+    Files that the workers can open (local or mounted ones) are read in a stream. Those of other file
+    systems that Hadoop knows come through the binaryFile source, so each must be below 2 GB.
+    """
+    first = path if isinstance(path, str) else path[0]
+    if "://" in first and not first.startswith("file:"):
+        from quarry.streaming.archives import parsed_files
+
+        files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
+        return parsed_files(files, **options)
     register(spark)
     paths = path if isinstance(path, str) else ",".join(path)
     return spark.read.format("webarchive").options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}).load(paths)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """An unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all intermediate tables this process made; results that still read them must have been stored."""
+    n = len(_made)
+    while _made:
+        remove(spark, _made.pop())
+    return n
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -40,10 +53,16 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """written(), and the number of rows, counted while writing."""
+    out, counts = observed(df, name, n=F.count(F.lit(1)))
+    return out, counts["n"]
+
+
+def observed(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """written(), and aggregates over its rows, computed while writing."""
     seen = Observation()
     path = fresh_path(df.sparkSession, name)
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+    df.observe(seen, *(a.alias(k) for k, a in aggregates.items())).write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
 def remove(spark: SparkSession, path: str) -> None:

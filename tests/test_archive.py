@@ -212,3 +212,28 @@ def test_command_line(spark, folder, capsysbinary, tmp_path):
     assert b"No Errors Found!" in capsysbinary.readouterr().out
     row = next(read_records(io.BytesIO((tmp_path / "r.warc.gz").read_bytes())))
     assert serialized(row).startswith(b"WARC/1.0\r\nWARC-Type: response")
+
+
+def test_bytes_in_a_table(spark, folder):
+    """Archives as rows of bytes, as they come from file systems the workers can't open themselves."""
+    from quarry.streaming.archives import parsed_files
+
+    files = spark.read.format("binaryFile").load("file://" + str(folder / "in"))
+    rows = parsed_files(files, payload="none")
+    assert rows.count() == 8 and rows.filter("payload IS NOT NULL").count() == 0
+
+
+def test_pushdown_reaches_the_plan(spark, folder):
+    plan = A.read(spark, str(folder / "in")).filter("offset = 0")._jdf.queryExecution().executedPlan().toString()
+    assert "webarchive" in plan
+
+
+def test_workspace(spark):
+    from quarry import workspace
+
+    df, counts = workspace.observed(spark.range(10), "x", n=F.count(F.lit(1)), top=F.max("id"))
+    assert df.count() == 10 and counts == {"n": 10, "top": 9}
+    kept = workspace.written(spark.range(3), "y")
+    assert kept.count() == 3 and workspace.clear(spark) >= 2
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0] if kept.inputFiles() else "gone").count()
