@@ -104,6 +104,16 @@ def reading(text: str, model: np.ndarray) -> bool:
     return False
 
 
+#: States whose inverse transform hardly any text passes that was not read wrongly.
+_SURE = [s for s in STATES if s[0][0] == "utf-8"]
+
+
+def misread(text: str) -> bool:
+    """Whether most of a line's runs outside ASCII are UTF-8 that was read as something else."""
+    runs = HIGH.findall(text)[:20]
+    return len(runs) >= 3 and any(sum(restored(r, state) is not None for r in runs) >= 0.7 * len(runs) for state in _SURE)
+
+
 def _perplexity(ids: list[int], model: np.ndarray) -> float:
     a = np.array([START, START, *ids], np.int64)
     return float(np.exp(-model[(a[:-2] * N + a[1:-1]) * N + a[2:]].mean()))
@@ -176,6 +186,7 @@ class Page:
         """On pages with little prose: set notices and filler apart, undo wrong readings."""
         outside = sum(nw for x, nw in zip(self.lines, n) if not x.noscript)
         is_prose = list(self.is_prose)
+        beyond = 0
         for k, x in enumerate(self.lines):
             if x.link:
                 continue
@@ -186,10 +197,14 @@ class Page:
             else:
                 if not is_prose[k] and n[k] >= 6 and not x.bare.isascii():
                     is_prose[k] = reading(x.bare, model)
+                    if not is_prose[k] and misread(x.bare):
+                        beyond += n[k]
+                        n[k] = 0
                 continue
             is_prose[k] = False
             n[k] = 0
         self._count(n, is_prose)
+        self.damaged += beyond
 
     @property
     def has_article(self) -> bool:
