@@ -8,9 +8,13 @@ is learnt of them on hosts with many pages (their masked form) also holds for ho
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.pages import columns, contents, page_records, text_lines
 from quarry.llm.structure import analyse
 
 #: A sentence is a notice if so many pages of its host hold it, and such a share of them.
@@ -65,3 +69,19 @@ def main_lines(records: DataFrame) -> DataFrame:
         .select("record_seq", F.col("no").alias("line_no"))
     )
     return plain.unionByName(sentences)
+
+
+def main_texts(records: DataFrame) -> DataFrame:
+    """record_seq, text of the main body of each page that has one; rows of an equal record_seq must be equal."""
+    kept = main_lines(records).groupBy("record_seq").agg(F.collect_set("line_no").alias("kept"))  # lines of one page
+    pages = page_records(records).join(kept, "record_seq")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for (seq, lines), content in zip(columns(batch, "record_seq", "kept"), contents(batch)):
+                wanted = set(lines)
+                rows.append({"record_seq": seq, "text": "\n".join(t for no, t in text_lines(content) if no in wanted)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("record_seq", pa.int64()), ("text", pa.string())]))
+
+    return pages.mapInArrow(part, "record_seq bigint, text string")

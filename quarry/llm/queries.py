@@ -17,10 +17,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_pages(table(spark, sf_dir, "archive_records")).select("record_seq")
 
 
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.garbled import garbled_pages
+
+    return garbled_pages(table(spark, sf_dir, "archive_records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.dedup import deduplicated
 
-    return deduplicated(table(spark, sf_dir, "archive_records")).select("accepted_seq", "duplicate_seq")
+    return deduplicated(table(spark, sf_dir, "archive_records"), together=3).select("accepted_seq", "duplicate_seq")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +53,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_pages(table(spark, sf_dir, "archive_records")).select("record_seq").distinct()
 
 
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.residue import residue_pages
+
+    return residue_pages(table(spark, sf_dir, "archive_records"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.main_content import main_lines
 
     return main_lines(table(spark, sf_dir, "archive_records"))
 
 
+def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.main_content import main_texts
+
+    return main_texts(table(spark, sf_dir, "archive_records"))
+
+
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.containers import filled
 
@@ -106,5 +124,11 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition(table(spark, sf_dir, "documents"), _subjects(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_cleaned, p6_found, p7_found, p8_found, p8_containers, p8_usage, p9_selection, p9_shares, p10_found, p10_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_restored, p2_found, p3_found, p5_found, p5_cleaned, p6_found, p6_kinds, p7_found, p7_texts,
+        p8_found, p8_containers, p8_usage, p9_selection, p9_shares, p10_found, p10_composition,
+    )
+}
 ORACLE: dict[str, str] = {}

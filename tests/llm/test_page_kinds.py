@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm.main_content import main_lines, winning_paths
+from quarry.llm.main_content import main_lines, main_texts, winning_paths
 from quarry.llm.prose import N, perplexity, symbols, train, trigrams
 from quarry.llm.residue import has_placeholder, residue_pages
 from quarry.llm.spam import spam_pages
@@ -93,6 +93,12 @@ def test_main_content(crawl):
     assert all(lines[k] == body for k, v in kinds.items() if v in ("article", "gap"))
 
 
+def test_main_texts(crawl):
+    records, kinds = crawl
+    texts = {r.record_seq: r.text for r in main_texts(records).collect()}
+    assert texts[1].startswith("Report 0 from") and "Follow" not in texts[1] and texts[1].endswith("Item, count: 12")
+
+
 def test_votes(crawl):
     wins = {r.site: r.win for r in winning_paths(analyse(crawl[0], True)).collect()}
     assert wins["big.example"] == "article" and wins["other.example"] == "div.c0"

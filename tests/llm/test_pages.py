@@ -38,3 +38,11 @@ def test_page_records(spark):
     got = {r.record_seq: r.site for r in page_records(table(spark, rows)).collect()}
     assert got == {1: "a.example", 2: "a.example", 3: None, 4: "a.example", 5: "a.example", 905: None, 907: "b.example", 908: "a.example", 909: "a.example"}
     assert page_records(table(spark, [])).count() == 0
+
+
+def test_plan_reads_only_what_is_needed(spark, tmp_path):
+    table(spark, [page(1, "x")]).write.parquet(str(tmp_path / "t"))
+    plan = page_records(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(rec_type,response)" in plan
+    schema = plan[plan.index("ReadSchema") :]
+    assert "http_statusline" not in schema and "batch_no" not in schema and "Exchange" not in plan and "Python" not in plan
