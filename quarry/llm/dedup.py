@@ -37,6 +37,8 @@ _rng = np.random.default_rng(2)
 _FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _TERMS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Up to so many rows of ids (a few MB), counted beforehand, are broadcast, so that texts need not be shuffled to find a few of them.
+FEW = 500_000
 #: Shingles hashed at a time, so that memory does not grow with the text.
 PIECE = 4096
 _codes: dict[str, int] = {}
@@ -115,7 +117,7 @@ FEATURES = "record_seq bigint, batch_no int, site string, path string, day strin
 
 
 def features(records: DataFrame) -> DataFrame:
-    """What is compared of each response record with a payload: hash of the payload and, of pages, words and blocking keys."""
+    """What is compared of each response record with a payload: hash of the payload, blocking keys (that of the hash and, of pages, those of the bands) and words."""
     workspace.small_batches(records.sparkSession)
     kind = header("http_headers", "Content-Type")
     mime = F.lower(F.trim(F.split_part(kind, F.lit(";"), F.lit(1))))
@@ -143,11 +145,12 @@ def features(records: DataFrame) -> DataFrame:
                 h1.append(int.from_bytes(h[:8], "big", signed=True))
                 h2.append(int.from_bytes(h[8:], "big", signed=True))
                 codes = word_codes(" ".join(t for _, t in text_lines(page_text(payload, ctype, te, ce))).lower().split()) if is_page else ()
+                of_hash = h1[-1] ^ (h2[-1] >> 1)
                 if len(codes) and site is not None:
-                    keys.append(band_keys(codes, xxhash.xxh3_64_intdigest(site.encode())))
+                    keys.append([of_hash, *band_keys(codes, xxhash.xxh3_64_intdigest(site.encode())).tolist()])
                     words.append(codes.tobytes())
                 else:
-                    keys.append(None)
+                    keys.append([of_hash])
                     words.append(None)
             arrays = [*batch.select(kept).columns, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, "h1", "h2", "keys", "words"])
@@ -213,27 +216,52 @@ ACCEPTED = "record_seq bigint, path string, day string, declared string, h1 bigi
 ACCEPTED_COLUMNS = [x.split()[0] for x in ACCEPTED.split(", ")]
 
 
-def compared(pairs: DataFrame, mine: DataFrame, theirs: DataFrame, history: History) -> DataFrame:
-    """pairs (seq, other, n_keys) with their evidence, score and whether the words are the same; written to the shared folder."""
-    fields = ("path", "day", "declared", "words")
-    a = mine.select(F.col("record_seq").alias("seq"), *(F.col(f).alias(f"a_{f}") for f in fields))
-    b = theirs.select(F.col("record_seq").alias("other"), *(F.col(f).alias(f"b_{f}") for f in fields))
+def _few(ids: DataFrame, n: int) -> DataFrame:
+    """ids, to be broadcast if their number n is small; else the join shuffles."""
+    return F.broadcast(ids) if n <= FEW else ids
+
+
+def compared(candidates: DataFrame, theirs: DataFrame, history: History) -> tuple[DataFrame, int, int]:
+    """(pairs with their evidence, score, and whether they are exact copies or have the same words; pairs; pairs inside the batch).
+
+    ``candidates`` has seq, other, old and n_keys; all of their records are in ``theirs``. What comes
+    out is written to the shared folder. Only texts of candidates are shuffled.
+    """
+    pairs, counts = workspace.observed(candidates, "candidates", n=F.count(F.lit(1)), n_inside=F.count_if(~F.col("old")))
+    if not counts["n"]:
+        return pairs, 0, 0
+    fields = ("path", "day", "declared", "h1", "h2", "words")
+    ids = pairs.select(F.col("seq").alias("record_seq")).unionByName(pairs.select(F.col("other").alias("record_seq"))).distinct()
+    texts = theirs.join(_few(ids, 2 * counts["n"]), "record_seq", "left_semi")
+    a = texts.select(F.col("record_seq").alias("seq"), *(F.col(f).alias(f"a_{f}") for f in fields))
+    b = texts.select(F.col("record_seq").alias("other"), *(F.col(f).alias(f"b_{f}") for f in fields))
     weight = history.weights()
-    levels = pairs.join(a, "seq").join(b, "other").select("seq", "other", *_levels(), "a_words", "b_words")
+    exact = (F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") == F.col("b_h2"))
+    levels = pairs.join(a, "seq").join(b, "other").select("seq", "other", "old", exact.alias("exact"), *_levels(), "a_words", "b_words")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # weights are used here and not in an expression, whose code would be compiled anew for each batch
-            same = [same_words(x, y) for x, y in columns(batch, "a_words", "b_words")]
+            same = [e or same_words(x, y) for e, x, y in columns(batch, "exact", "a_words", "b_words")]
             score = [sum(weight[f, k] for f, k in zip(EVIDENCE, levels_)) for levels_ in columns(batch, *EVIDENCE)]
             kept = batch.drop_columns(["a_words", "b_words"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(same, pa.bool_()), pa.array(score, pa.float64())], [*kept.schema.names, "same", "score"])
 
-    return workspace.written(levels.mapInArrow(part, "seq bigint, other bigint, bands int, path int, declared int, day int, same boolean, score double"), "pairs")
+    decided = levels.mapInArrow(part, "seq bigint, other bigint, old boolean, exact boolean, bands int, path int, declared int, day int, same boolean, score double")
+    return workspace.written(decided, "pairs"), counts["n"], counts["n_inside"]
+
 
+def _best(matches: DataFrame) -> DataFrame:
+    """accepted_seq, duplicate_seq, exact, score: of the records one repeats, an exact copy before others, then the first."""
+    best = matches.groupBy("seq").agg(F.min(F.struct((~F.col("exact")).alias("near"), "other")).alias("best"), F.max("score").alias("score"))
+    return best.select(F.col("best.other").alias("accepted_seq"), F.col("seq").alias("duplicate_seq"), (~F.col("best.near")).alias("exact"), "score")
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """seq, accepted_seq, score: the first of the records that a record repeats, and the best score among them."""
-    return pairs.filter("same").groupBy("seq").agg(F.min("other").alias("accepted_seq"), F.max("score").alias("score"))
+
+def copies_of(batch: DataFrame) -> tuple[DataFrame, int]:
+    """(record_seq, lead of the records that are not the first of their payload on their site in their batch, written; how many)."""
+    first = batch.groupBy("h1", "h2", "site").agg(F.min("record_seq").alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    same = [F.col(f"batch.{c}").eqNullSafe(F.col(f"first.{c}")) for c in ("h1", "h2", "site")]
+    rows = batch.select("h1", "h2", "site", "record_seq").alias("batch").join(first.alias("first"), same).filter("record_seq <> lead")
+    return workspace.counted(rows.select("record_seq", "lead"), "copies")
 
 
 def refuse(batch: DataFrame, history: History, name: str) -> DataFrame:
@@ -243,85 +271,93 @@ def refuse(batch: DataFrame, history: History, name: str) -> DataFrame:
     without words can only be an exact copy. Equal record_seq are one record.
     """
     spark = batch.sparkSession
+    copies, n_copies = copies_of(batch)
     # copies of one payload on one site share one fate: the first stands for them
-    first = batch.groupBy("h1", "h2", "site").agg(F.min("record_seq").alias("lead"))
-    open_ = batch.join(first.select("lead"), F.col("record_seq") == F.col("lead"), "left_semi")
-    answers: list[DataFrame] = []
-    learnt: list[DataFrame] = []
+    heads = batch.join(_few(copies.select("record_seq"), n_copies), "record_seq", "left_anti")
     old = history.accepted()
+    theirs = heads.select(*ACCEPTED_COLUMNS)
     if old is not None:
-        copies = open_.select("h1", "h2", F.col("record_seq").alias("duplicate_seq")).join(old.groupBy("h1", "h2").agg(F.min("record_seq").alias("accepted_seq")), ["h1", "h2"])
-        mine = open_.select(F.explode("keys").alias("key"), F.col("record_seq").alias("seq"))
-        theirs = old.select(F.explode("keys").alias("key"), F.col("record_seq").alias("other"))
-        near = compared(mine.join(theirs, "key").groupBy("seq", "other").agg(F.count("*").alias("n_keys")), open_, old, history)
-        learnt.append(near)
-        exact = copies.select("accepted_seq", "duplicate_seq", F.lit(True).alias("exact"), F.lit(None).cast("double").alias("score"))
-        alike = _best(near).join(copies, F.col("seq") == F.col("duplicate_seq"), "left_anti").select("accepted_seq", F.col("seq").alias("duplicate_seq"), F.lit(False).alias("exact"), "score")
-        hit = workspace.written(exact.unionByName(alike), "refused")
-        answers.append(hit)
-        open_ = open_.join(hit, F.col("record_seq") == F.col("duplicate_seq"), "left_anti")
-    accepted: list[DataFrame] = []
-    hash_key = F.array(F.xxhash64("h1", "h2"))
-    open_ = workspace.written(open_.withColumn("all_keys", F.concat(F.coalesce("keys", F.array().cast("array<bigint>")), hash_key)), "open")
+        theirs = theirs.unionByName(old)
+    answers: list[DataFrame] = []
+    learnt: list[DataFrame] = []
+    n_refused = 0
+    open_ = heads.select("record_seq", "keys")
     while True:
-        keyed = open_.select(F.explode("all_keys").alias("key"), "record_seq")
-        leads = keyed.groupBy("key").agg(F.min("record_seq").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-        held, n_held = workspace.counted(keyed.join(leads, "key").filter("record_seq <> lead").groupBy("record_seq", "lead").agg(F.count("*").alias("n_keys")), "leads")
-        if not n_held:
-            accepted.append(open_)
+        mine = open_.select(F.explode("keys").alias("key"), F.col("record_seq").alias("seq"))
+        leads = mine.groupBy("key").agg(F.min("seq").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        meets = mine.join(leads, "key").filter("seq <> other").select("seq", "other", F.lit(False).alias("old"))
+        if old is not None and not learnt:
+            held = old.select(F.explode("keys").alias("key"), F.col("record_seq").alias("other"))
+            meets = meets.unionByName(mine.join(held, "key").select("seq", "other", F.lit(True).alias("old")))
+        pairs, n_pairs, n_inside = compared(meets.groupBy("seq", "other", "old").agg(F.count("*").alias("n_keys")), theirs, history)
+        if not n_pairs:
             break
-        behind = held.select("record_seq").distinct()
-        accepted.append(open_.join(behind, "record_seq", "left_anti"))
-        pairs = held.join(behind.withColumnRenamed("record_seq", "lead"), "lead", "left_anti").select(F.col("record_seq").alias("seq"), F.col("lead").alias("other"), "n_keys")
-        near = compared(pairs, open_, open_, history)
-        learnt.append(near)
-        hashes = open_.select(F.col("record_seq").alias("seq"), "h1", "h2")
-        equal = pairs.join(hashes, "seq").join(hashes.withColumnRenamed("seq", "other"), ["other", "h1", "h2"]).groupBy("seq").agg(F.min("other").alias("accepted_seq"))
-        both = equal.select("seq", "accepted_seq", F.lit(None).cast("double").alias("score"), F.lit(True).alias("exact")).unionByName(_best(near).withColumn("exact", F.lit(False)))
-        hit = both.groupBy("seq").agg(F.max_by("accepted_seq", "exact").alias("accepted_seq"), F.max("exact").alias("exact"), F.max("score").alias("score"))
-        hit = workspace.written(hit.select("accepted_seq", F.col("seq").alias("duplicate_seq"), "exact", "score"), "refused")
+        learnt.append(pairs)
+        of_old = _best(pairs.filter("old AND same"))
+        behind = pairs.filter("NOT old").select(F.col("seq").alias("record_seq")).distinct()
+        hit = of_old
+        if n_inside:  # those that lead all of their keys, and repeat nothing old, are accepted: what matches them is refused
+            sure = pairs.filter("NOT old AND same").join(behind, F.col("other") == F.col("record_seq"), "left_anti").join(of_old.select("duplicate_seq"), F.col("other") == F.col("duplicate_seq"), "left_anti")
+            hit = of_old.unionByName(_best(sure).join(of_old.select("duplicate_seq"), "duplicate_seq", "left_anti").select(of_old.columns))
+        hit, n_hit = workspace.counted(hit, "refused")
         answers.append(hit)
-        open_, n_open = workspace.counted(open_.join(behind, "record_seq", "left_semi").join(hit, F.col("record_seq") == F.col("duplicate_seq"), "left_anti"), "open")
+        n_refused += n_hit
+        if not n_inside:
+            break
+        left = behind.join(hit.select(F.col("duplicate_seq").alias("record_seq")), "record_seq", "left_anti")
+        open_, n_open = workspace.counted(heads.select("record_seq", "keys").join(_few(left, n_inside), "record_seq", "left_semi"), "open")
         if not n_open:
             break
-    taken = accepted[0]
-    for more in accepted[1:]:
-        taken = taken.unionByName(more)
-    history.add(taken, name)
-    if learnt:
-        history.learn(learnt[0] if len(learnt) == 1 else learnt[0].unionByName(learnt[1]))
     refused = answers[0] if answers else spark.createDataFrame([], REFUSED)
     for more in answers[1:]:
         refused = refused.unionByName(more)
-    return workspace.written(with_copies(batch, refused), "refused")
+    history.add(heads.join(_few(refused.select(F.col("duplicate_seq").alias("record_seq")), n_refused), "record_seq", "left_anti"), name)
+    for pairs in learnt:
+        history.learn(pairs)
+    return workspace.written(with_copies(copies, refused), "refused")
 
 
-def with_copies(batch: DataFrame, refused: DataFrame) -> DataFrame:
-    """The answers of the heads, and of the other copies on their sites: those go to the head, or to what it repeats."""
-    first = batch.groupBy("h1", "h2", F.coalesce("site", F.lit("")).alias("at")).agg(F.min("record_seq").alias("lead"))
-    rest = batch.select("record_seq", "h1", "h2", F.coalesce("site", F.lit("")).alias("at")).join(first, ["h1", "h2", "at"]).filter("record_seq <> lead")
-    of_head = refused.select(F.col("duplicate_seq").alias("lead"), F.col("accepted_seq").alias("of_lead"))
-    copies = rest.join(of_head, "lead", "left").select(F.coalesce("of_lead", "lead").alias("accepted_seq"), F.col("record_seq").alias("duplicate_seq"), F.col("of_lead").isNull().alias("exact"), F.lit(None).cast("double").alias("score"))
-    return refused.unionByName(copies)
+def with_copies(copies: DataFrame, refused: DataFrame) -> DataFrame:
+    """The answers of the heads, and of their copies: those go to the head, or to what it repeats."""
+    of_head = refused.select(F.col("duplicate_seq").alias("lead"), F.col("accepted_seq").alias("of_lead"), F.col("exact").alias("of_exact"))
+    also = copies.join(of_head, "lead", "left").select(
+        F.coalesce("of_lead", "lead").alias("accepted_seq"), F.col("record_seq").alias("duplicate_seq"), F.coalesce("of_exact", F.lit(True)).alias("exact"), F.lit(None).cast("double").alias("score")
+    )
+    return refused.unionByName(also)
 
 
 REFUSED = "accepted_seq bigint, duplicate_seq bigint, exact boolean, score double"
 
 
-def deduplicated(records: DataFrame, history: History | None = None) -> DataFrame:
+def loads(batches: list[tuple[int, int, int]], together: int) -> list[list[int]]:
+    """Numbers of the batches of each load, of batches as (number, first, last record); batches whose records cross are not taken together."""
+    out: list[list[int]] = []
+    last = None
+    for number, first, end in sorted(batches):
+        if out and len(out[-1]) < together and last is not None and first > last:
+            out[-1].append(number)
+        else:
+            out.append([number])
+        last = max(end, last or end)
+    return out
+
+
+def deduplicated(records: DataFrame, history: History | None = None, together: int = 1) -> DataFrame:
     """accepted_seq, duplicate_seq, exact, score over all batches of records, one after the other.
 
-    Records without payload, of other types, or of an equal record_seq are left out; a null batch
-    comes first. Extra columns are ignored.
+    ``together`` is how many waiting batches are taken in one load; the answer is the same for any.
+    Records without payload and of other types are left out; a null batch comes first. Records of an
+    equal record_seq are one. Extra columns are ignored.
     """
     spark = records.sparkSession
     history = history or History(spark)
     path = workspace.fresh_path(spark, "features")
     features(records).write.option("compression", "zstd").partitionBy("batch_no").parquet(path)
     everything = spark.read.schema(FEATURES).parquet(path)
+    waiting = everything.groupBy("batch_no").agg(F.min("record_seq").alias("first"), F.max("record_seq").alias("last")).collect()  # a row for each batch
     files: list[str] = []
-    for (number,) in everything.select("batch_no").distinct().orderBy("batch_no").collect():  # a row for each batch
-        files += refuse(everything.filter(F.col("batch_no") == number), history, f"batch-{number}").inputFiles()
+    for numbers in loads([tuple(r) for r in waiting], together):
+        files += refuse(everything.filter(F.col("batch_no").isin(numbers)), history, f"batch-{numbers[0]}").inputFiles()
     return spark.read.schema(REFUSED).parquet(*files) if files else spark.createDataFrame([], REFUSED)
 
 

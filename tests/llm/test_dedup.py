@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.dedup import History, band_keys, common_words, deduplicated, features, merged, refuse, same_words, word_codes
+from quarry.llm.dedup import History, band_keys, common_words, deduplicated, features, loads, merged, refuse, same_words, word_codes
 from quarry import workspace
 from tests.llm.helpers import html, odd_rows, page, table
 
@@ -90,6 +90,15 @@ def test_against_brute_force(spark):
     assert {k: v for k, v in got.items() if k < 900} == want
 
 
+def test_loads(spark):
+    assert loads([(2, 5, 9), (1, 1, 4), (3, 10, 12), (4, 13, 20)], 3) == [[1, 2, 3], [4]]
+    assert loads([(1, 1, 9), (2, 5, 12), (3, 13, 14)], 3) == [[1], [2, 3]] and loads([], 2) == []
+    rows, known = _corpus(8)
+    for together in (2, 4):
+        got = {r.duplicate_seq: r.accepted_seq for r in deduplicated(table(spark, rows), together=together).collect()}
+        assert got == _brute(known)
+
+
 def test_many_copies_and_order_of_rows(spark):
     body = html("one two three four five six seven eight nine ten")
     rows = [page(k, body, f"http://s{k % 3}.example/", batch=1 + k % 2) for k in range(1, 41)]
