@@ -76,6 +76,12 @@ def _tables(name: str) -> tuple[dict[int, str], dict[str, int]]:
     return there, back
 
 
+@lru_cache(None)
+def letters(state: tuple[tuple[str, str], ...]) -> frozenset[str]:
+    """Characters outside ASCII that the last reading of a state can give; others can't have come from it."""
+    return frozenset(_tables(state[-1][1])[1])
+
+
 def garbled(text: str, state: tuple[tuple[str, str], ...]) -> str | None:
     """What a text looks like after wrong readings; null if it can't be written in the encoding they start from."""
     for own, read in state:

@@ -35,27 +35,29 @@ N = len(SYMBOLS)
 _FUNCTION = frozenset(_ID[g] for g in FUNCTION_WORDS)
 _WORDS = frozenset(_ID[c] for c in _CLASSES) | _FUNCTION
 _START, _OTHER = _ID["^"], _ID["x"]
-_cache: dict[str, int] = {}
 
 
-def symbol(token: str) -> int:
-    """Number of a token's symbol."""
-    got = _cache.get(token)
-    if got is None:
+class _Symbols(dict):
+    """token -> number of its symbol; new tokens are kept up to a bound."""
+
+    def __missing__(self, token: str) -> int:
         first = token[0]
         if first.isalpha():
             group = _GROUP.get(token.lower())
             got = _ID[group or ("w" if first.islower() else "U" if len(token) > 1 and token.isupper() else "W")]
         else:
             got = _ID["n"] if first.isdigit() else _ID.get(first, _OTHER)
-        if len(_cache) < 300_000:
-            _cache[token] = got
-    return got
+        if len(self) < 300_000:
+            self[token] = got
+        return got
+
+
+symbol = _Symbols().__getitem__
 
 
 def symbols(text: str) -> list[int]:
     """Symbols of a text."""
-    return [symbol(t) for t in TOKEN.findall(text)]
+    return list(map(symbol, TOKEN.findall(text)))
 
 
 def words(ids: Iterable[int]) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry import workspace
 from quarry.llm.blocks import Line, lines_of
-from quarry.llm.encodings import LOST, STATES, restored
+from quarry.llm.encodings import LOST, STATES, letters, restored
 from quarry.llm.pages import columns, contents, page_records
 from quarry.llm.prose import N, _FUNCTION, _WORDS, function_words, symbols, train, words
 from quarry.llm.prose import _START as START
@@ -87,6 +87,20 @@ def prose_model(pages: DataFrame) -> Broadcast:
     return pages.sparkSession.sparkContext.broadcast(train(np.array([r.code for r in rows], np.int64), np.array([r.n for r in rows], np.int64)))
 
 
+_LETTERS = [(s, letters(s)) for s in STATES]
+_memo: dict[tuple, dict[str, str | None]] = {s: {} for s in STATES}
+
+
+def _undone(run: str, state: tuple, memo: dict[str, str | None]) -> str | None:
+    """restored(), remembered: the words of spam come again and again."""
+    if run in memo:
+        return memo[run]
+    new = restored(run, state)
+    if len(memo) < 20_000:
+        memo[run] = new
+    return new
+
+
 def reading(text: str, model: np.ndarray) -> bool:
     """Whether a line is prose once a wrong reading of its bytes is undone: much more so than before."""
     runs = HIGH.findall(text)
@@ -94,10 +108,12 @@ def reading(text: str, model: np.ndarray) -> bool:
         return False
     ids = symbols(text)
     before, odd = function_words(ids) / max(words(ids), 1), _perplexity(ids, model)
-    for state in STATES:
-        if sum(restored(r, state) is not None for r in runs[:4]) < min(3, len(runs)):
+    for state, may in _LETTERS:
+        some = [r for r in runs[:4] if may.issuperset(r)]
+        memo = _memo[state]
+        if len(some) < min(3, len(runs)) or sum(_undone(r, state, memo) is not None for r in some) < min(3, len(runs)):
             continue
-        ids = symbols(HIGH.sub(lambda m: restored(m.group(0), state) or m.group(0), text))
+        ids = symbols(HIGH.sub(lambda m: _undone(m.group(0), state, memo) or m.group(0), text))
         share, now = function_words(ids) / max(words(ids), 1), _perplexity(ids, model)
         if share >= FUNCTION_SHARE + GAIN and share >= before + GAIN and now <= min(MOST_PERPLEXING, CLEARER * odd):
             return True
@@ -105,13 +121,13 @@ def reading(text: str, model: np.ndarray) -> bool:
 
 
 #: States whose inverse transform hardly any text passes that was not read wrongly.
-_SURE = [s for s in STATES if s[0][0] == "utf-8"]
+_SURE = [(s, may) for s, may in _LETTERS if s[0][0] == "utf-8"]
 
 
 def misread(text: str) -> bool:
     """Whether most of a line's runs outside ASCII are UTF-8 that was read as something else."""
     runs = HIGH.findall(text)[:20]
-    return len(runs) >= 3 and any(sum(restored(r, state) is not None for r in runs) >= 0.7 * len(runs) for state in _SURE)
+    return len(runs) >= 3 and any(sum(may.issuperset(r) and restored(r, state) is not None for r in runs) >= 0.7 * len(runs) for state, may in _SURE)
 
 
 def _perplexity(ids: list[int], model: np.ndarray) -> float:
