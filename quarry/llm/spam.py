@@ -1,9 +1,11 @@
 """Pages of keywords, link lists and product tags.
 
 A trigram model of function-word groups and word classes, trained on the sentence lines of the whole
-crawl, tells prose from the rest: runs of keywords have few function words and, in mixed case or
-between separators, a perplexity far above that of prose; in lower case alone one far below it. A
-page is spam if hardly any of its words stand in prose, and it is no notice, filler or template.
+crawl, tells prose from the rest: runs of keywords have few function words or a perplexity above that
+of prose. Keywords that contain function words pass both tests; they are known by repetition, the share
+of word pairs that come again and again within a short piece of the text of a container. Perplexities
+below that of prose are not tested: what repeats its words is seen by that share. A page is spam if
+hardly any of its words stand in prose, and it is no notice, filler or template.
 """
 
 from __future__ import annotations

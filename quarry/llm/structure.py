@@ -8,6 +8,7 @@ pass counts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,10 @@ GAIN, CLEARER = 0.03, 0.7
 TAUGHT_WORDS, TAUGHT_SHARE = 10, 0.2
 #: Prose words in one container that make an article.
 ARTICLE = 30
+#: Words of a piece in which repetition is looked for, and how often each pair of words may stand in it.
+PIECE, OFTEN = 60, 2
+#: Share of word pairs beyond that which makes stuffing of the text of a container, and of text outside of containers.
+STUFFED, LOOSELY_STUFFED = 0.15, 0.08
 #: With so many prose words in one container a page needs no closer look.
 SURELY = 90
 #: Containers that never hold the main body.
@@ -135,6 +140,23 @@ def _perplexity(ids: list[int], model: np.ndarray) -> float:
     return float(np.exp(-model[(a[:-2] * N + a[1:-1]) * N + a[2:]].mean()))
 
 
+def repetition(texts: list[str]) -> float:
+    """Share of word pairs that come more than OFTEN times in their piece. A line that comes again counts once."""
+    found: list[str] = []
+    for text in dict.fromkeys(texts):
+        found += text.lower().split()
+    pairs = again = 0
+    for k in range(0, len(found), PIECE):
+        piece = found[k : k + PIECE]
+        n = len(piece) - 1
+        if n < PIECE // 5:
+            continue
+        pairs += n
+        if n - len(set(piece)) >= OFTEN:
+            again += sum(c - OFTEN for c in Counter(zip(piece, piece[1:])).values() if c > OFTEN)
+    return again / pairs if pairs else 0.0
+
+
 def digest(text: str) -> int:
     """64-bit key of a text."""
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
@@ -195,9 +217,28 @@ class Page:
             else:
                 self.keywords += nw
         self.best = max(boxes, key=boxes.get, default=0)
+        while boxes.get(self.best, 0) >= ARTICLE and self._is_stuffed(is_prose, self.best, STUFFED):
+            self._drop(n, is_prose, self.best)
+            del boxes[self.best]
+            self.best = max(boxes, key=boxes.get, default=0)
         self.article = boxes.get(self.best, 0)
+        ended = any(prose and not x.path and ENDS.search(x.bare) for x, prose in zip(self.lines, is_prose)) if self.article < ARTICLE <= self.loose else True
+        if not ended or (self.article < ARTICLE <= self.loose and self._is_stuffed(is_prose, 0, LOOSELY_STUFFED)):
+            self._drop(n, is_prose, 0)
+            self.loose = 0
         self.is_prose = is_prose
 
+    def _is_stuffed(self, is_prose: list[bool], box: int, most: float) -> bool:
+        return repetition([x.bare for x, prose in zip(self.lines, is_prose) if prose and x.box == box]) >= most
+
+    def _drop(self, n: list[int], is_prose: list[bool], box: int) -> None:
+        """The prose of a container becomes keywords."""
+        for k, x in enumerate(self.lines):
+            if is_prose[k] and x.box == box:
+                is_prose[k] = False
+                self.prose -= n[k]
+                self.keywords += n[k]
+
     def _look_closer(self, n: list[int], model: np.ndarray) -> None:
         """On pages with little prose: set notices and filler apart, undo wrong readings."""
         outside = sum(nw for x, nw in zip(self.lines, n) if not x.noscript)
@@ -224,7 +265,7 @@ class Page:
 
     @property
     def has_article(self) -> bool:
-        """Prose enough in one container, or, on pages without containers, beside it; damaged text counts as such."""
+        """Prose enough in one container, or sentences beside containers on pages without such; damaged text counts as such, repetition does not."""
         return self.article >= ARTICLE or self.damaged >= ARTICLE or self.loose >= max(3 * ARTICLE, self.keywords)
 
 

@@ -75,6 +75,24 @@ def test_spam(crawl):
     assert got == {k for k, v in kinds.items() if v == "spam"}
 
 
+def _wordy(k: int) -> list[str]:
+    """Stuffing made of function words and keywords in the order of prose."""
+    terms = [f"report of the {w}" for w in ("council", "engineer", "miller")]
+    rng = random.Random(k)
+    return [" ".join(f"and the {rng.choice(terms)}" for _ in range(12)).capitalize() + "." for _ in range(5)]
+
+
+def test_stuffing_with_function_words(spark):
+    """Word order and function words of prose: seen by repetition, in a container and beside."""
+    rows = [page(k, article(k)) for k in range(60)]
+    rows += [page(100 + k, html(*(f"<p>{x}</p>" for x in _wordy(k)))) for k in range(3)]
+    rows += [page(200 + k, html("<div style='display:none'>", *(f"<p>{x}</p>" for x in _wordy(k)), "</div>")) for k in range(3)]
+    rows += [page(300 + k, html(*(f"<p>{prose(k * 9 + j)}</p>" for j in range(4)))) for k in range(3)]
+    rows += [page(400 + k, html("<article>", *(f"<p>{prose(k)}</p>" for _ in range(6)), "</article>")) for k in range(3)]
+    got = {r.record_seq for r in spam_pages(table(spark, rows)).collect()}
+    assert got == {100, 101, 102, 200, 201, 202}
+
+
 def test_residue(crawl):
     records, kinds = crawl
     got = {r.record_seq: r.kind for r in residue_pages(records).collect() if r.record_seq < 900}
