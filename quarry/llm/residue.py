@@ -60,11 +60,15 @@ def residue_pages(records: DataFrame) -> DataFrame:
     Lines are aligned by their masked form, in which names, numbers and paths are slots. A page has a
     gap if one of its slots still holds a variable; it is filler or an error if it has no article and
     its lines are filler or notices, or one of them has a form that comes again and again on pages
-    without an article, mostly with an error status. Null status or content give no row of their own.
+    without an article: mostly with an error status, or, whatever the status, on short pages and never
+    beside an article. Such a page is an error, as its form does not tell filler from an error. A slot
+    is not compared with its other values: one left blank or at a default is not found. Null status or
+    content give no row of their own.
     """
-    from quarry.llm.structure import analyse  # which uses the patterns above
+    from quarry.llm.spam import KEYWORDS  # these use the patterns above
+    from quarry.llm.structure import analyse
 
-    pages = analyse(records, with_lines=False)
+    pages = analyse(records, with_lines=False, with_forms=True)
     bare = pages.filter("NOT has_article AND NOT gap").select("record_seq", "status", "notice", "filler", "keywords", "templates")
     forms = bare.filter("templates IS NOT NULL").select("status", F.explode("templates").alias("form"))
     errors = (
@@ -72,8 +76,17 @@ def residue_pages(records: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"), F.sum(F.when(F.col("status") >= 400, 1).otherwise(0)).alias("bad"))
         .filter((F.col("n") >= TEMPLATE_PAGES) & (F.col("bad") > ERROR_SHARE * F.col("n")))
     )
-    undecided = bare.filter("NOT notice AND NOT filler").select("record_seq", F.explode("templates").alias("form"))
-    induced = undecided.join(errors.select("form"), "form", "left_semi").select("record_seq").distinct().select("record_seq", F.lit("error").alias("kind"))
+    short = bare.filter(F.col("keywords") < KEYWORDS)
+    again = short.select(F.explode("templates").alias("form")).groupBy("form").count().filter(F.col("count") >= TEMPLATE_PAGES).select("form")
+    beside = pages.filter("has_article").select(F.explode("templates").alias("form"))
+    undecided = bare.filter("NOT notice AND NOT filler").select("record_seq", "keywords", F.explode("templates").alias("form"))
+    short_ones = undecided.filter(F.col("keywords") < KEYWORDS)
+    # few forms are asked for: those of undecided pages that come again
+    asked = again.join(short_ones.select("form").distinct(), "form", "left_semi")
+    whole = asked.join(beside.join(asked, "form", "left_semi").distinct(), "form", "left_anti")
+    induced = undecided.join(errors.select("form"), "form", "left_semi").select("record_seq")
+    induced = induced.unionByName(short_ones.join(whole, "form", "left_semi").select("record_seq"))
+    induced = induced.distinct().select("record_seq", F.lit("error").alias("kind"))
     gaps = pages.filter("gap").select("record_seq", F.lit("gap").alias("kind"))
     seen = bare.filter("notice OR filler").select("record_seq", F.when(F.col("filler"), "filler").otherwise("error").alias("kind"))
     return gaps.unionByName(seen).unionByName(induced)

@@ -318,11 +318,16 @@ ANALYSIS_DDL = (
 )
 
 
-def analyse(records: DataFrame, with_lines: bool) -> DataFrame:
+#: Longer lines of an article are not compared with templates.
+FORM_CHARS = 160
+
+
+def analyse(records: DataFrame, with_lines: bool, with_forms: bool = False) -> DataFrame:
     """One row of counts for each page, written to the shared folder.
 
     ``with_lines`` adds the lines that may be main body. ``templates`` are the masked lines of pages
-    without an article, for the induction of error templates.
+    without an article, for the induction of error templates; ``with_forms`` adds those of the other
+    pages, short lines only, which tell templates from the furniture of sites.
     """
     pages = page_records(records, F.expr("try_cast(split_part(http_statusline, ' ', 1) AS int) AS status"))
     model = prose_model(pages)
@@ -339,8 +344,8 @@ def analyse(records: DataFrame, with_lines: bool) -> DataFrame:
                 row |= {"notice": page.notice, "filler": page.filler, "gap": page.gap, "path": best, "lines": None, "templates": None}
                 if with_lines and article:
                     row["lines"] = [dict(zip(("no", "path", "key", "template"), x)) for x in body_lines(page, page.words)]
-                if not article:
-                    row["templates"] = list({digest(masked(x.bare)) for x in page.lines if not x.link and x.bare})
+                if with_forms or not article:
+                    row["templates"] = list({digest(masked(x.bare)) for x in page.lines if not x.link and x.bare and (not article or len(x.bare) <= FORM_CHARS)})
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, ANALYSIS)
 

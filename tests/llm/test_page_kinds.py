@@ -93,6 +93,15 @@ def test_stuffing_with_function_words(spark):
     assert got == {100, 101, 102, 200, 201, 202}
 
 
+def test_templates_whatever_the_status(spark):
+    """An error page in words of no list, sent as 200 again and again, is a template; furniture and a single short page are none."""
+    rows = [page(k, article(k)) for k in range(60)]
+    rows += [page(100 + k, html(f"<h1>Oh dear, Item {k}</h1>", f"<p>Unplugged shelf {k}: back soon.</p>")) for k in range(4)]
+    rows += [page(200 + k, html("<footer>", "<p>© Alder Post. All rights reserved.</p>", "</footer>")) for k in range(4)]
+    rows += [page(300, html("<p>One small greeting.</p>"))]
+    assert {r.record_seq: r.kind for r in residue_pages(table(spark, rows)).collect()} == dict.fromkeys(range(100, 104), "error")
+
+
 def test_residue(crawl):
     records, kinds = crawl
     got = {r.record_seq: r.kind for r in residue_pages(records).collect() if r.record_seq < 900}
