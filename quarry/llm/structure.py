@@ -38,7 +38,7 @@ ARTICLE = 30
 PIECE, OFTEN = 60, 2
 #: Share of word pairs beyond that which makes stuffing of the text of a container, and of text outside of containers.
 STUFFED, LOOSELY_STUFFED = 0.15, 0.08
-#: With so many prose words in one container a page needs no closer look.
+#: With so many prose words in one container, filler and notices not counted, a page needs no closer look.
 SURELY = 90
 #: Containers that never hold the main body.
 ASIDE = re.compile(r"(?:^|/)(?:nav|aside|footer|header)(?=$|[/.#\[])")
@@ -198,9 +198,19 @@ class Page:
         self.gap = any(has_placeholder(x.bare) for x in self.lines)
         self.words = n.tolist()
         self._count(n.tolist(), [bool(a) and not x.link for a, x in zip(fluent, self.lines)])
-        if self.article < SURELY:
+        if self.article < SURELY or not self._surely():
             self._look_closer(n.tolist(), model)
 
+    def _surely(self) -> bool:
+        """Whether SURELY words of the best container are neither filler nor notice, as a closer look tells them."""
+        left = SURELY
+        for x, nw, prose in zip(self.lines, self.words, self.is_prose):
+            if prose and x.box == self.best and not (FILLER.search(x.bare) or nw <= 40 and (NOTICE.search(x.bare) or SCRIPTS.search(x.bare))):
+                left -= nw
+                if left <= 0:
+                    return True
+        return False
+
     def _count(self, n: list[int], is_prose: list[bool]) -> None:
         boxes: dict[int, int] = {}
         self.prose = self.keywords = self.loose = self.total = self.damaged = 0

@@ -93,6 +93,15 @@ def test_stuffing_with_function_words(spark):
     assert got == {100, 101, 102, 200, 201, 202}
 
 
+def test_much_filler_in_a_container(spark):
+    """Filler in a container is none the less so for being long: no article, no main body."""
+    filler = [f"<p>{prose(k)} Sample paragraph.</p>" for k in range(6)]
+    rows = [page(k, article(k)) for k in range(60)] + [page(100, html("<div>", *filler, "</div>"))]
+    records = table(spark, rows)
+    assert {r.record_seq: r.kind for r in residue_pages(records).collect()} == {100: "filler"}
+    assert 100 not in {r.record_seq for r in main_lines(records).collect()}
+
+
 def test_templates_whatever_the_status(spark):
     """An error page in words of no list, sent as 200 again and again, is a template; furniture and a single short page are none."""
     rows = [page(k, article(k)) for k in range(60)]
