@@ -9,11 +9,10 @@ So no key's group is ever paired with itself, and a group of near copies costs o
 
 Candidate pairs are scored by weights of evidence for the agreement of their fields (bands, path,
 digest, date); the weights are learned from the pairs decided so far and kept with the history. The
-score orders a record's candidates; a comparison of the words in order decides each pair.
+score is reported only; a comparison of the words in order decides each pair.
 
-Refused records map to the accepted record they repeat. One that repeats several joins their
-clusters: the mapping of representatives is a union-find forest of which only the roots concerned
-are rewritten.
+Refused records map to the accepted record they repeat. One that repeats several does not join their
+clusters: merged() does that for a mapping of representatives, but no load calls it.
 """
 
 from __future__ import annotations
