@@ -1,28 +1,27 @@
 """Pages of keywords, link lists and product tags.
 
-A trigram model of function-word groups and word classes, trained on the sentence lines of the whole
-crawl, tells prose from the rest: runs of keywords have few function words or a perplexity above that
-of prose. Keywords that contain function words pass both tests; they are known by repetition, the share
-of word pairs that come again and again within a short piece of the text of a container. Perplexities
-below that of prose are not tested: what repeats its words is seen by that share. A page is spam if
-hardly any of its words stand in prose, and it is no notice, filler or template.
+A trigram model of function words and the classes of the words between them, trained on the sentence
+lines of the whole crawl, scores every line and the page. Lines whose perplexity lies outside the
+limits of prose, on either side, are keywords, and so is the text of a container (or beside
+containers) that repeats its word pairs in pieces of 60 words, as stuffing with function words does.
+A page is spam if no container holds a passage of normal lines, its own perplexity is abnormal too,
+and its words come again, while it is no template, filler or list of gaps (see quarry.llm.residue).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from quarry.llm.residue import gaps, is_spam, settle
 from quarry.llm.structure import analyse
 
-#: Words outside prose that make a spam page.
-KEYWORDS = 60
-
 
 def spam_pages(records: DataFrame) -> DataFrame:
-    """record_seq, n_keywords, n_prose of spam pages.
+    """record_seq, n_keywords, n_prose, perplexity of spam pages.
 
     Empty pages and pages of a few words are none. Null headers, sites or content give no row.
     Repeated records each give a row; extra input columns are ignored.
     """
-    pages = analyse(records, with_lines=False)
-    return pages.filter(f"NOT has_article AND NOT notice AND NOT filler AND NOT gap AND keywords >= {KEYWORDS}").selectExpr("record_seq", "keywords AS n_keywords", "article AS n_prose")
+    analysis = analyse(records, with_variables=True)
+    found = settle(analysis).bare.filter(is_spam()).join(gaps(analysis), "page", "left_anti")
+    return found.selectExpr("record_seq", "keywords AS n_keywords", "article AS n_prose", "perplexity")

@@ -1,4 +1,4 @@
-"""What a page consists of: prose, keywords, links, notices, and the containers they stand in.
+"""What a page consists of: prose, keywords, lines that other pages have too, and the containers they stand in.
 
 One pass over the pages writes a compact table (numbers and hashes, no text) that the operators for
 main content, spam pages and template residue start from. It needs the prose model, which a first
@@ -8,12 +8,15 @@ pass counts.
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +25,12 @@ from quarry import workspace
 from quarry.llm.blocks import Line, lines_of
 from quarry.llm.encodings import LOST, STATES, letters, restored
 from quarry.llm.pages import columns, contents, page_records
-from quarry.llm.prose import N, _FUNCTION, _WORDS, function_words, symbols, train, words
-from quarry.llm.prose import _START as START
-from quarry.llm.residue import FILLER, NOTICE, SCRIPTS, has_placeholder
-
-#: A line is prose if it has so many words, such a share of function words, and at most this perplexity.
-LEAST_WORDS, FUNCTION_SHARE, MOST_PERPLEXING = 4, 0.12, 8.0
-#: What another reading of a line must add to the share of function words, and leave of its perplexity.
-GAIN, CLEARER = 0.03, 0.7
+from quarry.llm.prose import Events, Model, N, events, train
+
+#: Fewest words of a line that can be prose.
+LEAST_WORDS = 4
+#: What another reading of a line must leave of its perplexity.
+CLEARER = 0.5
 #: Lines the model learns from: so many words, such a share of function words, a sentence mark at the end.
 TAUGHT_WORDS, TAUGHT_SHARE = 10, 0.2
 #: Prose words in one container that make an article.
@@ -38,32 +39,11 @@ ARTICLE = 30
 PIECE, OFTEN = 60, 2
 #: Share of word pairs beyond that which makes stuffing of the text of a container, and of text outside of containers.
 STUFFED, LOOSELY_STUFFED = 0.15, 0.08
-#: With so many prose words in one container, filler and notices not counted, a page needs no closer look.
-SURELY = 90
-#: Containers that never hold the main body.
-ASIDE = re.compile(r"(?:^|/)(?:nav|aside|footer|header)(?=$|[/.#\[])")
+#: Containers that never hold the main body, but for the header of an article.
+ASIDE = re.compile(r"(?:^|/)(?:nav|aside|footer)(?=$|[/.#\[])|(?:^|/)(?<!article/)header(?=$|[/.#\[])")
 ENDS = re.compile(r"[.!?…]['\"”“»’)\]]*$")
 HIGH = re.compile(r"[^\x00-\x7f]+")
-_IS_WORD = np.array([k in _WORDS for k in range(N)])
-_IS_FUNCTION = np.array([k in _FUNCTION for k in range(N)])
-
-
-def line_symbols(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram codes of all lines one after the other, where each begins, words and function words of each."""
-    ids: list[int] = []
-    begins = []
-    for text in lines:
-        begins.append(len(ids))
-        ids += (START, START)
-        ids += symbols(text)
-    a = np.array([*ids, START, START], np.int64)
-    codes = (a[:-2] * N + a[1:-1]) * N + a[2:]
-    b = np.array(begins, np.int64)
-    if not len(b):
-        empty = np.zeros(0, np.int64)
-        return codes, b, empty, empty
-    tokens = a[:-2]
-    return codes, b, np.add.reduceat(_IS_WORD[tokens], b), np.add.reduceat(_IS_FUNCTION[tokens], b)
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def count_trigrams(pages: DataFrame) -> DataFrame:
@@ -72,14 +52,11 @@ def count_trigrams(pages: DataFrame) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N**3, np.int64)
         for batch in batches:
-            taught = [x.bare for content in contents(batch) for x in lines_of(content) if not x.link and len(x.bare) > 40 and ENDS.search(x.bare)]
-            codes, begins, n, f = line_symbols(taught)
-            if not len(begins):
-                continue
-            ends = np.append(begins[1:], len(codes))
-            counted = np.repeat((n >= TAUGHT_WORDS) & (f >= TAUGHT_SHARE * n), ends - begins)
-            counted[ends - 1] = counted[ends - 2] = False  # the start marks of the next line
-            total += np.bincount(codes[counted], minlength=N**3)
+            found = events([x.bare for content in contents(batch) for x in lines_of(content) if not x.link and len(x.bare) > 40 and ENDS.search(x.bare)])
+            if len(found.codes):
+                taught = np.repeat((found.words >= TAUGHT_WORDS) & (found.function >= TAUGHT_SHARE * found.words), found.sizes)
+                at, n = np.unique(found.codes[taught], return_counts=True)
+                total[at] += n
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"code": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
@@ -106,23 +83,20 @@ def _undone(run: str, state: tuple, memo: dict[str, str | None]) -> str | None:
     return new
 
 
-def reading(text: str, model: np.ndarray) -> bool:
-    """Whether a line is prose once a wrong reading of its bytes is undone: much more so than before."""
-    runs = HIGH.findall(text)
+def reading(text: str, model: Model, odd: float) -> bool:
+    """Whether a line of perplexity odd is prose once a wrong reading of its bytes is undone."""
+    runs = set(HIGH.findall(text))
     if len(runs) < 3:
         return False
-    ids = symbols(text)
-    before, odd = function_words(ids) / max(words(ids), 1), _perplexity(ids, model)
+    others: list[str] = []
     for state, may in _LETTERS:
-        some = [r for r in runs[:4] if may.issuperset(r)]
         memo = _memo[state]
-        if len(some) < min(3, len(runs)) or sum(_undone(r, state, memo) is not None for r in some) < min(3, len(runs)):
-            continue
-        ids = symbols(HIGH.sub(lambda m: _undone(m.group(0), state, memo) or m.group(0), text))
-        share, now = function_words(ids) / max(words(ids), 1), _perplexity(ids, model)
-        if share >= FUNCTION_SHARE + GAIN and share >= before + GAIN and now <= min(MOST_PERPLEXING, CLEARER * odd):
-            return True
-    return False
+        if sum(may.issuperset(r) and _undone(r, state, memo) is not None for r in runs) >= max(3, len(runs) // 2):
+            others.append(HIGH.sub(lambda m: _undone(m.group(0), state, memo) or m.group(0), text))
+    if not others:
+        return False
+    now = model.perplexities(events(others))
+    return bool((model.normal(now) & (now <= CLEARER * odd)).any())
 
 
 #: States whose inverse transform hardly any text passes that was not read wrongly.
@@ -131,13 +105,8 @@ _SURE = [(s, may) for s, may in _LETTERS if s[0][0] == "utf-8"]
 
 def misread(text: str) -> bool:
     """Whether most of a line's runs outside ASCII are UTF-8 that was read as something else."""
-    runs = HIGH.findall(text)[:20]
-    return len(runs) >= 3 and any(sum(may.issuperset(r) and restored(r, state) is not None for r in runs) >= 0.7 * len(runs) for state, may in _SURE)
-
-
-def _perplexity(ids: list[int], model: np.ndarray) -> float:
-    a = np.array([START, START, *ids], np.int64)
-    return float(np.exp(-model[(a[:-2] * N + a[1:-1]) * N + a[2:]].mean()))
+    runs = HIGH.findall(text)
+    return len(runs) >= 3 and any(sum(may.issuperset(r) and _undone(r, state, _memo[state]) is not None for r in runs) >= 0.7 * len(runs) for state, may in _SURE)
 
 
 def repetition(texts: list[str]) -> float:
@@ -174,42 +143,82 @@ def masked(text: str) -> str:
     return text.lower()
 
 
+#: Code of a slot: a name, a number, a path, an address.
+_SLOT = 1
+_INNER = re.compile(r"[^\W\d_][/.:@_#][^\W\d_]|[/\\@#_]")
+_EDGES = "\"'“”„«»‘’()[]<>¿¡.,;:!?–—-|…"
+
+
+class _Codes(dict):
+    """word -> its code, _SLOT or 0 for a mere mark; new words are kept up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(_EDGES)
+        if not bare:
+            got = 0
+        elif bare[0].isupper() or any(c.isdigit() for c in bare) or _INNER.search(bare):
+            got = _SLOT
+        else:
+            got = zlib.crc32(bare.lower().encode("utf-8", "surrogatepass")) + 2
+        if len(self) < 400_000:
+            self[word] = got
+        return got
+
+
+_code = _Codes().__getitem__
+#: Words at either end of a line that are aligned with the ends of others.
+EDGE = 4
+
+
+def skeleton(text: str) -> list[int]:
+    """Codes of a line's words; names, numbers and paths in a row are one slot. A line in capitals has no names."""
+    out: list[int] = []
+    for c in map(_code, (text.lower() if text.isupper() else text).split()):
+        if c and (c != _SLOT or not out or out[-1] != _SLOT):
+            out.append(c)
+    return out
+
+
+def _key(codes: list[int], kind: int) -> int:
+    return xxhash.xxh3_64_intdigest(array("Q", codes).tobytes(), kind) - 2**63
+
+
+def form_of(codes: list[int]) -> int | None:
+    """Key of a skeleton with words of its own."""
+    return _key(codes, 0) if any(c != _SLOT for c in codes) else None
+
+
+def edges_of(codes: list[int]) -> list[int]:
+    """Keys of both ends of a longer skeleton: what stands before or after a slot that holds anything."""
+    if len(codes) <= EDGE:
+        return []
+    return [_key(part, k) for k, part in ((1, codes[:EDGE]), (2, codes[-EDGE:])) if sum(c != _SLOT for c in part) >= 2]
+
+
 class Page:
     """Counts and lines of one page."""
 
-    __slots__ = ("lines", "words", "prose", "keywords", "article", "loose", "total", "notice", "filler", "gap", "damaged", "is_prose", "best")
+    __slots__ = ("lines", "words", "perplexities", "perplexity", "prose", "keywords", "article", "loose", "total", "damaged", "is_prose", "fluent", "best", "stuffed")
 
-    def __init__(self, content: str, model: np.ndarray) -> None:
+    def __init__(self, content: str, model: Model) -> None:
         self.lines: list[Line] = lines_of(content)
-        codes, begins, n, f = line_symbols([x.bare for x in self.lines])
-        if len(begins):
-            lp = model[codes]
-            lp[-2:] = 0
-            # the two start marks of each line but the first end the line before it: they are no part of it
-            sums = np.add.reduceat(lp, begins)
-            ends = np.append(begins[1:], len(codes))
-            lengths = np.maximum(ends - begins - 2, 1)
-            sums[:-1] -= (lp[ends - 2] + lp[ends - 1])[:-1]
-            perplexity = np.exp(-sums / lengths)
-            fluent = (n >= LEAST_WORDS) & (f >= FUNCTION_SHARE * n) & (perplexity <= MOST_PERPLEXING)
-        else:
-            fluent = np.zeros(0, bool)
-        self.notice = self.filler = False
-        self.gap = any(has_placeholder(x.bare) for x in self.lines)
-        self.words = n.tolist()
-        self._count(n.tolist(), [bool(a) and not x.link for a, x in zip(fluent, self.lines)])
-        if self.article < SURELY or not self._surely():
-            self._look_closer(n.tolist(), model)
-
-    def _surely(self) -> bool:
-        """Whether SURELY words of the best container are neither filler nor notice, as a closer look tells them."""
-        left = SURELY
-        for x, nw, prose in zip(self.lines, self.words, self.is_prose):
-            if prose and x.box == self.best and not (FILLER.search(x.bare) or nw <= 40 and (NOTICE.search(x.bare) or SCRIPTS.search(x.bare))):
-                left -= nw
-                if left <= 0:
-                    return True
-        return False
+        found: Events = events([x.bare for x in self.lines])
+        self.perplexities = model.perplexities(found)
+        self.perplexity = float(np.exp(-model.logs[found.codes].mean())) if len(found.codes) else 1.0
+        self.fluent = fluent = ((found.words >= LEAST_WORDS) & model.normal(self.perplexities)).tolist()
+        n = found.words.tolist()
+        self.words = list(n)
+        is_prose = [bool(a) and not x.link and not x.noscript for a, x in zip(fluent, self.lines)]
+        self.stuffed = False
+        lost = 0
+        for k, x in enumerate(self.lines):
+            if not is_prose[k] and n[k] >= 6 and not x.link and not x.bare.isascii():
+                is_prose[k] = reading(x.bare, model, self.perplexities[k])
+                if not is_prose[k] and misread(x.bare):
+                    lost += n[k]
+                    n[k] = 0
+        self._count(n, is_prose)
+        self.damaged += lost
 
     def _count(self, n: list[int], is_prose: list[bool]) -> None:
         boxes: dict[int, int] = {}
@@ -233,9 +242,11 @@ class Page:
             self.best = max(boxes, key=boxes.get, default=0)
         self.article = boxes.get(self.best, 0)
         ended = any(prose and not x.path and ENDS.search(x.bare) for x, prose in zip(self.lines, is_prose)) if self.article < ARTICLE <= self.loose else True
-        if not ended or (self.article < ARTICLE <= self.loose and self._is_stuffed(is_prose, 0, LOOSELY_STUFFED)):
+        if self.article < ARTICLE <= self.loose and self._is_stuffed(is_prose, 0, LOOSELY_STUFFED):
             self._drop(n, is_prose, 0)
             self.loose = 0
+        elif not ended:
+            self.loose = 0
         self.is_prose = is_prose
 
     def _is_stuffed(self, is_prose: list[bool], box: int, most: float) -> bool:
@@ -243,40 +254,26 @@ class Page:
 
     def _drop(self, n: list[int], is_prose: list[bool], box: int) -> None:
         """The prose of a container becomes keywords."""
+        self.stuffed = True
         for k, x in enumerate(self.lines):
             if is_prose[k] and x.box == box:
                 is_prose[k] = False
                 self.prose -= n[k]
                 self.keywords += n[k]
 
-    def _look_closer(self, n: list[int], model: np.ndarray) -> None:
-        """On pages with little prose: set notices and filler apart, undo wrong readings."""
-        outside = sum(nw for x, nw in zip(self.lines, n) if not x.noscript)
-        is_prose = list(self.is_prose)
-        beyond = 0
-        for k, x in enumerate(self.lines):
-            if x.link:
-                continue
-            if FILLER.search(x.bare):
-                self.filler = True
-            elif n[k] <= 40 and (NOTICE.search(x.bare) or SCRIPTS.search(x.bare)):
-                self.notice |= not x.noscript or outside <= ARTICLE
-            else:
-                if not is_prose[k] and n[k] >= 6 and not x.bare.isascii():
-                    is_prose[k] = reading(x.bare, model)
-                    if not is_prose[k] and misread(x.bare):
-                        beyond += n[k]
-                        n[k] = 0
-                continue
-            is_prose[k] = False
-            n[k] = 0
-        self._count(n, is_prose)
-        self.damaged += beyond
+    @property
+    def in_box(self) -> bool:
+        return self.article >= ARTICLE
+
+    @property
+    def beside(self) -> bool:
+        """Whether the article stands in the body itself, on a page that has none in a container."""
+        return not self.in_box and self.loose >= max(3 * ARTICLE, self.keywords)
 
     @property
     def has_article(self) -> bool:
-        """Prose enough in one container, or sentences beside containers on pages without such; damaged text counts as such, repetition does not."""
-        return self.article >= ARTICLE or self.damaged >= ARTICLE or self.loose >= max(3 * ARTICLE, self.keywords)
+        """Prose enough in one container, or beside containers on pages without such; damaged text counts as such, repetition does not."""
+        return self.in_box or self.damaged >= ARTICLE or self.beside
 
 
 #: Elements that belong to the body of an article whatever they say.
@@ -284,6 +281,8 @@ PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th blockquote figcaption cap
 #: Longer lines are no notices of the site.
 NOTICE_WORDS = 25
 _DATE_LIKE = re.compile(r"\d{4}-\d\d-\d\d|\b\d{1,2}[./]\d{1,2}[./]\d{4}\b|\b\d{1,2}:\d\d\b")
+#: Path of an article that stands in the body itself.
+BODY_ITSELF = "body"
 
 
 def body_lines(page: Page, n: list[int]) -> list[tuple[int, str, int | None, int | None]]:
@@ -293,69 +292,143 @@ def body_lines(page: Page, n: list[int]) -> list[tuple[int, str, int | None, int
     a paragraph that ends like a sentence may still be one of the site's notices.
     """
     out = []
+    beside = page.beside
     for x, nw in zip(page.lines, n):
-        if not x.path or x.link or x.noscript or ASIDE.search(x.path):
+        if not (x.path or beside) or x.link or x.noscript or ASIDE.search(x.path):
             continue
+        path = x.path or BODY_ITSELF
         if x.tag in PARTS:
-            out.append((x.no, x.path, None, None))
+            out.append((x.no, path, None, None))
         elif nw >= 3 and (nw >= 12 or ENDS.search(x.text) or LOST in x.text) and not (nw < 12 and _DATE_LIKE.search(x.text)):
             if nw > NOTICE_WORDS:
-                out.append((x.no, x.path, None, None))
+                out.append((x.no, path, None, None))
             else:
-                out.append((x.no, x.path, digest(x.text.lower()), digest(masked(x.text))))
+                out.append((x.no, path, digest(x.text.lower()), digest(masked(x.text))))
     return out
 
 
+#: A variable's name.
+_IDENTIFIER = r"[^\W\d_][^\W_]*(?:[_.-][^\W_]+)*"
+#: A few words between marks that prose does not use: what a template language, or an editor, puts around a slot.
+MARKED = re.compile(rf"([{{}}\[\]<>%$#@_^]+=?)\s*({_IDENTIFIER}(?:\s+{_IDENTIFIER})*)\s*([{{}}\[\]<>%$#@_^]+)")
+_MARK = re.compile(r"[{}\[\]<>%$#@_^]")
+#: So many characters of marks around a single name make it a variable by its looks.
+SURE_MARKS = 3
+
+
+def variables(text: str) -> list[tuple[str, str, bool]]:
+    """(marks with a gap where a name may stand, that name, whether it is a variable by its looks) of a line.
+
+    Several words between marks give one entry for each of them: where the name stands shows only
+    when many records are aligned.
+    """
+    out = []
+    for open_, inside, close in MARKED.findall(text):
+        found = inside.lower().split()
+        for k, word in enumerate(found):
+            wrap = " ".join([open_, *found[:k], "\0", *found[k + 1 :], close])
+            out.append((wrap, word.rpartition(".")[2], len(found) == 1 and len(open_) + len(close) >= SURE_MARKS))
+    return out
+
+
+_LINE = pa.struct([("no", pa.int32()), ("path", pa.string()), ("key", pa.int64()), ("template", pa.int64())])
+_FORM = pa.struct([("form", pa.int64()), ("key", pa.int64()), ("words", pa.int32()), ("fluent", pa.int32())])
+_USE = pa.struct([("word", pa.int64()), ("n", pa.int32()), ("small", pa.bool_())])
+_VARIABLE = pa.struct([("wrap", pa.string()), ("name", pa.string()), ("sure", pa.bool_())])
 ANALYSIS = pa.schema(
     [
+        ("page", pa.int64()),
         ("record_seq", pa.int64()),
         ("site", pa.string()),
         ("status", pa.int32()),
         ("has_article", pa.bool_()),
+        ("damaged", pa.bool_()),
         ("article", pa.int32()),
+        ("total", pa.int32()),
         ("keywords", pa.int32()),
-        ("notice", pa.bool_()),
-        ("filler", pa.bool_()),
-        ("gap", pa.bool_()),
+        ("perplexity", pa.float64()),
+        ("normal", pa.bool_()),
         ("path", pa.string()),
-        ("lines", pa.list_(pa.struct([("no", pa.int32()), ("path", pa.string()), ("key", pa.int64()), ("template", pa.int64())]))),
-        ("templates", pa.list_(pa.int64())),
+        ("lines", pa.list_(_LINE)),
+        ("forms", pa.list_(_FORM)),
+        ("edges", pa.list_(pa.int64())),
+        ("uses", pa.list_(_USE)),
+        ("variables", pa.list_(_VARIABLE)),
     ]
 )
 ANALYSIS_DDL = (
-    "record_seq bigint, site string, status int, has_article boolean, article int, keywords int, notice boolean, filler boolean, gap boolean, "
-    "path string, lines array<struct<no: int, path: string, key: bigint, template: bigint>>, templates array<bigint>"
+    "page bigint, record_seq bigint, site string, status int, has_article boolean, damaged boolean, article int, total int, keywords int, perplexity double, normal boolean, "
+    "path string, lines array<struct<no: int, path: string, key: bigint, template: bigint>>, forms array<struct<form: bigint, key: bigint, words: int, fluent: int>>, "
+    "edges array<bigint>, uses array<struct<word: bigint, n: int, small: boolean>>, variables array<struct<wrap: string, name: string, sure: boolean>>"
 )
+#: Words of articles that a worker remembers to have sent.
+REMEMBERED = 1_000_000
+
+
+def _uses(page: Page, sent: set[int] | None) -> list[dict]:
+    """Words of a page. Of articles only those in lower case count, as words that are no filler; each is sent once by a worker."""
+    if sent is None:
+        small: set[str] = set()
+        found: Counter = Counter()
+        for x in page.lines:
+            for w in WORD.findall(x.bare):
+                low = w.lower()
+                found[low] += 1
+                if w == low:
+                    small.add(w)
+        return [{"word": digest(w), "n": n, "small": w in small} for w, n in found.items()]
+    out = []
+    for x in page.lines:
+        for w in WORD.findall(x.bare):
+            if w.islower() and (h := hash(w)) not in sent:
+                if len(sent) < REMEMBERED:
+                    sent.add(h)
+                out.append({"word": digest(w), "n": 1, "small": True})
+    return out
 
 
-#: Longer lines of an article are not compared with templates.
-FORM_CHARS = 160
-
-
-def analyse(records: DataFrame, with_lines: bool, with_forms: bool = False) -> DataFrame:
+def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool = False) -> DataFrame:
     """One row of counts for each page, written to the shared folder.
 
-    ``with_lines`` adds the lines that may be main body. ``templates`` are the masked lines of pages
-    without an article, for the induction of error templates; ``with_forms`` adds those of the other
-    pages, short lines only, which tell templates from the furniture of sites.
+    ``page`` numbers the rows, as a record may come twice. ``forms`` has the lines outside of links: the key of their skeleton, that of their text, the
+    words of prose they give to the article, and those of normal perplexity; ``normal`` is whether the
+    page's perplexity is that of prose and its text does not foretell itself by repetition; ``edges`` the ends of the skeletons, and ``uses`` the words
+    (of a page with an article only those its worker has not sent before). ``with_lines`` adds the
+    lines that may be main body, ``with_variables`` what stands between marks.
     """
     pages = page_records(records, F.expr("try_cast(split_part(http_statusline, ' ', 1) AS int) AS status"))
     model = prose_model(pages)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        sent: set[int] = set()
+        n_pages = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for (seq, site, status), content in zip(columns(batch, "record_seq", "site", "status"), contents(batch)):
                 page = Page(content, m)
-                best = next((x.path for x in page.lines if x.box == page.best and x.path), None) if page.article else None
-                article = page.has_article
-                row = {"record_seq": seq, "site": site, "status": status, "has_article": article, "article": page.article, "keywords": page.keywords}
-                row |= {"notice": page.notice, "filler": page.filler, "gap": page.gap, "path": best, "lines": None, "templates": None}
+                article, beside = page.has_article, page.beside
+                best = BODY_ITSELF if beside else next((x.path for x in page.lines if x.box == page.best and x.path), None) if page.article else None
+                n_pages += 1
+                row = {"page": n_pages, "record_seq": seq, "site": site, "status": status, "has_article": article, "damaged": page.damaged >= ARTICLE, "article": page.loose if beside else page.article}
+                row |= {"total": page.total, "keywords": page.keywords, "perplexity": page.perplexity, "normal": not page.stuffed and bool(m.normal(np.float64(page.perplexity))), "path": best, "lines": None, "variables": None}
                 if with_lines and article:
                     row["lines"] = [dict(zip(("no", "path", "key", "template"), x)) for x in body_lines(page, page.words)]
-                if with_forms or not article:
-                    row["templates"] = list({digest(masked(x.bare)) for x in page.lines if not x.link and x.bare and (not article or len(x.bare) <= FORM_CHARS)})
+                of = 0 if beside else page.best
+                forms: list[dict] = []
+                edges: set[int] = set()
+                for x, nw, prose, fluent in zip(page.lines, page.words, page.is_prose, page.fluent):
+                    if x.link:
+                        continue
+                    codes = skeleton(x.bare)
+                    form = form_of(codes)
+                    if form is not None:
+                        forms.append({"form": form, "key": digest(x.bare), "words": nw if prose and x.box == of else 0, "fluent": nw if fluent else 0})
+                        edges.update(edges_of(codes))
+                row["forms"], row["edges"] = forms, list(edges)
+                row["uses"] = _uses(page, sent if article else None)
+                if with_variables:
+                    row["variables"] = [dict(zip(("wrap", "name", "sure"), v)) for x in page.lines if _MARK.search(x.bare) for v in variables(x.bare)]
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, ANALYSIS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 
 H = "array<struct<name: string, value: string>>"
@@ -43,17 +45,20 @@ def odd_rows() -> list:
 
 
 SENTENCES = {
-    "en": "The surveyor walked along the river bank and wrote down what the miller had said about the flood of {n}. It was not the first time that the council of {w} had heard of it, and they decided to wait for the report of the engineer.",
-    "fr": "Le conseil de {w} a décidé que le pont serait réparé avant la fin de l’été, et les habitants ont été prévenus par le maire. Après la crue de {n}, il était resté fermé pendant des mois, malgré les plaintes de la ville.",
-    "de": "Der Rat von {w} hat beschlossen, dass die Brücke bis zum Ende des Sommers über den Fluss wieder geöffnet wird. Nach dem Hochwasser von {n} war sie für die Müller und Händler nicht zu benutzen, größere Schäden blieben.",
-    "ru": "Совет города {w} решил, что мост будет открыт до конца лета, и жители узнали об этом из газеты. После разлива {n} года он был закрыт на ремонт, хотя мельники и купцы просили о другом решении.",
-    "pl": "Rada miasta {w} uznała, że most będzie otwarty przed końcem lata, choć mieszkańcy żądali tego już wcześniej. Po powodzi z {n} roku był on zamknięty przez całą zimę, a młynarze nie mogli się z tym pogodzić.",
+    "en": "The {a} walked along the {b} bank and wrote down what the {c} had said about the flood of {n}. It was not the first time that the {d} of {w} had heard of it, and they decided to wait for the report of the engineer.",
+    "fr": "Le {a} de {w} a décidé que le {b} serait réparé avant la fin de l’été, et les {c} ont été prévenus par le maire. Après la crue de {n}, il était resté fermé pendant des mois, malgré les {d} de la ville.",
+    "de": "Der {a} von {w} hat beschlossen, dass die {b} bis zum Ende des Sommers über den Fluss wieder geöffnet wird. Nach dem Hochwasser von {n} war sie für die {c} und {d} nicht zu benutzen, größere Schäden blieben.",
+    "ru": "Совет города {w} решил, что {a} будет открыт до конца лета, и {b} узнали об этом из газеты. После разлива {n} года он был закрыт на {c}, хотя {d} и купцы просили о другом решении.",
+    "pl": "Rada miasta {w} uznała, że {a} będzie otwarty przed końcem lata, choć {b} żądali tego już wcześniej. Po {c} z {n} roku był on zamknięty przez całą zimę, a {d} nie mogli się z tym pogodzić.",
 }
+#: Words for any language, so that no two sentences have the same form.
+NOUNS = [a + b for a in "tal mir sov dek pun rel gam lis nor bek".split() for b in "ar in om ut ek".split()]
 NAMES = "Alder Birk Cole Dane Elm Fenn Gale Holt Ives Jarl Kerr Lund Moor Nash Orme Pell Quill Reed Stow Thorn".split()
 
 
 def prose(k: int, lang: str = "en") -> str:
-    return SENTENCES[lang].format(n=1800 + k % 200, w=NAMES[k % 20] + NAMES[(k // 20) % 20].lower())
+    rng = random.Random(f"{lang} {k}")
+    return SENTENCES[lang].format(n=1800 + k % 200, w=NAMES[k % 20] + NAMES[(k // 20) % 20].lower(), **{x: rng.choice(NOUNS) for x in "abcd"})
 
 
 def article(k: int, lang: str = "en", site: str = "Alder Post", tag: str = "article", paragraphs: int = 4) -> str:
