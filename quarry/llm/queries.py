@@ -41,6 +41,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "archive_records")).select("record_seq", "line_no")
 
 
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.repeated_lines import line_clusters
+
+    return line_clusters(table(spark, sf_dir, "archive_records"))
+
+
 def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.repeated_lines import without_repeated
 
@@ -127,7 +133,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_restored, p2_found, p3_found, p5_found, p5_cleaned, p6_found, p6_kinds, p7_found, p7_texts,
+        p1_found, p1_restored, p2_found, p3_found, p5_found, p5_clusters, p5_cleaned, p6_found, p6_kinds, p7_found, p7_texts,
         p8_found, p8_containers, p8_usage, p9_selection, p9_shares, p10_found, p10_composition,
     )
 }
