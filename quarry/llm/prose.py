@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-TOKEN = re.compile(r"[^\W\d_]+|\d+")
+TOKEN = re.compile(r"[^\W\d_]+|\d+|\n")
 
 #: Function words by group, over the languages of the crawl (en de fr es pl ru).
 FUNCTION_WORDS = {
@@ -47,7 +47,9 @@ class _Classes(dict):
     """token -> its class; new tokens are kept up to a bound."""
 
     def __missing__(self, token: str) -> int:
-        if token[0].isdigit():
+        if token == "\n":
+            got = _END
+        elif token[0].isdigit():
             got = _NUMBER
         else:
             got = _GROUP.get(token.lower())
@@ -73,15 +75,11 @@ class Events(NamedTuple):
 
 
 def events(lines: list[str]) -> Events:
-    """Events of lines."""
-    flat: list[int] = []
-    for text in lines:
-        flat += map(_class, TOKEN.findall(text))
-        flat.append(_END)
-    if not flat:
+    """Events of lines, none of which holds a line end."""
+    if not lines:
         none = np.zeros(0, np.int64)
         return Events(none, none, none, none, none)
-    a = np.array(flat, np.int64)
+    a = np.array(list(map(_class, TOKEN.findall("\n".join([*lines, ""])))), np.int64)
     at = np.nonzero((a < GROUPS) | (a == _END))[0]
     kinds = a[at]
     ends = kinds == _END

@@ -43,7 +43,6 @@ STUFFED, LOOSELY_STUFFED = 0.15, 0.08
 ASIDE = re.compile(r"(?:^|/)(?:nav|aside|footer)(?=$|[/.#\[])|(?:^|/)(?<!article/)header(?=$|[/.#\[])")
 ENDS = re.compile(r"[.!?…]['\"”“»’)\]]*$")
 HIGH = re.compile(r"[^\x00-\x7f]+")
-WORD = re.compile(r"[^\W\d_]+")
 
 
 def count_trigrams(pages: DataFrame) -> DataFrame:
@@ -83,19 +82,36 @@ def _undone(run: str, state: tuple, memo: dict[str, str | None]) -> str | None:
     return new
 
 
+#: Lines whose other reading a worker remembers: those of the furniture come again on every page.
+_read: dict[str, bool] = {}
+_WIDE = [(s, may) for s, may in _LETTERS if s[0][0] == "utf-8" or len(s) > 1]
+
+
 def reading(text: str, model: Model, odd: float) -> bool:
     """Whether a line of perplexity odd is prose once a wrong reading of its bytes is undone."""
+    got = _read.get(text)
+    if got is None:
+        got = _reading(text, model, odd)
+        if len(_read) < 50_000:
+            _read[text] = got
+    return got
+
+
+def _reading(text: str, model: Model, odd: float) -> bool:
     runs = set(HIGH.findall(text))
     if len(runs) < 3:
         return False
-    others: list[str] = []
-    for state, may in _LETTERS:
+    found = text.split()
+    # one byte for one: function words of few letters outside ASCII can be read as they stand
+    states = _LETTERS if 2 * sum(not w.isascii() for w in found) >= len(found) else _WIDE
+    others: set[str] = set()
+    for state, may in states:
         memo = _memo[state]
         if sum(may.issuperset(r) and _undone(r, state, memo) is not None for r in runs) >= max(3, len(runs) // 2):
-            others.append(HIGH.sub(lambda m: _undone(m.group(0), state, memo) or m.group(0), text))
+            others.add(HIGH.sub(lambda m: _undone(m.group(0), state, memo) or m.group(0), text))
     if not others:
         return False
-    now = model.perplexities(events(others))
+    now = model.perplexities(events(list(others)))
     return bool((model.normal(now) & (now <= CLEARER * odd)).any())
 
 
@@ -154,7 +170,7 @@ class _Codes(dict):
 
     def __missing__(self, word: str) -> int:
         bare = word.strip(_EDGES)
-        if not bare:
+        if not any(map(str.isalnum, bare)):
             got = 0
         elif bare[0].isupper() or any(c.isdigit() for c in bare) or _INNER.search(bare):
             got = _SLOT
@@ -365,26 +381,21 @@ ANALYSIS_DDL = (
 REMEMBERED = 1_000_000
 
 
-def _uses(page: Page, sent: set[int] | None) -> list[dict]:
-    """Words of a page. Of articles only those in lower case count, as words that are no filler; each is sent once by a worker."""
-    if sent is None:
-        small: set[str] = set()
-        found: Counter = Counter()
-        for x in page.lines:
-            for w in WORD.findall(x.bare):
-                low = w.lower()
-                found[low] += 1
-                if w == low:
-                    small.add(w)
-        return [{"word": digest(w), "n": n, "small": w in small} for w, n in found.items()]
-    out = []
+def _uses(page: Page) -> list[dict]:
+    """Words of a page without an article: key, count, whether it stands there in lower case."""
+    found: Counter = Counter()
+    small: set[int] = set()
     for x in page.lines:
-        for w in WORD.findall(x.bare):
-            if w.islower() and (h := hash(w)) not in sent:
-                if len(sent) < REMEMBERED:
-                    sent.add(h)
-                out.append({"word": digest(w), "n": 1, "small": True})
-    return out
+        for w in x.bare.split():
+            code = _code(w)
+            if code > _SLOT:
+                small.add(code)
+            elif code == 0 or any(c.isdigit() for c in w):
+                continue
+            else:
+                code = zlib.crc32(w.strip(_EDGES).lower().encode("utf-8", "surrogatepass")) + 2
+            found[code] += 1
+    return [{"word": w, "n": n, "small": w in small} for w, n in found.items()]
 
 
 def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool = False) -> DataFrame:
@@ -393,7 +404,7 @@ def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool =
     ``page`` numbers the rows, as a record may come twice. ``forms`` has the lines outside of links: the key of their skeleton, that of their text, the
     words of prose they give to the article, and those of normal perplexity; ``normal`` is whether the
     page's perplexity is that of prose and its text does not foretell itself by repetition; ``edges`` the ends of the skeletons, and ``uses`` the words
-    (of a page with an article only those its worker has not sent before). ``with_lines`` adds the
+    (of a page with an article only those in lower case outside of links that its worker has not sent before). ``with_lines`` adds the
     lines that may be main body, ``with_variables`` what stands between marks.
     """
     pages = page_records(records, F.expr("try_cast(split_part(http_statusline, ' ', 1) AS int) AS status"))
@@ -417,16 +428,25 @@ def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool =
                 of = 0 if beside else page.best
                 forms: list[dict] = []
                 edges: set[int] = set()
+                small: set[int] = set()
                 for x, nw, prose, fluent in zip(page.lines, page.words, page.is_prose, page.fluent):
                     if x.link:
                         continue
                     codes = skeleton(x.bare)
+                    small.update(codes)
                     form = form_of(codes)
                     if form is not None:
                         forms.append({"form": form, "key": digest(x.bare), "words": nw if prose and x.box == of else 0, "fluent": nw if fluent else 0})
                         edges.update(edges_of(codes))
                 row["forms"], row["edges"] = forms, list(edges)
-                row["uses"] = _uses(page, sent if article else None)
+                if article:
+                    small -= sent
+                    small.discard(_SLOT)
+                    if len(sent) < REMEMBERED:
+                        sent |= small
+                    row["uses"] = [{"word": w, "n": 1, "small": True} for w in small]
+                else:
+                    row["uses"] = _uses(page)
                 if with_variables:
                     row["variables"] = [dict(zip(("wrap", "name", "sure"), v)) for x in page.lines if _MARK.search(x.bare) for v in variables(x.bare)]
                 rows.append(row)
