@@ -90,3 +90,22 @@ def lines_of(content: str) -> list[Line]:
         link = ("<a " in raw or "<A " in raw) and not TAG.sub("", _ANCHOR.sub("", raw)).strip(" \t\r|›»·,")
         out.append(Line(no, text, bare, path, box, tag, link, noscript))
     return out
+
+
+#: A mark that ends a sentence, or a tag that closes, before the end of a line.
+_LATE = re.compile(r"[.!?…]['\"”“»’)\]]*(?:\s|</?[A-Za-z][^<>]*>)*$")
+
+
+def sentence_lines(content: str, least: int = 40) -> list[str]:
+    """Lines outside of links, longer than so many characters, that end like a sentence."""
+    out = []
+    for _, raw in raw_lines(content):
+        if len(raw) > least and _LATE.search(raw) and "<a " not in raw and "<A " not in raw:
+            if "<code" in raw or "<CODE" in raw:
+                raw = CODE.sub(" ", raw)
+            if "<" in raw:
+                raw = TAG.sub(" ", raw)
+            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+            if len(text) > least:
+                out.append(text)
+    return out

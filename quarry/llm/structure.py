@@ -8,8 +8,6 @@ pass counts.
 from __future__ import annotations
 
 import re
-import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry import workspace
-from quarry.llm.blocks import Line, lines_of
+from quarry.llm.blocks import Line, lines_of, sentence_lines
 from quarry.llm.encodings import LOST, STATES, letters, restored
 from quarry.llm.pages import columns, contents, page_records
-from quarry.llm.prose import Events, Model, N, events, train
+from quarry.llm.prose import Model, N, events, train
 
 #: Fewest words of a line that can be prose.
 LEAST_WORDS = 4
@@ -51,7 +49,7 @@ def count_trigrams(pages: DataFrame) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N**3, np.int64)
         for batch in batches:
-            found = events([x.bare for content in contents(batch) for x in lines_of(content) if not x.link and len(x.bare) > 40 and ENDS.search(x.bare)])
+            found = events([x for content in contents(batch) for x in sentence_lines(content)])
             if len(found.codes):
                 taught = np.repeat((found.words >= TAUGHT_WORDS) & (found.function >= TAUGHT_SHARE * found.words), found.sizes)
                 at, n = np.unique(found.codes[taught], return_counts=True)
@@ -137,8 +135,9 @@ def repetition(texts: list[str]) -> float:
         if n < PIECE // 5:
             continue
         pairs += n
-        if n - len(set(piece)) >= OFTEN:
-            again += sum(c - OFTEN for c in Counter(zip(piece, piece[1:])).values() if c > OFTEN)
+        both = list(zip(piece, piece[1:]))
+        if n - len(set(both)) >= OFTEN:
+            again += sum(c - OFTEN for c in Counter(both).values() if c > OFTEN)
     return again / pairs if pairs else 0.0
 
 
@@ -159,82 +158,101 @@ def masked(text: str) -> str:
     return text.lower()
 
 
-#: Code of a slot: a name, a number, a path, an address.
-_SLOT = 1
+#: A slot: a name, a number, a path, an address.
+SLOT = "\0"
 _INNER = re.compile(r"[^\W\d_][/.:@_#][^\W\d_]|[/\\@#_]")
 _EDGES = "\"'“”„«»‘’()[]<>¿¡.,;:!?–—-|…"
+_SLOTS = re.compile(f"{SLOT}(?: {SLOT})+")
 
 
-class _Codes(dict):
-    """word -> its code, _SLOT or 0 for a mere mark; new words are kept up to a bound."""
+class _Masked(dict):
+    """word -> the word in lower case without marks, SLOT, or nothing for a mere mark; new words are kept up to a bound."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> str:
         bare = word.strip(_EDGES)
         if not any(map(str.isalnum, bare)):
-            got = 0
+            got = ""
         elif bare[0].isupper() or any(c.isdigit() for c in bare) or _INNER.search(bare):
-            got = _SLOT
+            got = SLOT
         else:
-            got = zlib.crc32(bare.lower().encode("utf-8", "surrogatepass")) + 2
+            got = bare.lower()
         if len(self) < 400_000:
             self[word] = got
         return got
 
 
-_code = _Codes().__getitem__
+_masked = _Masked().__getitem__
 #: Words at either end of a line that are aligned with the ends of others.
 EDGE = 4
 
 
-def skeleton(text: str) -> list[int]:
-    """Codes of a line's words; names, numbers and paths in a row are one slot. A line in capitals has no names."""
-    out: list[int] = []
-    for c in map(_code, (text.lower() if text.isupper() else text).split()):
-        if c and (c != _SLOT or not out or out[-1] != _SLOT):
-            out.append(c)
-    return out
-
-
-def _key(codes: list[int], kind: int) -> int:
-    return xxhash.xxh3_64_intdigest(array("Q", codes).tobytes(), kind) - 2**63
+def skeleton(text: str) -> str:
+    """A line's words; names, numbers and paths in a row are one slot. A line in capitals has no names."""
+    return _SLOTS.sub(SLOT, " ".join(filter(None, map(_masked, (text.lower() if text.isupper() else text).split()))))
 
 
-def form_of(codes: list[int]) -> int | None:
+def form_of(codes: str) -> int | None:
     """Key of a skeleton with words of its own."""
-    return _key(codes, 0) if any(c != _SLOT for c in codes) else None
+    return digest(codes) if codes and codes != SLOT else None
 
 
-def edges_of(codes: list[int]) -> list[int]:
+def edges_of(codes: str) -> list[int]:
     """Keys of both ends of a longer skeleton: what stands before or after a slot that holds anything."""
-    if len(codes) <= EDGE:
+    start = codes.split(" ", EDGE)
+    if len(start) <= EDGE:
         return []
-    return [_key(part, k) for k, part in ((1, codes[:EDGE]), (2, codes[-EDGE:])) if sum(c != _SLOT for c in part) >= 2]
+    ends = ["> " + " ".join(start[:EDGE]), "< " + " ".join(codes.rsplit(" ", EDGE)[1:])]
+    return [digest(x) for x in ends if x.count(SLOT) <= EDGE - 2]
+
+
+def pages_of(contents_: Iterator[str], model: Model) -> Iterator["Page"]:
+    """Pages of a batch; their lines are scored together."""
+    all_lines = [lines_of(content) for content in contents_]
+    own = [[k for k, x in enumerate(lines) if not x.link] for lines in all_lines]
+    found = events([lines[k].bare for lines, at in zip(all_lines, own) for k in at])
+    odd = model.perplexities(found)
+    fluent = ((found.words >= LEAST_WORDS) & model.normal(odd)).tolist()
+    odd, words = odd.tolist(), found.words.tolist()
+    start = 0
+    for lines, at in zip(all_lines, own):
+        end = start + len(at)
+        yield Page(lines, at, words[start:end], fluent[start:end], odd[start:end], model)
+        start = end
 
 
 class Page:
     """Counts and lines of one page."""
 
-    __slots__ = ("lines", "words", "perplexities", "perplexity", "prose", "keywords", "article", "loose", "total", "damaged", "is_prose", "fluent", "best", "stuffed")
+    __slots__ = ("lines", "words", "prose", "keywords", "article", "loose", "total", "damaged", "is_prose", "fluent", "best", "stuffed")
 
-    def __init__(self, content: str, model: Model) -> None:
-        self.lines: list[Line] = lines_of(content)
-        found: Events = events([x.bare for x in self.lines])
-        self.perplexities = model.perplexities(found)
-        self.perplexity = float(np.exp(-model.logs[found.codes].mean())) if len(found.codes) else 1.0
-        self.fluent = fluent = ((found.words >= LEAST_WORDS) & model.normal(self.perplexities)).tolist()
-        n = found.words.tolist()
-        self.words = list(n)
-        is_prose = [bool(a) and not x.link and not x.noscript for a, x in zip(fluent, self.lines)]
+    def __init__(self, lines: list[Line], own: list[int], words: list[int], fluent: list[bool], odd: list[float], model: Model) -> None:
+        """words, fluent and odd (perplexity) are those of the lines in own, which are outside of links."""
+        self.lines = lines
+        n = [len(x.bare.split()) if x.link and LOST not in x.bare else 0 for x in lines]
+        self.fluent = [False] * len(n)
+        is_prose = [False] * len(n)
         self.stuffed = False
-        lost = 0
-        for k, x in enumerate(self.lines):
-            if not is_prose[k] and n[k] >= 6 and not x.link and not x.bare.isascii():
-                is_prose[k] = reading(x.bare, model, self.perplexities[k])
+        lost = []
+        for k, nw, a, p in zip(own, words, fluent, odd):
+            x = lines[k]
+            n[k] = nw
+            self.fluent[k] = a
+            if a:
+                is_prose[k] = not x.noscript
+            elif nw >= 6 and not x.bare.isascii():
+                is_prose[k] = reading(x.bare, model, p)
                 if not is_prose[k] and misread(x.bare):
-                    lost += n[k]
-                    n[k] = 0
+                    lost.append(k)
+        self.words = list(n)
+        for k in lost:
+            n[k] = 0
         self._count(n, is_prose)
-        self.damaged += lost
+        self.damaged += sum(self.words[k] for k in lost)
+
+    def perplexity(self, model: Model) -> float:
+        """Of all lines together."""
+        found = events([x.bare for x in self.lines])
+        return float(np.exp(-model.logs[found.codes].mean())) if len(found.codes) else 1.0
 
     def _count(self, n: list[int], is_prose: list[bool]) -> None:
         boxes: dict[int, int] = {}
@@ -384,18 +402,20 @@ REMEMBERED = 1_000_000
 def _uses(page: Page) -> list[dict]:
     """Words of a page without an article: key, count, whether it stands there in lower case."""
     found: Counter = Counter()
-    small: set[int] = set()
+    small: set[str] = set()
     for x in page.lines:
         for w in x.bare.split():
-            code = _code(w)
-            if code > _SLOT:
-                small.add(code)
-            elif code == 0 or any(c.isdigit() for c in w):
-                continue
+            word = _masked(w)
+            if word == SLOT:
+                if any(c.isdigit() for c in w):
+                    continue
+                word = w.strip(_EDGES).lower()
+            elif word:
+                small.add(word)
             else:
-                code = zlib.crc32(w.strip(_EDGES).lower().encode("utf-8", "surrogatepass")) + 2
-            found[code] += 1
-    return [{"word": w, "n": n, "small": w in small} for w, n in found.items()]
+                continue
+            found[word] += 1
+    return [{"word": digest(w), "n": n, "small": w in small} for w, n in found.items()]
 
 
 def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool = False) -> DataFrame:
@@ -403,7 +423,8 @@ def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool =
 
     ``page`` numbers the rows, as a record may come twice. ``forms`` has the lines outside of links: the key of their skeleton, that of their text, the
     words of prose they give to the article, and those of normal perplexity; ``normal`` is whether the
-    page's perplexity is that of prose and its text does not foretell itself by repetition; ``edges`` the ends of the skeletons, and ``uses`` the words
+    perplexity of a page without an article is that of prose and its text does not foretell itself by
+    repetition; ``edges`` the ends of the skeletons, and ``uses`` the words
     (of a page with an article only those in lower case outside of links that its worker has not sent before). ``with_lines`` adds the
     lines that may be main body, ``with_variables`` what stands between marks.
     """
@@ -412,28 +433,28 @@ def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool =
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        sent: set[int] = set()
+        sent: set[str] = set()
         n_pages = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            for (seq, site, status), content in zip(columns(batch, "record_seq", "site", "status"), contents(batch)):
-                page = Page(content, m)
+            for (seq, site, status), page in zip(columns(batch, "record_seq", "site", "status"), pages_of(contents(batch), m)):
                 article, beside = page.has_article, page.beside
+                odd = None if article else page.perplexity(m)
                 best = BODY_ITSELF if beside else next((x.path for x in page.lines if x.box == page.best and x.path), None) if page.article else None
                 n_pages += 1
                 row = {"page": n_pages, "record_seq": seq, "site": site, "status": status, "has_article": article, "damaged": page.damaged >= ARTICLE, "article": page.loose if beside else page.article}
-                row |= {"total": page.total, "keywords": page.keywords, "perplexity": page.perplexity, "normal": not page.stuffed and bool(m.normal(np.float64(page.perplexity))), "path": best, "lines": None, "variables": None}
+                row |= {"total": page.total, "keywords": page.keywords, "perplexity": odd, "normal": odd is None or (not page.stuffed and m.low <= odd <= m.high), "path": best, "lines": None, "variables": None}
                 if with_lines and article:
                     row["lines"] = [dict(zip(("no", "path", "key", "template"), x)) for x in body_lines(page, page.words)]
                 of = 0 if beside else page.best
                 forms: list[dict] = []
                 edges: set[int] = set()
-                small: set[int] = set()
+                small: set[str] = set()
                 for x, nw, prose, fluent in zip(page.lines, page.words, page.is_prose, page.fluent):
                     if x.link:
                         continue
                     codes = skeleton(x.bare)
-                    small.update(codes)
+                    small.update(codes.split(" "))
                     form = form_of(codes)
                     if form is not None:
                         forms.append({"form": form, "key": digest(x.bare), "words": nw if prose and x.box == of else 0, "fluent": nw if fluent else 0})
@@ -441,10 +462,9 @@ def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool =
                 row["forms"], row["edges"] = forms, list(edges)
                 if article:
                     small -= sent
-                    small.discard(_SLOT)
                     if len(sent) < REMEMBERED:
                         sent |= small
-                    row["uses"] = [{"word": w, "n": 1, "small": True} for w in small]
+                    row["uses"] = [{"word": digest(w), "n": 1, "small": True} for w in small]
                 else:
                     row["uses"] = _uses(page)
                 if with_variables:
