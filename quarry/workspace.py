@@ -71,6 +71,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 #: Limits of the Arrow batches sent to Python workers where rows hold whole payloads.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
