@@ -44,6 +44,26 @@ def general(tag: str, attributes: str) -> str:
     return f"{tag}[{re.sub(r'[0-9]+', '0', rest)}]" if rest and tag in ("td", "th", "table", "div") else tag
 
 
+#: Whether markup around links has no text, by that markup.
+_bare: dict[str, bool] = {}
+
+
+def _has_no_text(markup: str) -> bool:
+    got = _bare.get(markup)
+    if got is None:
+        got = not TAG.sub("", markup).strip(" \t\r|›»·,")
+        if len(_bare) < 10_000:
+            _bare[markup] = got
+    return got
+
+
+def _all_links(raw: str) -> bool:
+    """Whether a line with a link has no text outside of links."""
+    if raw.count("<a ") == 1 and raw.count("</a>") == 1 and "<A" not in raw:
+        return _has_no_text(raw[: raw.index("<a ")]) and _has_no_text(raw[raw.index("</a>") + 4 :])
+    return _has_no_text(_ANCHOR.sub("", raw))
+
+
 def lines_of(content: str) -> list[Line]:
     """Lines with text. Elements may end out of order or never; an end tag closes up to its last start tag."""
     out: list[Line] = []
@@ -87,7 +107,7 @@ def lines_of(content: str) -> list[Line]:
         bare = text
         if "<code" in raw or "<CODE" in raw:
             bare = " ".join(html.unescape(TAG.sub(" ", CODE.sub(" ", raw))).split())
-        link = ("<a " in raw or "<A " in raw) and not TAG.sub("", _ANCHOR.sub("", raw)).strip(" \t\r|›»·,")
+        link = ("<a " in raw or "<A " in raw) and _all_links(raw)
         out.append(Line(no, text, bare, path, box, tag, link, noscript))
     return out
 

@@ -1,19 +1,23 @@
 """Filling containers of a fixed number of tokens with documents.
 
-Only the histogram of lengths decides: dynamic programming over it chooses the bucket boundaries
-that minimise padding, and inside each bucket, from the longest, batches with a token budget form.
-Space a batch leaves is offered to the shorter lengths of its own and the later buckets, the least
-sufficient space first; that takes the batches beyond plain padding to a bucket's length, which
-would leave a sixth of the space unused here. Lengths are at most the capacity, so histogram and
-plan are bounded whatever the number of documents. Documents find their place by the rank among
-those of their length.
+Only the histogram of lengths decides, and documents find their place by the rank among those of
+their length. Lengths are at most the capacity, so histogram and plan are bounded whatever the number
+of documents.
+
+Two plans are offered. ``by_buckets`` is optimal length buckets: dynamic programming over the
+histogram chooses the boundaries that minimise padding, and token-budget batches form inside each
+bucket, as many items as fit if each is as long as the bucket's bound. It leaves the space below the
+bound unused, and the rest of the capacity that no further item of the bucket fits. ``best_fit`` is
+best-fit decreasing on counts: from the longest length down, items go where the least sufficient
+space is left. It needs no buckets; their boundaries do not change what it does. filled() takes
+best_fit, as little unused space is what is asked for; README has the figures of both.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -66,7 +70,33 @@ class Placement(NamedTuple):
     n: int
 
 
-def plan(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS) -> tuple[list[Placement], int]:
+def by_buckets(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS) -> tuple[list[Placement], int]:
+    """Placements of all items up to the capacity in batches of their bucket, and the number of containers.
+
+    A batch holds capacity // bound items of its bucket, in falling length; the last batch of a bucket may hold fewer.
+    """
+    out: list[Placement] = []
+    used = low = 0
+    for high in bucket_boundaries({k: n for k, n in histogram.items() if k <= capacity}, buckets):
+        most, room = capacity // high, 0
+        for length in sorted((k for k, n in histogram.items() if low < k <= high and n), reverse=True):
+            left, first = histogram[length], 0
+            if room:  # the batch that the length before left open
+                n = min(room, left)
+                out.append(Placement(length, first, n, used - 1, 1))
+                first, left, room = first + n, left - n, room - n
+            full, rest = divmod(left, most)
+            if full:
+                out.append(Placement(length, first, most, used, full))
+                first, used = first + most * full, used + full
+            if rest:
+                out.append(Placement(length, first, rest, used, 1))
+                used, room = used + 1, most - rest
+        low = high
+    return out, used
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[Placement], int]:
     """Placements of all items up to the capacity, and the number of containers."""
     open_: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
     rooms: list[int] = []
@@ -79,45 +109,39 @@ def plan(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS) -> tu
                 bisect.insort(rooms, room)
             open_[room].append((start, n))
 
-    low = 0
-    spans = []
-    for high in bucket_boundaries(histogram, buckets):
-        spans.append((low, high))
-        low = high
-    for low, high in reversed(spans):
-        for length in sorted((k for k, n in histogram.items() if low < k <= high and n), reverse=True):
-            left, first = histogram[length], 0
-            while left:
-                at = bisect.bisect_left(rooms, length)
-                if at < len(rooms):
-                    room = rooms[at]
-                    start, n = open_[room].pop()
-                    if not open_[room]:
-                        del open_[room]
-                        rooms.pop(at)
-                else:
-                    room, start, n = capacity, used, -(-left // (capacity // length))
-                    used += n
-                each = room // length
-                full = min(n, left // each)
-                if full:
-                    out.append(Placement(length, first, each, start, full))
-                    keep(room - each * length, start, full)
-                    first += each * full
-                    left -= each * full
-                if full < n:
-                    if left:  # fewer than fill one more
-                        out.append(Placement(length, first, left, start + full, 1))
-                        keep(room - left * length, start + full, 1)
-                        first += left
-                        left = 0
-                        full += 1
-                    keep(room, start + full, n - full)
+    for length in sorted((k for k, n in histogram.items() if 0 < k <= capacity and n), reverse=True):
+        left, first = histogram[length], 0
+        while left:
+            at = bisect.bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                start, n = open_[room].pop()
+                if not open_[room]:
+                    del open_[room]
+                    rooms.pop(at)
+            else:
+                room, start, n = capacity, used, -(-left // (capacity // length))
+                used += n
+            each = room // length
+            full = min(n, left // each)
+            if full:
+                out.append(Placement(length, first, each, start, full))
+                keep(room - each * length, start, full)
+                first += each * full
+                left -= each * full
+            if full < n:
+                if left:  # fewer than fill one more
+                    out.append(Placement(length, first, left, start + full, 1))
+                    keep(room - left * length, start + full, 1)
+                    first += left
+                    left = 0
+                    full += 1
+                keep(room, start + full, n - full)
     return out, used
 
 
-def filled(documents: DataFrame, capacity: int, path: str = VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
-    """container, doc_id, piece, first_token, n_tokens: the place of every document.
+def filled(documents: DataFrame, capacity: int, path: str = VOCABULARY, plan: Callable[[dict[int, int], int], tuple[list[Placement], int]] = best_fit) -> DataFrame:
+    """container, doc_id, piece, first_token, n_tokens: the place of every document, by best_fit or by_buckets.
 
     A document larger than a container is cut into pieces of the capacity and a rest; no other is
     cut. Null and empty texts have no tokens and no place. Repeated documents are placed one by
@@ -128,7 +152,7 @@ def filled(documents: DataFrame, capacity: int, path: str = VOCABULARY, buckets:
     spark = documents.sparkSession
     items = pieces(with_tokens(documents, path=path), capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts(documents))).cast("int"))
     histogram = {r.n_tokens: r["count"] for r in items.groupBy("n_tokens").count().collect()}  # at most capacity rows
-    placements, _ = plan(histogram, capacity, buckets)
+    placements, _ = plan(histogram, capacity)
     table = spark.sparkContext.broadcast(_by_length(placements))  # bounded like the histogram
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,22 +1,28 @@
 """Deduplicating new batches against everything accepted so far.
 
-The history is a table to which each batch adds the rows of its accepted records only, with the hash
-of the payload, blocking keys (minimum-hash bands of five-word shingles within the site), the words
-as codes, and the fields that are scored. A batch probes its hashes and keys with its own; no text of
-the history is parsed again. What is left is compared inside the batch in rounds: in each, the records that lead
-all of their keys are accepted, and those that share a key with one of them are compared with it.
-So no key's group is ever paired with itself, and a group of near copies costs one comparison each.
+The history is a folder. Each load adds to it what belongs to its own batch: the blocking keys of the
+accepted records (hash of the payload; minimum-hash bands of five-word shingles within the site) in a
+table bucketed by key, their words and scored fields in small segments, the records and whom they
+belong to, and the counts that the weights of evidence are learnt from. A new batch probes the key
+table, which is narrow and not shuffled, and reads those segments alone that hold a candidate; nothing
+of the history is parsed, sorted, compared or written again.
 
 Candidate pairs are scored by weights of evidence for the agreement of their fields (bands, path,
-digest, date); the weights are learned from the pairs decided so far and kept with the history. The
-score is reported only; a comparison of the words in order decides each pair.
+digest, date), learnt from the pairs decided so far. Pairs that score clearly higher than any pair of
+different records did, or clearly lower than any pair of the same, are decided by the score; between
+these limits, and until enough pairs were seen, the words in order are compared.
 
-Refused records map to the accepted record they repeat. One that repeats several does not join their
-clusters: merged() does that for a mapping of representatives, but no load calls it.
+What repeats nothing old is compared inside the batch in rounds: in each, the records that lead all of
+their keys are accepted, and those that share a key with one of them are compared with it. So no key's
+group is ever paired with itself, and a group of near copies costs one comparison each.
+
+A refused record belongs to the cluster of the accepted record it repeats. One that repeats several
+joins their clusters: union-find over the representatives concerned, others stay as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -36,8 +42,6 @@ _rng = np.random.default_rng(2)
 _FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _TERMS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Up to so many rows of ids (a few MB), counted beforehand, are broadcast, so that texts need not be shuffled to find a few of them.
-FEW = 500_000
 #: Shingles hashed at a time, so that memory does not grow with the text.
 PIECE = 4096
 _codes: dict[str, int] = {}
@@ -163,7 +167,7 @@ EVIDENCE = ("bands", "path", "declared", "day")
 
 def _levels() -> list[Column]:
     """Agreement levels 0-3 of a pair of rows a_* and b_*."""
-    path = F.levenshtein(F.substring("a_path", 1, 200), F.substring("b_path", 1, 200)) / F.greatest(F.length("a_path"), F.length("b_path"), F.lit(1))
+    path = F.levenshtein("a_path", "b_path") / F.greatest(F.length("a_path"), F.length("b_path"), F.lit(1))
     return [
         F.least(F.lit(3), F.floor(F.col("n_keys") * 4 / BANDS)).cast("int").alias("bands"),
         F.coalesce(F.when(F.col("a_path") == F.col("b_path"), 3).when(path < 0.3, 2).when(path < 0.6, 1).otherwise(0), F.lit(0)).alias("path"),
@@ -172,87 +176,171 @@ def _levels() -> list[Column]:
     ]
 
 
+#: Decided pairs before the score decides any, and by how much (in nats) it must be beyond what was seen.
+LEARNT, MARGIN = 500, 1.0
+
+
 class History:
-    """Accepted records, kept below a folder; give the same folder again to go on.
+    """Accepted records, kept below a folder; give the same folder and the names of its loads again to go on.
 
-    One table holds all: of its columns, the hashes answer for exact copies, the keys for blocking,
-    and the words and fields are read for candidate pairs alone.
+    ``buckets`` and ``segments`` (of each load) are to grow with the history and the batches; buckets are fixed with the folder.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, batches: list[str] | None = None) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, loads: list[str] | None = None, buckets: int = 32, segments: int = 16) -> None:
         self.spark = spark
         self.folder = folder or workspace.fresh_path(spark, "history")
-        self.paths = [f"{self.folder}/{b}" for b in batches or []]
-        self.counts: dict[tuple[str, int, bool], int] = {}
-
-    def accepted(self) -> DataFrame | None:
-        return self.spark.read.schema(ACCEPTED).parquet(*self.paths) if self.paths else None
+        self.loads = list(loads or [])
+        self.segments = segments
+        self._table = f"quarry_keys_{hashlib.md5(self.folder.encode()).hexdigest()[:16]}"
+        if not spark.catalog.tableExists(self._table):
+            spark.sql(f"CREATE TABLE {self._table} (key BIGINT, other BIGINT, load STRING) USING parquet CLUSTERED BY (key) INTO {buckets} BUCKETS LOCATION '{self.folder}/keys'")
+        self._buckets = buckets
+        #: how many decided pairs had these levels of agreement, and were the same or not
+        self.counts: dict[tuple[int, ...], list[int]] = {}
+        if self.loads:
+            for r in self._read("counts", self.loads[-1:], COUNTS).collect():  # a row for each combination of levels
+                self.counts[tuple(r.levels)] = [r.n_different, r.n_same]
+
+    def _read(self, name: str, loads: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{name}/{x}" for x in loads))
+
+    def keys(self) -> DataFrame | None:
+        """key, other, load of the accepted records of all loads."""
+        return self.spark.table(self._table).filter(F.col("load").isin(self.loads)) if self.loads else None
+
+    def segment(self, seq: str) -> Column:
+        return F.pmod(F.xxhash64(seq), F.lit(self.segments)).cast("int")
+
+    def texts(self, places: list[tuple[str, int]]) -> DataFrame:
+        """What is compared of the accepted records in these segments."""
+        return self.spark.read.schema(TEXTS).parquet(*(f"{self.folder}/texts/{load}/segment={k}" for load, k in places))
 
     def weights(self) -> dict[tuple[str, int], float]:
         """Weight of evidence of each field's level, from the pairs decided so far."""
+        total = [sum(c[side] for c in self.counts.values()) for side in (0, 1)]
         out = {}
-        for f in EVIDENCE:
-            yes, no = (sum(n for (g, _, s), n in self.counts.items() if g == f and s == side) for side in (True, False))
+        for k, f in enumerate(EVIDENCE):
             for level in range(4):
-                p = (self.counts.get((f, level, True), 0) + 0.5) / (yes + 2)
-                q = (self.counts.get((f, level, False), 0) + 0.5) / (no + 2)
-                out[f, level] = math.log(p / q)
+                no, yes = (sum(c[side] for levels, c in self.counts.items() if levels[k] == level) for side in (0, 1))
+                out[f, level] = math.log((yes + 0.5) / (total[1] + 2)) - math.log((no + 0.5) / (total[0] + 2))
         return out
 
-    def learn(self, pairs: DataFrame) -> None:
-        fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("level")) for f in EVIDENCE))
-        for r in pairs.select(F.explode(fields).alias("e"), "same").groupBy("e.field", "e.level", "same").count().collect():  # at most a few dozen rows
-            self.counts[r.field, r.level, r.same] = self.counts.get((r.field, r.level, r.same), 0) + r["count"]
+    def limits(self) -> tuple[float, float]:
+        """Scores below the first are of different records, above the second of the same."""
+        n = [sum(c[side] for c in self.counts.values()) for side in (0, 1)]
+        if min(n) < LEARNT:
+            return -math.inf, math.inf
+        weight = self.weights()
+        score = {levels: sum(weight[f, k] for f, k in zip(EVIDENCE, levels)) for levels in self.counts}
+        return min(score[x] for x, c in self.counts.items() if c[1]) - MARGIN, max(score[x] for x, c in self.counts.items() if c[0]) + MARGIN
 
-    def add(self, accepted: DataFrame, batch: str) -> None:
-        """Append the accepted records of a batch."""
-        path = f"{self.folder}/{batch}"
-        accepted.select(*ACCEPTED_COLUMNS).sortWithinPartitions("record_seq").write.option("compression", "zstd").parquet(path)
-        self.paths.append(path)
+    def learn(self, pairs: DataFrame) -> None:
+        """Count pairs whose words were compared."""
+        for r in pairs.filter("compared").groupBy("same", *EVIDENCE).count().collect():  # at most as many rows as combinations of levels
+            self.counts.setdefault(tuple(r[f] for f in EVIDENCE), [0, 0])[r.same] += r["count"]
+
+    def add(self, accepted: DataFrame, load: str) -> None:
+        """Append the accepted records of a load."""
+        rows = accepted.withColumn("load", F.lit(load))
+        rows.select(F.explode("keys").alias("key"), F.col("record_seq").alias("other"), "load").repartition(self._buckets, "key").write.insertInto(self._table)
+        placed = accepted.select(*TEXTS_COLUMNS, self.segment("record_seq").alias("segment"))
+        placed.repartition("segment").write.option("compression", "zstd").mode("overwrite").partitionBy("segment").parquet(f"{self.folder}/texts/{load}")
+        counts = [(list(levels), *c) for levels, c in self.counts.items()]
+        self.spark.createDataFrame(counts, COUNTS).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counts/{load}")
+        self.loads.append(load)
+
+    def own(self, accepted: DataFrame, refused: DataFrame, links: DataFrame, load: str) -> None:
+        """Note whom the records of a load belong to, and join the clusters that links (a, b) connect."""
+        owners = accepted.select("record_seq", F.col("record_seq").alias("owner")).unionByName(refused.select(F.col("duplicate_seq").alias("record_seq"), F.col("accepted_seq").alias("owner")))
+        owners.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.folder}/owners/{load}")
+        links = workspace.written(links, "links")
+        path = f"{self.folder}/roots/{load}"
+        if links.isEmpty():
+            self.spark.createDataFrame([], ROOTS).write.mode("overwrite").parquet(path)
+            return
+        ends = links.select(F.col("a").alias("record_seq")).unionByName(links.select(F.col("b").alias("record_seq"))).distinct()
+        concerned = self.rooted(ends)
+        new = merged(concerned, links).filter("record_seq <> representative")
+        old = concerned.select(F.col("record_seq").alias("of"), F.col("representative").alias("was"))
+        up = new.join(old, F.col("record_seq") == F.col("of")).select("record_seq", "representative").unionByName(
+            new.join(old, F.col("record_seq") == F.col("of")).filter("was <> representative").select(F.col("was").alias("record_seq"), "representative")
+        )
+        up.groupBy("record_seq").agg(F.min("representative").alias("representative")).write.option("compression", "zstd").mode("overwrite").parquet(path)
+
+    def _roots(self) -> DataFrame | None:
+        loads = [x for x in self.loads if workspace.exists(self.spark, f"{self.folder}/roots/{x}/_SUCCESS")]
+        return self._read("roots", loads, ROOTS).groupBy("record_seq").agg(F.min("representative").alias("up")) if loads else None
+
+    def rooted(self, records: DataFrame) -> DataFrame:
+        """record_seq, representative of accepted records: the pointers of joined clusters, followed to the root."""
+        at = records.select("record_seq", F.col("record_seq").alias("representative"))
+        roots = self._roots()
+        while roots is not None:
+            step = at.join(roots.select(F.col("record_seq").alias("of"), "up"), F.col("representative") == F.col("of"), "left")
+            at = workspace.written(step.select("record_seq", F.coalesce("up", "representative").alias("representative"), F.col("up").isNotNull().alias("moved")), "rooted")
+            if not at.filter("moved").limit(1).count():
+                break
+        return at.select("record_seq", "representative")
+
+    def representatives(self) -> DataFrame:
+        """record_seq, representative of every record of all loads."""
+        if not self.loads:
+            return self.spark.createDataFrame([], ROOTS)
+        owners = self._read("owners", self.loads, "record_seq bigint, owner bigint")
+        heads = self.rooted(owners.filter("record_seq = owner").select("record_seq"))
+        return owners.join(heads.select(F.col("record_seq").alias("owner"), "representative"), "owner").select("record_seq", "representative")
+
+
+TEXTS = "record_seq bigint, path string, day string, declared string, h1 bigint, h2 bigint, words binary"
+TEXTS_COLUMNS = [x.split()[0] for x in TEXTS.split(", ")]
+COUNTS = "levels array<int>, n_different bigint, n_same bigint"
+ROOTS = "record_seq bigint, representative bigint"
 
 
-ACCEPTED = "record_seq bigint, path string, day string, declared string, h1 bigint, h2 bigint, keys array<bigint>, words binary"
-ACCEPTED_COLUMNS = [x.split()[0] for x in ACCEPTED.split(", ")]
+def _few(ids: DataFrame, n: int) -> DataFrame:
+    """ids of n rows, to be broadcast if they are as small as the session allows; else the join shuffles."""
+    return F.broadcast(ids) if 16 * n <= int(ids.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()) else ids
 
 
-def _few(ids: DataFrame, n: int) -> DataFrame:
-    """ids, to be broadcast if their number n is small; else the join shuffles."""
-    return F.broadcast(ids) if n <= FEW else ids
+DECIDED = "seq bigint, other bigint, exact boolean, bands int, path int, declared int, day int, same boolean, compared boolean, score double"
 
 
-def compared(candidates: DataFrame, theirs: DataFrame, history: History) -> tuple[DataFrame, int, int]:
-    """(pairs with their evidence, score, and whether they are exact copies or have the same words; pairs; pairs inside the batch).
+def compared(pairs: DataFrame, n: int, mine: DataFrame, theirs: DataFrame, history: History) -> DataFrame:
+    """Of n pairs (seq in mine, other in theirs, n_keys): their evidence and score, whether they are exact copies, and whether the same.
 
-    ``candidates`` has seq, other, old and n_keys; all of their records are in ``theirs``. What comes
-    out is written to the shared folder. Only texts of candidates are shuffled.
+    What comes out is written to the shared folder. Only texts of candidates are shuffled.
     """
-    pairs, counts = workspace.observed(candidates, "candidates", n=F.count(F.lit(1)), n_inside=F.count_if(~F.col("old")))
-    if not counts["n"]:
-        return pairs, 0, 0
     fields = ("path", "day", "declared", "h1", "h2", "words")
-    ids = pairs.select(F.col("seq").alias("record_seq")).unionByName(pairs.select(F.col("other").alias("record_seq"))).distinct()
-    texts = theirs.join(_few(ids, 2 * counts["n"]), "record_seq", "left_semi")
-    a = texts.select(F.col("record_seq").alias("seq"), *(F.col(f).alias(f"a_{f}") for f in fields))
-    b = texts.select(F.col("record_seq").alias("other"), *(F.col(f).alias(f"b_{f}") for f in fields))
+
+    def side(rows: DataFrame, name: str, mark: str) -> DataFrame:
+        ids = pairs.select(F.col(name).alias("record_seq")).distinct()
+        return rows.join(_few(ids, n), "record_seq", "left_semi").select(F.col("record_seq").alias(name), *(F.col(f).alias(f"{mark}_{f}") for f in fields))
+
     weight = history.weights()
+    low, high = history.limits()
     exact = (F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") == F.col("b_h2"))
-    levels = pairs.join(a, "seq").join(b, "other").select("seq", "other", "old", exact.alias("exact"), *_levels(), "a_words", "b_words")
+    levels = pairs.join(side(mine, "seq", "a"), "seq").join(side(theirs, "other", "b"), "other").select("seq", "other", exact.alias("exact"), *_levels(), "a_words", "b_words")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # weights are used here and not in an expression, whose code would be compiled anew for each batch
-            same = [e or same_words(x, y) for e, x, y in columns(batch, "exact", "a_words", "b_words")]
-            score = [sum(weight[f, k] for f, k in zip(EVIDENCE, levels_)) for levels_ in columns(batch, *EVIDENCE)]
+            same, read, score = [], [], []
+            for e, x, y, *levels_ in columns(batch, "exact", "a_words", "b_words", *EVIDENCE):
+                points = sum(weight[f, k] for f, k in zip(EVIDENCE, levels_))
+                open_ = not e and low <= points <= high
+                both = x is not None and y is not None  # of records without words only exact copies are the same
+                same.append(e or (same_words(x, y) if open_ else both and points > high))
+                read.append(open_)
+                score.append(points)
             kept = batch.drop_columns(["a_words", "b_words"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(same, pa.bool_()), pa.array(score, pa.float64())], [*kept.schema.names, "same", "score"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(same, pa.bool_()), pa.array(read, pa.bool_()), pa.array(score, pa.float64())], [*kept.schema.names, "same", "compared", "score"])
 
-    decided = levels.mapInArrow(part, "seq bigint, other bigint, old boolean, exact boolean, bands int, path int, declared int, day int, same boolean, score double")
-    return workspace.written(decided, "pairs"), counts["n"], counts["n_inside"]
+    return workspace.written(levels.mapInArrow(part, DECIDED), "pairs")
 
 
 def _best(matches: DataFrame) -> DataFrame:
     """accepted_seq, duplicate_seq, exact, score: of the records one repeats, an exact copy before others, then the first."""
-    best = matches.groupBy("seq").agg(F.min(F.struct((~F.col("exact")).alias("near"), "other")).alias("best"), F.max("score").alias("score"))
-    return best.select(F.col("best.other").alias("accepted_seq"), F.col("seq").alias("duplicate_seq"), (~F.col("best.near")).alias("exact"), "score")
+    best = matches.groupBy("seq").agg(F.min_by(F.struct("other", "exact", "score"), F.struct(~F.col("exact"), "other")).alias("best"))
+    return best.select(F.col("best.other").alias("accepted_seq"), F.col("seq").alias("duplicate_seq"), "best.exact", "best.score")
 
 
 def copies_of(batch: DataFrame) -> tuple[DataFrame, int]:
@@ -263,8 +351,22 @@ def copies_of(batch: DataFrame) -> tuple[DataFrame, int]:
     return workspace.counted(rows.select("record_seq", "lead"), "copies")
 
 
+def _of_history(heads: DataFrame, history: History) -> DataFrame | None:
+    """Decided pairs of the heads of a batch and accepted records."""
+    held = history.keys()
+    if held is None:
+        return None
+    mine = heads.select(F.explode("keys").alias("key"), F.col("record_seq").alias("seq"))
+    met = mine.join(held, "key").groupBy("seq", "other").agg(F.count("*").alias("n_keys"), F.first("load").alias("load"))
+    pairs, n = workspace.counted(met.withColumn("segment", history.segment("other")), "candidates")
+    if not n:
+        return None
+    places = [tuple(r) for r in pairs.select("load", "segment").distinct().collect()]  # folders, not records
+    return compared(pairs.drop("load", "segment"), n, heads, history.texts(places), history)
+
+
 def refuse(batch: DataFrame, history: History, name: str) -> DataFrame:
-    """accepted_seq, duplicate_seq, exact, score of the refused records of a batch; the accepted ones join the history.
+    """accepted_seq, duplicate_seq, exact, score of the refused records of a batch; the accepted ones join the history as load name.
 
     ``batch`` holds features(), written. Records are taken by record_seq. A record of null site or
     without words can only be an exact copy. Equal record_seq are one record.
@@ -273,47 +375,50 @@ def refuse(batch: DataFrame, history: History, name: str) -> DataFrame:
     copies, n_copies = copies_of(batch)
     # copies of one payload on one site share one fate: the first stands for them
     heads = batch.join(_few(copies.select("record_seq"), n_copies), "record_seq", "left_anti")
-    old = history.accepted()
-    theirs = heads.select(*ACCEPTED_COLUMNS)
-    if old is not None:
-        theirs = theirs.unionByName(old)
     answers: list[DataFrame] = []
     learnt: list[DataFrame] = []
     n_refused = 0
     open_ = heads.select("record_seq", "keys")
+    pairs = _of_history(heads, history)
+    if pairs is not None:
+        learnt.append(pairs)
+        hit, n_refused = workspace.counted(_best(pairs.filter("same")), "refused")
+        answers.append(hit)
+        open_ = open_.join(_few(hit.select(F.col("duplicate_seq").alias("record_seq")), n_refused), "record_seq", "left_anti")
     while True:
         mine = open_.select(F.explode("keys").alias("key"), F.col("record_seq").alias("seq"))
         leads = mine.groupBy("key").agg(F.min("seq").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        meets = mine.join(leads, "key").filter("seq <> other").select("seq", "other", F.lit(False).alias("old"))
-        if old is not None and not learnt:
-            held = old.select(F.explode("keys").alias("key"), F.col("record_seq").alias("other"))
-            meets = meets.unionByName(mine.join(held, "key").select("seq", "other", F.lit(True).alias("old")))
-        pairs, n_pairs, n_inside = compared(meets.groupBy("seq", "other", "old").agg(F.count("*").alias("n_keys")), theirs, history)
-        if not n_pairs:
+        meets = mine.join(leads, "key").filter("seq <> other").groupBy("seq", "other").agg(F.count("*").alias("n_keys"))
+        candidates, n = workspace.counted(meets, "candidates")
+        if not n:
             break
+        pairs = compared(candidates, n, heads, heads, history)
         learnt.append(pairs)
-        of_old = _best(pairs.filter("old AND same"))
-        behind = pairs.filter("NOT old").select(F.col("seq").alias("record_seq")).distinct()
-        hit = of_old
-        if n_inside:  # those that lead all of their keys, and repeat nothing old, are accepted: what matches them is refused
-            sure = pairs.filter("NOT old AND same").join(behind, F.col("other") == F.col("record_seq"), "left_anti").join(of_old.select("duplicate_seq"), F.col("other") == F.col("duplicate_seq"), "left_anti")
-            hit = of_old.unionByName(_best(sure).join(of_old.select("duplicate_seq"), "duplicate_seq", "left_anti").select(of_old.columns))
-        hit, n_hit = workspace.counted(hit, "refused")
+        behind = candidates.select(F.col("seq").alias("record_seq")).distinct()
+        # those that lead all of their keys are accepted: what matches them is refused
+        sure = pairs.filter("same").join(behind, F.col("other") == F.col("record_seq"), "left_anti")
+        hit, n_hit = workspace.counted(_best(sure), "refused")
         answers.append(hit)
         n_refused += n_hit
-        if not n_inside:
-            break
         left = behind.join(hit.select(F.col("duplicate_seq").alias("record_seq")), "record_seq", "left_anti")
-        open_, n_open = workspace.counted(heads.select("record_seq", "keys").join(_few(left, n_inside), "record_seq", "left_semi"), "open")
+        open_, n_open = workspace.counted(heads.select("record_seq", "keys").join(_few(left, n), "record_seq", "left_semi"), "open")
         if not n_open:
             break
     refused = answers[0] if answers else spark.createDataFrame([], REFUSED)
     for more in answers[1:]:
         refused = refused.unionByName(more)
-    history.add(heads.join(_few(refused.select(F.col("duplicate_seq").alias("record_seq")), n_refused), "record_seq", "left_anti"), name)
-    for pairs in learnt:
-        history.learn(pairs)
-    return workspace.written(with_copies(copies, refused), "refused")
+    decided = learnt[0] if learnt else spark.createDataFrame([], DECIDED)
+    for more in learnt[1:]:
+        decided = decided.unionByName(more)
+    history.learn(decided)
+    accepted = heads.join(_few(refused.select(F.col("duplicate_seq").alias("record_seq")), n_refused), "record_seq", "left_anti")
+    history.add(accepted, name)
+    out = workspace.written(with_copies(copies, refused), "refused")
+    # whom else a refused record repeats, if that one was accepted
+    others = decided.filter("same").join(refused.select(F.col("duplicate_seq").alias("seq"), F.col("accepted_seq").alias("b")), "seq").filter("other <> b").select(F.col("other").alias("a"), "b")
+    links = others.join(_few(refused.select(F.col("duplicate_seq").alias("a")), n_refused), "a", "left_anti").distinct()
+    history.own(accepted, out, links, name)
+    return out
 
 
 def with_copies(copies: DataFrame, refused: DataFrame) -> DataFrame:
@@ -344,9 +449,9 @@ def loads(batches: list[tuple[int, int, int]], together: int) -> list[list[int]]
 def deduplicated(records: DataFrame, history: History | None = None, together: int = 1) -> DataFrame:
     """accepted_seq, duplicate_seq, exact, score over all batches of records, one after the other.
 
-    ``together`` is how many waiting batches are taken in one load; the answer is the same for any.
-    Records without payload and of other types are left out; a null batch comes first. Records of an
-    equal record_seq are one. Extra columns are ignored.
+    ``together`` is how many waiting batches are taken in one load. Records without payload and of
+    other types are left out; a null batch comes first. Records of an equal record_seq are one. Extra
+    columns are ignored.
     """
     spark = records.sparkSession
     history = history or History(spark)
@@ -354,10 +459,11 @@ def deduplicated(records: DataFrame, history: History | None = None, together: i
     features(records).write.option("compression", "zstd").partitionBy("batch_no").parquet(path)
     everything = spark.read.schema(FEATURES).parquet(path)
     waiting = everything.groupBy("batch_no").agg(F.min("record_seq").alias("first"), F.max("record_seq").alias("last")).collect()  # a row for each batch
-    files: list[str] = []
+    answers: DataFrame | None = None
     for numbers in loads([tuple(r) for r in waiting], together):
-        files += refuse(everything.filter(F.col("batch_no").isin(numbers)), history, f"batch-{numbers[0]}").inputFiles()
-    return spark.read.schema(REFUSED).parquet(*files) if files else spark.createDataFrame([], REFUSED)
+        now = refuse(everything.filter(F.col("batch_no").isin(numbers)), history, f"batch-{numbers[0]}")
+        answers = now if answers is None else answers.unionByName(now)
+    return answers if answers is not None else spark.createDataFrame([], REFUSED)
 
 
 def merged(representatives: DataFrame, links: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ sent through the pair's wrong reading. As pages are not labelled, the table of a
 mixture, and expectation maximisation takes what the pairs explain out of the clean state. Each
 labelled span then gets its state's inverse transform.
 
+Replacement marks that the declared charset leaves because the bytes are of another one are undone
+from the bytes: the lines that can't be read are read as UTF-8 if they are, else in the encoding of
+the pairs in which they read best under the clean state.
+
 ASCII letters look the same in all states, so only their class is kept: the alphabet is that of
 the pairs' encodings plus a few classes, and the collected table is bounded by its square.
 """
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm.encodings import DEPTH, GONE, LOST, PAIRS, STATES, garbled, name, restored
-from quarry.llm.pages import CODE, TAG, columns, contents, page_records
+from quarry.llm.pages import CODE, TAG, columns, contents, page_bytes, page_records, read_as
 
 #: A run of other characters than ASCII, with the ASCII character on each side.
 RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
@@ -329,6 +333,43 @@ def undo(span: str, state: tuple[tuple[str, str], ...]) -> str | None:
     return text if done else None
 
 
+#: Codecs in which a line end may be part of a character.
+NOT_BY_LINE = frozenset("utf-16 utf-16-le utf-16-be utf-32 utf-32-le utf-32-be utf-7".split())
+#: Encodings of one byte a character in which bytes may be meant.
+ONE_BYTE = tuple(dict.fromkeys(own for own, _ in PAIRS if own != "utf-8"))
+
+
+def reread(data: bytes, codec: str, model: Model) -> tuple[str, list[dict]]:
+    """(text with the lines of data that codec can't read read otherwise, what they were and became); markup counts as part of a line.
+
+    A line is restored only if it reads better than with the marks; otherwise it keeps them.
+    """
+    lines = data.split(b"\n")
+    texts = [read_as(line, codec) for line in lines]
+    lost = [k for k, t in enumerate(texts) if LOST in t and LOST.encode() not in lines[k]]
+    if not lost:
+        return "\n".join(texts), []
+    ways: dict[str, dict[int, str]] = {}
+    for way in ("utf-8", *ONE_BYTE):
+        if way == codec:
+            continue
+        for k in lost:
+            try:
+                ways.setdefault(way, {})[k] = lines[k].decode(way)
+            except UnicodeDecodeError:
+                pass
+    sure = ways.pop("utf-8", {})
+    left = [k for k in lost if k not in sure]
+    best = max((w for w in ways if left and all(k in ways[w] for k in left)), key=lambda w: sum(model.fluency(plain(ways[w][k])) for k in left), default=None)
+    found = []
+    for k in lost:
+        way, new = ("utf-8", sure[k]) if k in sure else (best, ways[best][k]) if best else (None, None)
+        if new is not None and sum(b not in model.common for b in model._folded(new)) <= ODD * max(len(model._folded(new)), 1):
+            found.append({"state": f"{way} read as {codec}", "n_chars": len(texts[k]), "before": texts[k], "after": new})
+            texts[k] = new
+    return "\n".join(texts), found
+
+
 def fit(pages: DataFrame) -> Model:
     """The model of all pages. Collects the bigram table, which the alphabet bounds."""
     return Model({r.bigram: r.n for r in count_bigrams(pages).collect()})
@@ -348,15 +389,24 @@ def garbled_pages(records: DataFrame) -> DataFrame:
         m = model.value
         for batch in batches:
             out: list[dict] = []
-            for (seq,), text in zip(columns(batch, "record_seq"), contents(batch)):
+            for seq, *row in columns(batch, "record_seq", "payload", "ctype", "te", "ce"):
+                data, codec = page_bytes(*row)
+                text = read_as(data, codec)
                 if text.isascii() and "&" not in text:
                     continue
+                whole = text
                 text = plain(text)
                 if not m.may_be_garbled(text):
                     continue
+                spans: list[dict] = []
+                if LOST in text and codec not in NOT_BY_LINE:
+                    whole, spans = reread(data, codec, m)
+                    if spans:
+                        text = plain(whole)
+                        spans = spans if LOST in plain("\n".join(x["before"] for x in spans)) else []  # marks in quoted code are none
                 new, found = m.repair(text)
-                if found:
-                    spans = [{"state": name(s), "n_chars": b - a, "before": text[a:b], "after": x} for a, b, s, x in found]
+                if found or spans:
+                    spans += [{"state": name(s), "n_chars": b - a, "before": text[a:b], "after": x} for a, b, s, x in found]
                     out.append({"record_seq": seq, "spans": spans, "restored": new})
             if out:
                 yield pa.RecordBatch.from_pylist(out, RESULT)

@@ -2,8 +2,13 @@
 
 For each source the budget is its share of the total. Whole rounds over the source come first, as
 many as fit and its cap allows. What is left is a subset-sum problem on the counts of documents by
-exact length: the same part of every length is taken, rounded down, and a bounded knapsack over the
-documents left closes the gap. Which documents of a length are taken is decided by a seeded hash.
+exact length: the same part of every length is taken, rounded down, then one more of those whose part
+was cut off most, and a bounded knapsack over the documents left closes the gap, which is kept as long as
+the longest document so that it has a choice. Which documents of a length are taken is decided by a seeded hash.
+
+The total is the size of the mix that is asked for, by default that of the corpus. Sources that can't
+fill their budget within their cap then stay below their share of it, and the mix is smaller than asked
+for. FEASIBLE takes the largest total at which every source that has any text keeps its share.
 """
 
 from __future__ import annotations
@@ -16,8 +21,8 @@ from pyspark.sql import functions as F
 from quarry.llm.tokens import VOCABULARY, parts, ranked, with_tokens
 
 SEED = 17
-#: The knapsack works on a gap of at most so many tokens; longest documents close a larger one first.
-GAP = 1 << 16
+#: As a total: the largest one at which no source with text falls short of its share.
+FEASIBLE = "feasible"
 
 
 class Share(NamedTuple):
@@ -66,31 +71,36 @@ def fit(source: str, counts: dict[int, int], budget: int, max_repeats: int) -> S
         for k, n in counts.items():
             take[k] = n * left // whole
         room = left - sum(k * n for k, n in take.items())
-        for k in sorted(counts, reverse=True):
-            if room <= GAP:
-                break
-            more = min(counts[k] - take[k], (room - GAP) // k)
-            take[k] += more
-            room -= k * more
-        for k, n in knapsack({k: n - take[k] for k, n in counts.items() if n > take[k]}, min(room, GAP)).items():
+        longest = max(counts)
+        for k in sorted(counts, key=lambda k: (-(counts[k] * left % whole), -k)):
+            if room >= k + longest and take[k] < counts[k]:
+                take[k] += 1
+                room -= k
+        for k, n in knapsack({k: n - take[k] for k, n in counts.items() if n > take[k]}, room).items():
             take[k] += n
     return Share(source, rounds, {k: n for k, n in take.items() if n}, rounds * whole + sum(k * n for k, n in take.items()))
 
 
-def _fitted(sized: DataFrame, targets: DataFrame, total: int | None) -> tuple[list, list[Share], int]:
+def feasible(wanted: list, histogram: dict[str, dict[int, int]]) -> int:
+    """The largest total at which each source with text and a share can have it within its cap; 0 without such."""
+    most = {s: m * sum(k * n for k, n in histogram.get(s, {}).items()) for s, _, m in wanted if m}
+    return int(min((most[s] / share for s, share, _ in wanted if share and most.get(s)), default=0))
+
+
+def _fitted(sized: DataFrame, targets: DataFrame, total: int | str | None) -> tuple[list, list[Share], int]:
     wanted = sorted({(r.source, r.target_share, r.max_repeats) for r in targets.filter("source IS NOT NULL").collect()}, key=str)  # a short list of sources
     names = F.broadcast(targets.select("source").distinct())
     histogram: dict[str, dict[int, int]] = {}
     for r in sized.join(names, "source").groupBy("source", "n_tokens").count().collect():  # sources with a target by distinct lengths
         histogram.setdefault(r.source, {})[r.n_tokens] = r["count"]
-    total = total or sized.agg(F.sum("n_tokens")).first()[0] or 0
+    total = feasible(wanted, histogram) if total == FEASIBLE else total or sized.agg(F.sum("n_tokens")).first()[0] or 0
     return wanted, [fit(s, histogram.get(s, {}), int(total * (share or 0)), m or 0) for s, share, m in wanted], total
 
 
-def selection(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, path: str = VOCABULARY) -> DataFrame:
+def selection(documents: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = SEED, path: str = VOCABULARY) -> DataFrame:
     """doc_id, source, n_tokens, copies of the selected documents.
 
-    ``total`` is the size of the mix in tokens, by default that of the corpus. Sources without a
+    ``total`` is the size of the mix in tokens, by default that of the corpus, or FEASIBLE. Sources without a
     target, null sources and empty texts are not used; a source with too little text is used
     max_repeats times over and stays below its share; an absent one has no rows.
     """
@@ -111,11 +121,15 @@ def _selected(sized: DataFrame, fits: list[Share], seed: int) -> DataFrame:
     return order.join(takes_, ["source", "n_tokens"], "left").select("doc_id", "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
 
 
-def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, path: str = VOCABULARY) -> DataFrame:
-    """source, target_share, max_repeats, n_docs, n_copies, tokens, actual_share of every target."""
+def shares(documents: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = SEED, path: str = VOCABULARY) -> DataFrame:
+    """source, target_share, max_repeats, n_docs, n_copies, tokens, actual_share, share_of_asked of every target.
+
+    actual_share is that of the tokens of the mix, share_of_asked that of the total asked for.
+    """
     sized = with_tokens(documents, "source", path=path)
-    used = _selected(sized, _fitted(sized, targets, total)[1], seed)
+    _, fits, asked = _fitted(sized, targets, total)
+    used = _selected(sized, fits, seed)
     own = used.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("copies").alias("n_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
     whole = own.agg(F.sum("tokens").alias("whole")).first()[0] or 1
     out = targets.select("source", "target_share", "max_repeats").join(own, "source", "left").fillna(0, ["n_docs", "n_copies", "tokens"])
-    return out.withColumn("actual_share", F.col("tokens") / F.lit(float(whole)))
+    return out.withColumn("actual_share", F.col("tokens") / F.lit(float(whole))).withColumn("share_of_asked", F.col("tokens") / F.lit(float(asked or 1)))

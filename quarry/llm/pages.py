@@ -66,19 +66,29 @@ def _codec(name: str) -> str | None:
         return None
 
 
-def page_text(payload: bytes, ctype: str | None, te: str | None, ce: str | None) -> str:
-    """Content of a page: codings undone, decoded by the header's charset, else its own, else UTF-8."""
+def page_bytes(payload: bytes, ctype: str | None, te: str | None, ce: str | None) -> tuple[bytes, str]:
+    """(bytes of a page with codings undone, the codec of the header's charset, else its own, else UTF-8)."""
     data, _ = decode_content(payload, te and te.strip().lower(), ce and ce.strip())
     found = CHARSET.search(ctype) if ctype else None
     name = found.group(1) if found else None
     if name is None and (own := META.search(data, 0, DECLARED_WITHIN)):
         name = own.group(1).decode("ascii")
+    return data, _codec(name or "utf-8") or "utf-8"
+
+
+def read_as(data: bytes, codec: str) -> str:
+    """Text of bytes, with replacement marks where they can't be read."""
     try:
-        return data.decode(_codec(name or "utf-8") or "utf-8", "replace")
+        return data.decode(codec, "replace")
     except LookupError:  # a codec that does not make text
         return data.decode("utf-8", "replace")
 
 
+def page_text(payload: bytes, ctype: str | None, te: str | None, ce: str | None) -> str:
+    """Content of a page."""
+    return read_as(*page_bytes(payload, ctype, te, ce))
+
+
 def _blank(match: re.Match) -> str:
     """A blank, and the line ends that the match covers."""
     return " " + "\n" * match.group(0).count("\n")
@@ -123,5 +133,5 @@ def columns(batch, *names: str) -> Iterator[tuple]:
 
 def contents(batch) -> Iterator[str]:
     """Content of each page of an Arrow batch."""
-    for payload, ctype, te, ce in columns(batch, "payload", "ctype", "te", "ce"):
-        yield page_text(payload, ctype, te, ce)
+    for row in columns(batch, "payload", "ctype", "te", "ce"):
+        yield page_text(*row)

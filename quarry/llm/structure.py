@@ -39,6 +39,19 @@ PIECE, OFTEN = 60, 2
 STUFFED, LOOSELY_STUFFED = 0.15, 0.08
 #: Containers that never hold the main body, but for the header of an article.
 ASIDE = re.compile(r"(?:^|/)(?:nav|aside|footer)(?=$|[/.#\[])|(?:^|/)(?<!article/)header(?=$|[/.#\[])")
+_aside: dict[str, bool] = {}
+
+
+def aside(path: str) -> bool:
+    """ASIDE, remembered by path."""
+    got = _aside.get(path)
+    if got is None:
+        got = bool(ASIDE.search(path))
+        if len(_aside) < 50_000:
+            _aside[path] = got
+    return got
+
+
 ENDS = re.compile(r"[.!?…]['\"”“»’)\]]*$")
 HIGH = re.compile(r"[^\x00-\x7f]+")
 
@@ -123,19 +136,21 @@ def misread(text: str) -> bool:
     return len(runs) >= 3 and any(sum(may.issuperset(r) and _undone(r, state, _memo[state]) is not None for r in runs) >= 0.7 * len(runs) for state, may in _SURE)
 
 
-def repetition(texts: list[str]) -> float:
-    """Share of word pairs that come more than OFTEN times in their piece. A line that comes again counts once."""
+def repetition(texts: list[str], least: float = 0.0) -> float:
+    """Share of word pairs that come more than OFTEN times in their piece; 0 if it can't reach least. A line that comes again counts once."""
     found: list[str] = []
     for text in dict.fromkeys(texts):
         found += text.lower().split()
+    every = list(zip(found, found[1:]))
+    if len(every) - len(set(every)) < least * (len(every) - len(every) // PIECE - PIECE // 5):
+        return 0.0
     pairs = again = 0
     for k in range(0, len(found), PIECE):
-        piece = found[k : k + PIECE]
-        n = len(piece) - 1
+        both = every[k : k + PIECE - 1]
+        n = len(both)
         if n < PIECE // 5:
             continue
         pairs += n
-        both = list(zip(piece, piece[1:]))
         if n - len(set(both)) >= OFTEN:
             again += sum(c - OFTEN for c in Counter(both).values() if c > OFTEN)
     return again / pairs if pairs else 0.0
@@ -163,6 +178,7 @@ SLOT = "\0"
 _INNER = re.compile(r"[^\W\d_][/.:@_#][^\W\d_]|[/\\@#_]")
 _EDGES = "\"'“”„«»‘’()[]<>¿¡.,;:!?–—-|…"
 _SLOTS = re.compile(f"{SLOT}(?: {SLOT})+")
+_TWO = f"{SLOT} {SLOT}"
 
 
 class _Masked(dict):
@@ -188,7 +204,8 @@ EDGE = 4
 
 def skeleton(text: str) -> str:
     """A line's words; names, numbers and paths in a row are one slot. A line in capitals has no names."""
-    return _SLOTS.sub(SLOT, " ".join(filter(None, map(_masked, (text.lower() if text.isupper() else text).split()))))
+    out = " ".join(filter(None, map(_masked, (text.lower() if text.isupper() else text).split())))
+    return _SLOTS.sub(SLOT, out) if _TWO in out else out
 
 
 def form_of(codes: str) -> int | None:
@@ -265,7 +282,7 @@ class Page:
                 self.prose += nw
                 if not x.path:
                     self.loose += nw
-                elif not ASIDE.search(x.path):
+                elif not aside(x.path):
                     boxes[x.box] = boxes.get(x.box, 0) + nw
             else:
                 self.keywords += nw
@@ -284,7 +301,7 @@ class Page:
         self.is_prose = is_prose
 
     def _is_stuffed(self, is_prose: list[bool], box: int, most: float) -> bool:
-        return repetition([x.bare for x, prose in zip(self.lines, is_prose) if prose and x.box == box]) >= most
+        return repetition([x.bare for x, prose in zip(self.lines, is_prose) if prose and x.box == box], most) >= most
 
     def _drop(self, n: list[int], is_prose: list[bool], box: int) -> None:
         """The prose of a container becomes keywords."""
@@ -328,7 +345,7 @@ def body_lines(page: Page, n: list[int]) -> list[tuple[int, str, int | None, int
     out = []
     beside = page.beside
     for x, nw in zip(page.lines, n):
-        if not (x.path or beside) or x.link or x.noscript or ASIDE.search(x.path):
+        if not (x.path or beside) or x.link or x.noscript or aside(x.path):
             continue
         path = x.path or BODY_ITSELF
         if x.tag in PARTS:

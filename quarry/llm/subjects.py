@@ -1,13 +1,15 @@
 """Subject areas of documents.
 
 A multi-pattern automaton finds the curated terms of all subjects in one pass over a text, the
-longest term winning where several start or overlap. A subject's score is the sum of its mentions,
-each weighted by the term's curated weight and its rarity in the corpus, over the length of the
-text. A subject is assigned if its score passes the subject's threshold, which labelled documents
-calibrate, and if the text mentions it more than once: one mention is a remark in passing.
+longest term winning where several start or overlap. Each mention weighs as much as its term was
+given in the list, times its rarity in the corpus, times the evidence of the labels: the share of the
+labelled documents with the term that readers gave its subject. A subject's score is the sum of its
+mentions over the length of the text. A subject is assigned if its score passes its threshold: the one
+with the best F1 over the labelled documents, those of other subjects included, which are the
+negatives. So a remark in passing falls below it.
 
 Terms are a parameter (the file subject_terms.txt by default); what is shipped to the workers is as
-large as that list.
+large as that list, and what is collected as large as the list, or a histogram of scores.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 from quarry import workspace
 from quarry.llm.pages import columns
 
-#: A subject needs so many mentions.
-MENTIONS = 2
-#: The fewest labelled documents of a subject that calibrate its threshold.
-FEWEST = 20
-#: The share of labelled documents that may fall below a threshold, and the part of the score at that point that is the threshold.
-LEFT_OUT, SLACK = 0.02, 0.5
+#: Labels of a subject (or, if fewer, of all subjects together) that calibrate its threshold; else that many mentions decide.
+FEWEST, MENTIONS = 20, 2
+#: Evidence of a term no labelled document has, and how many documents that counts as.
+BELIEF, DOCUMENTS = 0.8, 5
+#: Step of the histogram of scores from which thresholds are taken, as a factor.
+STEP = 1.02
 #: Words of a text beyond which length counts.
 SHORT = 50
 
@@ -89,46 +91,99 @@ def mentions(documents: DataFrame, terms: list[str]) -> DataFrame:
     return workspace.written(got, "mentions")
 
 
-def scores(found: DataFrame, terms: list[str], curated: dict[str, tuple[str, float]]) -> DataFrame:
-    """doc_id, subject, n_mentions, score of every subject with a mention."""
-    spark = found.sparkSession
-    counts = found.select(F.explode("mentions.term").alias("term")).groupBy("term").count().collect()  # as many rows as terms
+def term_weights(found: DataFrame, terms: list[str], curated: dict[str, tuple[str, float]], labels: DataFrame | None = None) -> dict[int, float]:
+    """Weight of a mention of each term: that of the list, by rarity and by the evidence of labels."""
+    seen = {r.term: r["count"] for r in found.select(F.explode("mentions.term").alias("term")).groupBy("term").count().collect()}  # as many rows as terms
     n_docs = max(found.count(), 1)
-    seen = {r.term: r["count"] for r in counts}
-    rows = [(k, curated[t][0], curated[t][1] * (1 + math.log((n_docs + 1) / (seen.get(k, 0) + 1)))) for k, t in enumerate(terms)]
-    weights = F.broadcast(spark.createDataFrame(rows, "term int, subject string, weight double"))  # as many rows as terms
+    evidence: dict[int, tuple[int, int]] = {}
+    if labels is not None:
+        subjects = F.broadcast(found.sparkSession.createDataFrame([(k, curated[t][0]) for k, t in enumerate(terms)], "term int, subject string"))  # as many rows as terms
+        held = _held(labels)
+        read = found.join(held.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("mentions.term").alias("term")).distinct().join(subjects, "term")
+        given = read.join(held.withColumn("given", F.lit(1)), ["doc_id", "subject"], "left")
+        evidence = {r.term: (r.n, r.n_given) for r in given.groupBy("term").agg(F.count("*").alias("n"), F.count("given").alias("n_given")).collect()}  # as many rows as terms
+    out = {}
+    for k, t in enumerate(terms):
+        n, n_given = evidence.get(k, (0, 0))
+        out[k] = curated[t][1] * (1 + math.log((n_docs + 1) / (seen.get(k, 0) + 1))) * (n_given + DOCUMENTS * BELIEF) / (n + DOCUMENTS)
+    return out
+
+
+def _held(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id IS NOT NULL AND subject IS NOT NULL").select("doc_id", "subject").distinct()
+
+
+def scores(found: DataFrame, terms: list[str], curated: dict[str, tuple[str, float]], weights: dict[int, float]) -> DataFrame:
+    """doc_id, subject, n_mentions, score of every subject with a mention."""
+    rows = [(k, curated[t][0], weights[k]) for k, t in enumerate(terms)]
+    table = F.broadcast(found.sparkSession.createDataFrame(rows, "term int, subject string, weight double"))  # as many rows as terms
     return (
         found.select("doc_id", "n_words", F.explode("mentions").alias("m"))
         .select("doc_id", "n_words", "m.term", "m.n")
-        .join(weights, "term")
+        .join(table, "term")
         .groupBy("doc_id", "subject")
         .agg(F.sum("n").alias("n_mentions"), (F.sum(F.col("n") * F.col("weight")) / (1 + F.log1p(F.max("n_words") / SHORT))).alias("score"))
     )
 
 
-def thresholds(scored: DataFrame, labels: DataFrame) -> dict[str, float]:
-    """Threshold of each subject with enough labels. Labels that no mention supports are taken for mistakes."""
-    held = labels.filter("doc_id IS NOT NULL AND subject IS NOT NULL").select("doc_id", "subject").distinct()
-    known = held.join(scored, ["doc_id", "subject"]).filter(F.col("n_mentions") >= MENTIONS).select("subject", "score")
-    rows = known.groupBy("subject").agg(F.count("*").alias("n"), F.percentile_approx("score", LEFT_OUT).alias("low")).collect()
-    return {r.subject: SLACK * r.low for r in rows if r.n >= FEWEST}
+def best_threshold(positive: dict[int, int], negative: dict[int, int], missed: int) -> float:
+    """The threshold with the best F1, of counts by step of the score; ties go to the middle of the widest gap.
+
+    ``missed`` positives have no score at all.
+    """
+    steps = sorted({*positive, *negative})
+    tp, fp, total = sum(positive.values()), sum(negative.values()), sum(positive.values()) + missed
+    best, low, high = -1.0, 0.0, 0.0
+    before = steps[0] - 2 if steps else 0
+    for step in steps:
+        f1 = 2 * tp / (tp + fp + total) if total else 0.0
+        if f1 > best + 1e-12 or (f1 > best - 1e-12 and step - before > high - low):
+            best, low, high = max(best, f1), before, step
+        tp, fp, before = tp - positive.get(step, 0), fp - negative.get(step, 0), step
+    return STEP ** ((low + 1 + high) / 2)
+
+
+def thresholds(scored: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float | None]:
+    """(threshold of each subject with FEWEST labels, that of all others; null with too few labels at all)."""
+    held = _held(labels).withColumn("given", F.lit(True))
+    known = held.select("doc_id").distinct()
+    rated = scored.join(known, "doc_id", "left_semi").select("doc_id", "subject", F.floor(F.log("score") / math.log(STEP)).cast("int").alias("step"))
+    both = rated.join(held, ["doc_id", "subject"], "full")
+    counts = both.groupBy("subject", "step", "given").count().collect()  # as many rows as subjects and steps of the histogram
+    sides: dict[str | None, tuple[Counter, Counter]] = {}
+    for r in counts:
+        for key in (r.subject, None):
+            positive, negative = sides.setdefault(key, (Counter(), Counter()))
+            (positive if r.given else negative)[r.step] += r["count"]
+
+    def of(key: str | None) -> float | None:
+        positive, negative = sides.get(key, (Counter(), Counter()))
+        missed = positive.get(None, 0)
+        if sum(positive.values()) < FEWEST:
+            return None
+        return best_threshold({k: n for k, n in positive.items() if k is not None}, {k: n for k, n in negative.items() if k is not None}, missed)
+
+    return {s: t for s in sides if s is not None and (t := of(s)) is not None}, of(None)
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame | None = None, curated: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """doc_id, subject, n_mentions, score of the subjects of each document.
 
     Null and empty texts have no subject. Repeated texts are scored one by one; a doc_id that comes
-    twice is scored over both texts. Extra columns are ignored; without labels, or with too few, the
-    mentions alone decide.
+    twice is scored over both texts. Extra columns are ignored; without labels, or with fewer than
+    FEWEST of all subjects together, MENTIONS decide.
     """
     curated = curated or curated_terms()
     terms = sorted(curated)
-    scored = scores(mentions(documents, terms), terms, curated)
-    limits = thresholds(scored, labels) if labels is not None else {}
-    least = F.lit(0.0)
-    for subject, low in sorted(limits.items()):
+    found = mentions(documents, terms)
+    scored = workspace.written(scores(found, terms, curated, term_weights(found, terms, curated, labels)), "scores")
+    own, other = thresholds(scored, labels) if labels is not None else ({}, None)
+    if other is None:
+        return scored.filter(F.col("n_mentions") >= MENTIONS)
+    least = F.lit(other)
+    for subject, low in sorted(own.items()):
         least = F.when(F.col("subject") == subject, F.lit(low)).otherwise(least)
-    return scored.filter((F.col("n_mentions") >= MENTIONS) & (F.col("score") >= least))
+    return scored.filter(F.col("score") >= least)
 
 
 def composition(documents: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.dedup import History, band_keys, common_words, deduplicated, features, loads, merged, refuse, same_words, word_codes
+from quarry.llm.dedup import EVIDENCE, History, band_keys, common_words, deduplicated, features, loads, merged, refuse, same_words, word_codes
 from quarry import workspace
 from tests.llm.helpers import html, odd_rows, page, table
 
@@ -115,6 +115,38 @@ def test_history_goes_on(spark):
     again = History(spark, history.folder, ["a"])
     second = refuse(feats.filter("batch_no > 2"), again, "b").collect()
     assert {r.duplicate_seq for r in first} | {r.duplicate_seq for r in second} == set(_brute(known))
+    assert History(spark, history.folder, ["a"]).weights() == history.weights() and history.counts
+    assert {r.record_seq for r in again.representatives().collect()} == {x[0] for x in known}
+
+
+def test_score_decides_outside_its_limits(spark):
+    """With enough pairs learnt, only those between the limits have their words compared."""
+    history = History(spark)
+    assert history.limits() == (-np.inf, np.inf)
+    history.counts = {(3, 3, 1, 1): [0, 900], (2, 3, 0, 1): [40, 60], (0, 0, 0, 0): [900, 0]}
+    low, high = history.limits()
+    weight = history.weights()
+    score = {x: sum(weight[f, k] for f, k in zip(EVIDENCE, x)) for x in history.counts}
+    assert score[0, 0, 0, 0] < low < score[2, 3, 0, 1] < high < score[3, 3, 1, 1]
+
+
+def test_clusters_join(spark):
+    """A record that repeats two accepted ones joins their clusters, over loads too; representatives are the least records."""
+    rng = random.Random(9)
+    base = _words(rng)
+
+    def changed(*spots):
+        words = list(base)
+        for k in spots:
+            words[k] = f"y{k}"
+        return words
+
+    left, right, middle = changed(*range(0, 12)), changed(*range(100, 112)), base
+    rows = [page(seq, html(" ".join(w)), f"http://a.example/{seq}", batch=batch) for seq, w, batch in ((1, left, 1), (2, right, 1), (3, middle, 2), (4, _words(rng), 2), (5, changed(5, 105), 3))]
+    history = History(spark)
+    got = {r.duplicate_seq: r.accepted_seq for r in deduplicated(table(spark, rows), history).collect()}
+    assert got == {3: 1, 5: 1}
+    assert {r.record_seq: r.representative for r in history.representatives().collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
 
 
 def test_empty(spark):

@@ -11,17 +11,30 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.llm import tokens
-from quarry.llm.containers import bucket_boundaries, filled, oversized, plan
-from quarry.llm.mixing import fit, knapsack, selection, shares
-from quarry.llm.subjects import automaton, composition, curated_terms, document_subjects, matches
+from quarry.llm.containers import best_fit, bucket_boundaries, by_buckets, filled, oversized
+from quarry.llm.mixing import FEASIBLE, feasible, fit, knapsack, selection, shares
+from quarry.llm.subjects import automaton, best_threshold, composition, curated_terms, document_subjects, matches
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary file")
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 30), max_size=25), st.integers(60, 120))
-def test_plan(histogram, capacity):
-    placements, used = plan(histogram, capacity, 4)
+def test_plans(histogram, capacity):
+    for plan in (best_fit, by_buckets):
+        placements, used = plan(histogram, capacity)
+        _check_plan(histogram, capacity, placements, used)
+    total = sum(k * n for k, n in histogram.items())
+    assert best_fit(histogram, capacity)[1] <= 2 * -(-total // capacity) + 1
+    # a batch inside a bucket holds as many items as fit if each is as long as the bound
+    low, containers = 0, 0
+    for high in bucket_boundaries(histogram):
+        containers += -(-sum(n for k, n in histogram.items() if low < k <= high) // (capacity // high))
+        low = high
+    assert by_buckets(histogram, capacity)[1] == containers
+
+
+def _check_plan(histogram, capacity, placements, used):
     load: defaultdict = defaultdict(int)
     taken: Counter = Counter()
     for p in placements:
@@ -29,8 +42,6 @@ def test_plan(histogram, capacity):
             load[p.start + c] += p.length * p.each
         taken[p.length] += p.each * p.n
     assert taken == Counter(histogram) and all(v <= capacity for v in load.values()) and set(load) == set(range(used))
-    total = sum(k * n for k, n in histogram.items())
-    assert used <= 2 * -(-total // capacity) + 1
     for length in histogram:
         ranks = sorted((p.first, p.first + p.each * p.n) for p in placements if p.length == length)
         assert ranks[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ranks, ranks[1:]))
@@ -117,6 +128,14 @@ def test_mixing(spark, documents):
     assert sorted(map(tuple, selection(documents, targets, total, seed=5).collect())) != sorted(map(tuple, rows))
     got = {r.source: r for r in shares(documents, targets, total).collect()}
     assert got["missing"].tokens == 0 and abs(got["a"].actual_share - 2000 / 3600) < 1e-9 and got["a"].n_copies == sum(r.copies for r in rows if r.source == "a")
+    # the largest mix in which a and b keep their shares: a once over, or b three times
+    sizes = Counter()
+    for r in tokens.with_tokens(documents, "source").collect():
+        sizes[r.source] += r.n_tokens
+    most = int(min(sizes["a"] / 0.5, 3 * sizes["b"] / 0.4))
+    got = {r.source: r for r in shares(documents, targets, FEASIBLE).collect()}
+    assert abs(got["a"].share_of_asked - 0.5) < 0.01 and abs(got["b"].share_of_asked - 0.4) < 0.01
+    assert feasible([("a", 0.5, 1), ("b", 0.4, 3), ("missing", 0.1, 2)], {"a": {1: sizes["a"]}, "b": {1: sizes["b"]}}) == most and feasible([], {}) == 0
     assert selection(documents.limit(0), targets).count() == 0 and shares(documents, targets.limit(0)).count() == 0
 
 
@@ -152,3 +171,18 @@ def test_thresholds_from_labels(spark):
     labels = spark.createDataFrame([(k, "law") for k in range(40)], "doc_id bigint, subject string")
     got = {r.doc_id for r in document_subjects(docs, labels).collect()}
     assert got == set(range(40))
+
+
+def test_passing_remarks_fall_below_the_threshold(spark):
+    """Labelled documents of another subject are negatives: one remark is not enough, whatever the rarity of its term."""
+    rows = [(k, "the jury heard the plaintiff and the verdict " * 2 + "word " * 20, 0) for k in range(30)]
+    rows += [(100 + k, "the compiler and the parser had a memory leak " * 2 + "but the jury " + "word " * 20, 0) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    labels = spark.createDataFrame([(k, "law") for k in range(25)] + [(100 + k, "software") for k in range(25)] + [(110, "law")], "doc_id bigint, subject string")
+    got = {(r.doc_id, r.subject) for r in document_subjects(docs, labels).collect()}
+    assert got == {(k, "law") for k in range(30)} | {(100 + k, "software") for k in range(30)}
+
+
+def test_best_threshold():
+    assert 1.02**4 < best_threshold({10: 5, 12: 3}, {3: 9}, 1) < 1.02**10
+    assert best_threshold({5: 10}, {}, 0) <= 1.02**5 and best_threshold({}, {}, 0) > 0

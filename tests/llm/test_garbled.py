@@ -45,6 +45,11 @@ def corpus(spark):
     seq += 1
     rows.append(page(seq, html("<p>" + prose(3, "fr").encode().decode("latin-1").replace("\xa0", "&nbsp;") + "</p>"), ctype="text/html; charset=utf-8"))
     wrong[seq] = None
+    for lang, own, said in (("fr", "cp1252", "utf-8"), ("ru", "cp1251", "utf-8"), ("pl", "cp1250", "utf-8"), ("ru", "utf-8", "cp1252")):
+        seq += 1
+        body = [prose(k * 3 + seq, lang) for k in range(3)]
+        rows.append(page(seq, html(*(f"<p>{x}</p>" for x in body)).encode(own), ctype=f"text/html; charset={said}"))
+        wrong[seq] = body[1]
     for text in ("<p>shown as <code>Ã©</code> here</p>", "<p>LÃ VÉGÉTÉ, PÃO E MAÇÃ</p>", "<p>&#233;t&#233;</p>", "<p>plain</p>", "<p>ТЕКСТ: ИВАН ПЕТРОВ</p>"):
         seq += 1
         rows.append(page(seq, html(text)))
@@ -58,6 +63,8 @@ def test_found_and_restored(corpus):
     assert set(got) <= known and len(set(got) & set(wrong)) >= 0.95 * len(wrong)
     right = sum(clean in got[k].restored for k, clean in wrong.items() if clean and k in got)
     assert right >= 0.7 * len(wrong)
+    sent_wrongly = [k for k in wrong if any(s.state.split(" read as ")[0] in ("cp1252", "cp1251", "cp1250", "utf-8") and s.state.endswith(("read as utf-8", "read as cp1252")) and LOST in s.before for s in got[k].spans)]
+    assert len(sent_wrongly) >= 4 and all(wrong[k] in got[k].restored for k in sent_wrongly)
 
 
 def test_small_tables(spark):
