@@ -77,6 +77,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """What write_text() wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    into = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(into, "UTF-8")
+    finally:
+        into.close()
+
+
 #: Limits of the Arrow batches sent to Python workers where rows hold whole payloads.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
