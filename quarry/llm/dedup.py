@@ -23,6 +23,7 @@ joins their clusters: union-find over the representatives concerned, others stay
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -186,7 +187,7 @@ class History:
     ``buckets`` and ``segments`` (of each load) are to grow with the history and the batches; buckets are fixed with the folder.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, loads: list[str] | None = None, buckets: int = 32, segments: int = 16) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, loads: list[str] | None = None, buckets: int = 16, segments: int = 16) -> None:
         self.spark = spark
         self.folder = folder or workspace.fresh_path(spark, "history")
         self.loads = list(loads or [])
@@ -198,8 +199,7 @@ class History:
         #: how many decided pairs had these levels of agreement, and were the same or not
         self.counts: dict[tuple[int, ...], list[int]] = {}
         if self.loads:
-            for r in self._read("counts", self.loads[-1:], COUNTS).collect():  # a row for each combination of levels
-                self.counts[tuple(r.levels)] = [r.n_different, r.n_same]
+            self.counts = {tuple(levels): n for levels, n in json.loads(workspace.read_text(spark, f"{self.folder}/counts/{self.loads[-1]}.json"))}
 
     def _read(self, name: str, loads: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{name}/{x}" for x in loads))
@@ -245,27 +245,21 @@ class History:
         rows.select(F.explode("keys").alias("key"), F.col("record_seq").alias("other"), "load").repartition(self._buckets, "key").write.insertInto(self._table)
         placed = accepted.select(*TEXTS_COLUMNS, self.segment("record_seq").alias("segment"))
         placed.repartition("segment").write.option("compression", "zstd").mode("overwrite").partitionBy("segment").parquet(f"{self.folder}/texts/{load}")
-        counts = [(list(levels), *c) for levels, c in self.counts.items()]
-        self.spark.createDataFrame(counts, COUNTS).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counts/{load}")
+        workspace.write_text(self.spark, f"{self.folder}/counts/{load}.json", json.dumps(list(self.counts.items())))
         self.loads.append(load)
 
-    def own(self, accepted: DataFrame, refused: DataFrame, links: DataFrame, load: str) -> None:
-        """Note whom the records of a load belong to, and join the clusters that links (a, b) connect."""
-        owners = accepted.select("record_seq", F.col("record_seq").alias("owner")).unionByName(refused.select(F.col("duplicate_seq").alias("record_seq"), F.col("accepted_seq").alias("owner")))
-        owners.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.folder}/owners/{load}")
-        links = workspace.written(links, "links")
-        path = f"{self.folder}/roots/{load}"
-        if links.isEmpty():
-            self.spark.createDataFrame([], ROOTS).write.mode("overwrite").parquet(path)
-            return
-        ends = links.select(F.col("a").alias("record_seq")).unionByName(links.select(F.col("b").alias("record_seq"))).distinct()
-        concerned = self.rooted(ends)
-        new = merged(concerned, links).filter("record_seq <> representative")
-        old = concerned.select(F.col("record_seq").alias("of"), F.col("representative").alias("was"))
-        up = new.join(old, F.col("record_seq") == F.col("of")).select("record_seq", "representative").unionByName(
-            new.join(old, F.col("record_seq") == F.col("of")).filter("was <> representative").select(F.col("was").alias("record_seq"), "representative")
-        )
-        up.groupBy("record_seq").agg(F.min("representative").alias("representative")).write.option("compression", "zstd").mode("overwrite").parquet(path)
+    def answer(self, refused: DataFrame, links: DataFrame, load: str) -> DataFrame:
+        """Note whom the refused records of a load belong to, and join the clusters that links (a, b) connect."""
+        path = f"{self.folder}/refused/{load}"
+        refused.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        links, n = workspace.counted(links, "links")
+        if n:
+            ends = links.select(F.col("a").alias("record_seq")).unionByName(links.select(F.col("b").alias("record_seq"))).distinct()
+            concerned = self.rooted(ends)
+            both = merged(concerned, links).join(concerned.select("record_seq", F.col("representative").alias("was")), "record_seq")
+            up = both.select("record_seq", "representative").unionByName(both.select(F.col("was").alias("record_seq"), "representative")).filter("record_seq <> representative")
+            up.groupBy("record_seq").agg(F.min("representative").alias("representative")).write.option("compression", "zstd").mode("overwrite").parquet(f"{self.folder}/roots/{load}")
+        return self.spark.read.schema(REFUSED).parquet(path)
 
     def _roots(self) -> DataFrame | None:
         loads = [x for x in self.loads if workspace.exists(self.spark, f"{self.folder}/roots/{x}/_SUCCESS")]
@@ -286,14 +280,13 @@ class History:
         """record_seq, representative of every record of all loads."""
         if not self.loads:
             return self.spark.createDataFrame([], ROOTS)
-        owners = self._read("owners", self.loads, "record_seq bigint, owner bigint")
-        heads = self.rooted(owners.filter("record_seq = owner").select("record_seq"))
-        return owners.join(heads.select(F.col("record_seq").alias("owner"), "representative"), "owner").select("record_seq", "representative")
+        heads = self.rooted(self._read("texts", self.loads, "record_seq bigint"))
+        refused = self._read("refused", self.loads, REFUSED).select(F.col("duplicate_seq").alias("refused_seq"), F.col("accepted_seq").alias("record_seq"))
+        return heads.unionByName(refused.join(heads, "record_seq").select(F.col("refused_seq").alias("record_seq"), "representative"))
 
 
 TEXTS = "record_seq bigint, path string, day string, declared string, h1 bigint, h2 bigint, words binary"
 TEXTS_COLUMNS = [x.split()[0] for x in TEXTS.split(", ")]
-COUNTS = "levels array<int>, n_different bigint, n_same bigint"
 ROOTS = "record_seq bigint, representative bigint"
 
 
@@ -358,11 +351,11 @@ def _of_history(heads: DataFrame, history: History) -> DataFrame | None:
         return None
     mine = heads.select(F.explode("keys").alias("key"), F.col("record_seq").alias("seq"))
     met = mine.join(held, "key").groupBy("seq", "other").agg(F.count("*").alias("n_keys"), F.first("load").alias("load"))
-    pairs, n = workspace.counted(met.withColumn("segment", history.segment("other")), "candidates")
-    if not n:
+    placed = met.withColumn("segment", history.segment("other"))
+    pairs, seen = workspace.observed(placed, "candidates", n=F.count(F.lit(1)), places=F.collect_set(F.struct("load", "segment")))  # folders, not records
+    if not seen["n"]:
         return None
-    places = [tuple(r) for r in pairs.select("load", "segment").distinct().collect()]  # folders, not records
-    return compared(pairs.drop("load", "segment"), n, heads, history.texts(places), history)
+    return compared(pairs.drop("load", "segment"), seen["n"], heads, history.texts([(r["load"], r["segment"]) for r in seen["places"]]), history)
 
 
 def refuse(batch: DataFrame, history: History, name: str) -> DataFrame:
@@ -413,12 +406,10 @@ def refuse(batch: DataFrame, history: History, name: str) -> DataFrame:
     history.learn(decided)
     accepted = heads.join(_few(refused.select(F.col("duplicate_seq").alias("record_seq")), n_refused), "record_seq", "left_anti")
     history.add(accepted, name)
-    out = workspace.written(with_copies(copies, refused), "refused")
     # whom else a refused record repeats, if that one was accepted
     others = decided.filter("same").join(refused.select(F.col("duplicate_seq").alias("seq"), F.col("accepted_seq").alias("b")), "seq").filter("other <> b").select(F.col("other").alias("a"), "b")
     links = others.join(_few(refused.select(F.col("duplicate_seq").alias("a")), n_refused), "a", "left_anti").distinct()
-    history.own(accepted, out, links, name)
-    return out
+    return history.answer(with_copies(copies, refused), links, name)
 
 
 def with_copies(copies: DataFrame, refused: DataFrame) -> DataFrame:
