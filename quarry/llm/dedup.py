@@ -213,7 +213,7 @@ class History:
 
     def texts(self, places: list[tuple[str, int]]) -> DataFrame:
         """What is compared of the accepted records in these segments."""
-        return self.spark.read.schema(TEXTS).parquet(*(f"{self.folder}/texts/{load}/segment={k}" for load, k in places))
+        return self.spark.read.schema(TEXTS).parquet(*(f"{self.folder}/texts/load={load}/segment={k}" for load, k in places))
 
     def weights(self) -> dict[tuple[str, int], float]:
         """Weight of evidence of each field's level, from the pairs decided so far."""
@@ -244,7 +244,7 @@ class History:
         rows = accepted.withColumn("load", F.lit(load))
         rows.select(F.explode("keys").alias("key"), F.col("record_seq").alias("other"), "load").repartition(self._buckets, "key").write.insertInto(self._table)
         placed = accepted.select(*TEXTS_COLUMNS, self.segment("record_seq").alias("segment"))
-        placed.repartition("segment").write.option("compression", "zstd").mode("overwrite").partitionBy("segment").parquet(f"{self.folder}/texts/{load}")
+        placed.repartition("segment").write.option("compression", "zstd").mode("overwrite").partitionBy("segment").parquet(f"{self.folder}/texts/load={load}")
         workspace.write_text(self.spark, f"{self.folder}/counts/{load}.json", json.dumps(list(self.counts.items())))
         self.loads.append(load)
 
@@ -280,7 +280,8 @@ class History:
         """record_seq, representative of every record of all loads."""
         if not self.loads:
             return self.spark.createDataFrame([], ROOTS)
-        heads = self.rooted(self._read("texts", self.loads, "record_seq bigint"))
+        texts = self.spark.read.schema("record_seq bigint, load string, segment int").parquet(f"{self.folder}/texts")
+        heads = self.rooted(texts.filter(F.col("load").isin(self.loads)).select("record_seq"))
         refused = self._read("refused", self.loads, REFUSED).select(F.col("duplicate_seq").alias("refused_seq"), F.col("accepted_seq").alias("record_seq"))
         return heads.unionByName(refused.join(heads, "record_seq").select(F.col("refused_seq").alias("record_seq"), "representative"))
 
