@@ -26,14 +26,14 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.dedup import deduplicated
 
-    return deduplicated(table(spark, sf_dir, "archive_records")).select("accepted_seq", "duplicate_seq")
+    return deduplicated(table(spark, sf_dir, "archive_records"), together=3).select("accepted_seq", "duplicate_seq")
 
 
 def p2_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.dedup import History, deduplicated
 
     history = History(spark)
-    deduplicated(table(spark, sf_dir, "archive_records"), history)
+    deduplicated(table(spark, sf_dir, "archive_records"), history, together=3)
     return history.representatives()
 
 
