@@ -217,7 +217,7 @@ def read_records(file: BinaryIO, options: Options = Options(), start: int = 0, l
 
 def _crowded(known: str | None) -> str:
     kind = known or "warc/arc"
-    return f"non-chunked gzip file detected, gzip block continues beyond single record; each {kind} record must be a gzip member of its own: recompress the file"
+    return f"one gzip member holds several {kind} records: recompress the file, so that each has a member of its own"
 
 
 def _between(reader: Plain, warnings: list[str]) -> tuple[bytes | None, int]:
@@ -230,7 +230,7 @@ def _between(reader: Plain, warnings: list[str]) -> tuple[bytes | None, int]:
         if line.strip() and not first:
             return line, blank
         if line.strip():
-            warnings.append("record not followed by newline")
+            warnings.append("no empty line after the record")
         blank += len(line)
         first = False
 

@@ -51,7 +51,7 @@ def chunks(data: bytes, strict: bool = False) -> Iterator[bytes]:
         size = _chunk_size(head)
         if size is None:
             if strict:
-                raise ChunkError(f"Couldn't decode length header {head!r}")
+                raise ChunkError(f"no chunk size in {head!r}")
             yield head
             break
         if size == 0:
@@ -60,21 +60,21 @@ def chunks(data: bytes, strict: bool = False) -> Iterator[bytes]:
             if tail == b"\r\n":
                 return
             if strict:
-                raise ChunkError("Incorrect terminator after length header of 0")
+                raise ChunkError("the last chunk is not followed by an empty line")
             yield head
             break
         body = data[at : at + size]
         at += len(body)
         if len(body) < size:
             if strict:
-                raise ChunkError("Ran out of data before end of chunk")
+                raise ChunkError(f"a chunk of {size} bytes ends after {len(body)}")
             yield body
             return
         tail = data[at : at + 2]
         at += 2
         if tail != b"\r\n":
             if strict:
-                raise ChunkError("Chunk terminator not found.")
+                raise ChunkError("no line end after a chunk")
             yield head + body
             break
         yield body
@@ -100,9 +100,10 @@ def inflate(blocks: Iterator[bytes], kind: str, all_members: bool = False) -> tu
     Only the first gzip member counts unless ``all_members`` is set.
     """
     if kind not in DECOMPRESSORS:
-        raise ValueError(f"Decompression type not supported: {kind}")
+        raise ValueError(f"unknown content coding: {kind}")
     name, tool, out, error = kind, DECOMPRESSORS[kind](), [], None
     produced = 0
+    silent = b""  # what was read without any output so far: read again if it turns out not to be compressed this way
     for block in blocks:
         while block:
             if tool is None:
@@ -111,21 +112,20 @@ def inflate(blocks: Iterator[bytes], kind: str, all_members: bool = False) -> tu
             try:
                 got = tool.decompress(block)
             except Exception as e:  # zlib.error, or that of a plug-in
-                if produced == 0 and name == "deflate":
-                    name, tool = "deflate_alt", DECOMPRESSORS["deflate_alt"]()
-                    continue
                 if produced == 0:
-                    tool = None
+                    block, silent = silent + block, b""
+                    name, tool = ("deflate_alt", DECOMPRESSORS["deflate_alt"]()) if name == "deflate" else (name, None)
                     continue
                 return b"".join(out), str(e)
             out.append(got)
             produced += len(got)
+            silent = b"" if produced else silent + block
             rest = tool.unused_data
             if not rest:
                 break
             if not all_members:
                 return b"".join(out), error
-            tool, block, produced = DECOMPRESSORS[name](), rest, 0
+            tool, block, produced, silent = DECOMPRESSORS[name](), rest, 0, b""
     return b"".join(out), error
 
 

@@ -37,19 +37,22 @@ def base_name(path: Column | str) -> Column:
     return F.element_at(F.split(_c(path), "/", -1), -1)
 
 
-def request_url(target: Column | str, host: Column | str, port: Column | str, default_port: Column | str, verb: Column | str | None = None) -> Column:
-    """struct(url, proxy_host) of a request sent to a host: the absolute URL, and the proxy if the target is a URL itself.
+def request_url(target: Column | str, host: Column | str, port: Column | str, default_port: Column | str, verb: Column | str | None = None, tunnel: Column | str | None = None) -> Column:
+    """struct(url, proxy_host) of a request sent to a host: the absolute URL, and the proxy if there is one.
 
-    The scheme is https where the connection's default port is 443; that port is left out.
+    The scheme is https where the connection's default port is 443; that port is left out. CONNECT
+    opens a tunnel and has no URL itself; ``tunnel`` is its target, host or host:port, for the requests
+    that follow on the same connection (null without one): they go to that host, by way of this one.
     """
-    t, h, p, d = _c(target), _c(host), _c(port).cast("string"), _c(default_port).cast("int")
+    t, h, p, d = _c(target), _c(host), _c(port).cast("int"), _c(default_port).cast("int")
+    through = _c(tunnel) if tunnel is not None else F.lit(None).cast("string")
+    opens = F.coalesce(F.upper(_c(verb)) == "CONNECT", F.lit(False)) if verb is not None else F.lit(False)
+    far_host = F.coalesce(F.substring_index(through, ":", 1), h)
+    far_port = F.when(through.isNull(), p).otherwise(F.coalesce(F.regexp_extract(through, r":(\d+)$", 1).try_cast("int"), d))
     scheme = F.when(d == 443, "https").otherwise("http")
-    place = F.concat(scheme, F.lit("://"), h, F.when(p.cast("int") == d, "").otherwise(F.concat(F.lit(":"), p)))
     absolute = F.startswith(t, F.lit("http:")) | F.startswith(t, F.lit("https:"))
-    tunnel = (F.upper(_c(verb)) == "CONNECT") if verb is not None else F.lit(False)
-    own = F.concat(F.lit("http://"), h, F.lit(":"), p)
-    secure = F.concat(F.lit("https://"), h, F.lit(":"), p)
-    return F.struct(
-        F.when(tunnel, F.concat(F.lit("https://"), t, F.lit("/"))).when(absolute, t).otherwise(F.concat(place, t)).alias("url"),
-        F.when(tunnel, secure).when(absolute, own).alias("proxy_host"),
-    )
+    place = F.concat(scheme, F.lit("://"), far_host, F.when(far_port == d, "").otherwise(F.concat(F.lit(":"), far_port.cast("string"))))
+    url = F.when(absolute, t).when(~opens, F.concat(place, t))
+    by_tunnel = F.when(opens | through.isNotNull(), F.concat(F.lit("https://"), h, F.lit(":"), p.cast("string")))
+    by_proxy = F.when(absolute & ~opens, F.concat(F.lit("http://"), far_host, F.lit(":"), far_port.cast("string")))
+    return F.struct(F.when(~opens, url).alias("url"), F.coalesce(by_proxy, by_tunnel).alias("proxy_host"))

@@ -14,14 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry import workspace
-from quarry.codec.container import ArchiveError, Options
+from quarry.codec.container import ArchiveError, Options, read_records
 from quarry.codec.serialize import gzip_member, serialized
 from quarry.functions.dates import time_to_iso, timestamp_to_iso
 from quarry.functions.digests import SIZES, digest_matches, digest_of
 from quarry.functions.headers import add_header, get_header, has_header, header, remove_header, replace_header, status_code
 from quarry.functions.uris import base_name
 from quarry.schema import HEADERS
-from quarry.sources.webarchive import local_path, plain_row, register, rows_of_file, to_arrow
+from quarry.sources.webarchive import arrow_batches, local_path, plain_row, register, rows_of_file
 
 #: Content types of records by type, and of any other; fixed values.
 CONTENT_TYPES = {
@@ -55,13 +55,16 @@ def read(spark: SparkSession, path: str | Sequence[str], **options: object) -> D
     return spark.read.format("webarchive").options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}).load(paths)
 
 
-def write(records: DataFrame, path: str, gzip: bool = True, mode: str = "append", one_file: bool = False, order: Sequence[str] = ("path", "record_id_seq")) -> None:
-    """Write records as archive files below a folder; one_file keeps all of them in order in one task."""
+def write(records: DataFrame, path: str, gzip: bool = True, mode: str = "append", one_file: bool = False, order: Sequence[str] = ("path", "record_id_seq"), **options: str) -> None:
+    """Write records as archive files below a folder; one_file keeps all of them in order in one task.
+
+    Options: ``job`` (a name, so that the same job run again takes the place of its files), ``warc_version``.
+    """
     register(records.sparkSession)
     rows = records
     if one_file:
         rows = records.coalesce(1).sortWithinPartitions(*(c for c in order if c in records.columns))
-    rows.write.format("webarchive").option("gzip", str(gzip).lower()).mode(mode).save(path)
+    rows.write.format("webarchive").option("gzip", str(gzip).lower()).options(**options).mode(mode).save(path)
 
 
 # -- index ---------------------------------------------------------------------------------------
@@ -167,16 +170,28 @@ def extract_all(places: DataFrame, **options: object) -> DataFrame:
     """Records at (path, offset) of a table, each read on its own: parallel inside files too."""
     chosen = Options(**options)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        name, file = None, None
+        try:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["path"] != name:
+                        if file is not None:
+                            file.close()
+                        name, file = r["path"], open(local_path(r["path"]), "rb")
+                    file.seek(r["offset"])
+                    for x in read_records(file, chosen, r["offset"], 1):
+                        yield x | {"path": r["path"], "filename": os.path.basename(r["path"])}
+        finally:
+            if file is not None:
+                file.close()
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                rows = list(rows_of_file(local_path(r["path"]), chosen, start=r["offset"], limit=1))
-                if rows:
-                    yield to_arrow(rows)
+        return arrow_batches(rows(batches))
 
     from quarry.schema import RECORDS
 
-    return places.select("path", "offset").mapInArrow(part, RECORDS)
+    return places.select("path", "offset").sortWithinPartitions("path", "offset").mapInArrow(part, RECORDS)
 
 
 # -- records -------------------------------------------------------------------------------------
@@ -268,27 +283,28 @@ def revisit_headers(digest: Column, refers_to_uri: Column, refers_to_date: Colum
 def as_revisits(records: DataFrame, order: Sequence[Column | str], version: str = "WARC/1.0") -> DataFrame:
     """Responses whose payload digest came before become revisits of the first one; other records stay as they are.
 
-    The first of a digest is found by an aggregate, not by a window, so that a digest of a third of
-    all rows is no task of its own. Records without digest stay. Ties go by the record id.
+    The first of a digest is found by an aggregate over the few columns it needs, not by a window, so
+    that a digest of a third of all rows is no task of its own. Payloads move only once, spread evenly
+    by the records' places, and those of records without a digest not at all. Ties go by the record id.
     """
     digest = get_header("rec_headers", "WARC-Payload-Digest")
     place = F.struct(*order, get_header("rec_headers", "WARC-Record-ID").alias("_id"))
     marked = records.withColumn("_digest", F.when(F.col("rec_type") == "response", digest)).withColumn("_place", place)
-    firsts = (
-        marked.filter("_digest IS NOT NULL")
-        .groupBy("_digest")
-        .agg(F.min("_place").alias("_first"), F.min_by(F.struct(get_header("rec_headers", "WARC-Target-URI").alias("uri"), get_header("rec_headers", "WARC-Date").alias("date")), "_place").alias("_of"))
-    )
-    again = F.coalesce(F.col("_place") > F.col("_first"), F.lit(False))
+    slim = marked.filter("_digest IS NOT NULL").select("_digest", "_place", F.struct(get_header("rec_headers", "WARC-Target-URI").alias("uri"), get_header("rec_headers", "WARC-Date").alias("date")).alias("_own"))
+    firsts = slim.groupBy("_digest").agg(F.min("_place").alias("_first"), F.min_by("_own", "_place").alias("_of"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    later = slim.select("_digest", "_place").join(firsts, "_digest").filter("_place > _first").select(F.col("_place").alias("_again"), "_of").distinct()
     kept = replace_header(remove_header(remove_header("rec_headers", "WARC-Payload-Digest"), "WARC-Block-Digest"), "WARC-Type", "revisit")
     more = F.array(*revisit_headers(F.col("_digest"), F.col("_of.uri"), F.col("_of.date"), version))
-    return (
-        marked.join(firsts, "_digest", "left")
+    again = F.col("_of").isNotNull()
+    changed = (
+        marked.filter("_digest IS NOT NULL")
+        .join(later, F.col("_place").eqNullSafe(F.col("_again")), "left")
         .withColumn("rec_headers", F.when(again, F.concat(kept, more)).otherwise(F.col("rec_headers")))
         .withColumn("rec_type", F.when(again, "revisit").otherwise(F.col("rec_type")))
         .withColumn("payload", F.when(again, F.lit(b"")).otherwise(F.col("payload")))
-        .drop("_digest", "_place", "_first", "_of")
+        .drop("_digest", "_place", "_again", "_of")
     )
+    return marked.filter("_digest IS NULL").drop("_digest", "_place").unionByName(changed)
 
 
 def resolved_revisits(records: DataFrame) -> DataFrame:
@@ -400,7 +416,9 @@ def recompress(spark: SparkSession, path: str, output: str) -> tuple[int, bool]:
 def exchange_records(exchanges: DataFrame, key: str = "exchange_id", version: str = "WARC/1.0") -> DataFrame:
     """Records of recorded HTTP exchanges, the response of each first.
 
-    Columns: key, request and response bytes, host, port, default_port, ip (null if not known), time.
+    Columns: key, request and response bytes, host, port, default_port, ip (null if not known), time,
+    and optionally connection: exchanges that follow a CONNECT on the same connection go to its host.
+    CONNECT itself has no URL and gives no records.
     """
     from quarry.functions.headers import parse_block
     from quarry.functions.uris import request_url
@@ -414,8 +432,12 @@ def exchange_records(exchanges: DataFrame, key: str = "exchange_id", version: st
     q, q_body = cut("request")
     r, r_body = cut("response")
     staged = exchanges.select("*", F.explode(F.array(q)).alias("_q")).select("*", F.explode(F.array(r)).alias("_r"))  # parsed once
-    place = request_url(F.substring_index(F.col("_q.statusline"), " ", 1), F.col("host"), F.col("port"), F.col("default_port"), F.col("_q.protocol"))
-    staged = staged.withColumn("_to", place)
+    target, opens = F.substring_index(F.col("_q.statusline"), " ", 1), F.upper("_q.protocol") == "CONNECT"
+    tunnel = F.lit(None).cast("string")
+    if "connection" in exchanges.columns:  # the exchanges of one connection are few
+        before = W.partitionBy("connection").orderBy("time", key).rowsBetween(W.unboundedPreceding, -1)
+        tunnel = F.when(F.col("connection").isNotNull(), F.last(F.when(opens, target), True).over(before))
+    staged = staged.withColumn("_to", request_url(target, F.col("host"), F.col("port"), F.col("default_port"), F.col("_q.protocol"), tunnel)).filter("_to.url IS NOT NULL")
     extra = F.concat(
         F.when(F.col("ip").isNotNull(), F.array(header("WARC-IP-Address", F.col("ip")))).otherwise(F.array().cast(HEADERS)),
         F.when(F.col("_to.proxy_host").isNotNull(), F.array(header("WARC-Proxy-Host", F.col("_to.proxy_host")))).otherwise(F.array().cast(HEADERS)),

@@ -5,6 +5,7 @@ Each has the same query in SQL for comparison. Archives are written to the share
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,10 +90,10 @@ def index_http_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.index(records(spark, sf_dir), "filename,length,http:status,http:content-type,WARC-Record-ID", keep=["record_seq"])
 
 
-@query(f"""SELECT count(*) AS n, count(DISTINCT {_header('warc-record-id')}) AS n_ids FROM archive_records WHERE error IS NULL""")
+@query(f"""SELECT '{{' || concat_ws(', ', '"offset": "' || "offset" || '"', '"warc-type": "' || {_header('warc-type')} || '"', '"warc-record-id": "' || {_header('warc-record-id')} || '"') || '}}' AS value
+           FROM archive_records WHERE error IS NULL""")
 def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = A.index_lines(A.index(records(spark, sf_dir), "offset,warc-record-id"))
-    return lines.agg(F.count("*").alias("n"), F.count_distinct(F.get_json_object("value", "$.warc-record-id")).alias("n_ids"))
+    return A.index_lines(A.index(records(spark, sf_dir), "offset,warc-type,warc-record-id"))
 
 
 @query("SELECT rec_type, count(*) AS n, CAST(sum(len(warnings)) AS BIGINT) AS err_count, count(error) AS n_errors FROM archive_records GROUP BY rec_type")
@@ -148,22 +149,46 @@ def check_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "pass").alias("n_pass"))
 
 
-@query("SELECT 'http://docs.example/' || doc_id AS uri, md5(coalesce(text, '')) AS md5 FROM documents WHERE doc_id % 100 = 0")
+@query("SELECT 'http://docs.example/' || doc_id AS uri, md5(coalesce(text, '')) AS md5 FROM documents")
 def extract_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records read one by one at the offsets of an index: the stated set is every id divisible by 100."""
-    rows = document_archive(spark, sf_dir, True, payload="none")
-    places = rows.filter(F.substring_index(H.get_header("rec_headers", "WARC-Target-URI"), "/", -1).cast("bigint") % 100 == 0)
-    got = A.extract_all(places.select("path", "offset"))
-    return got.select(H.get_header("rec_headers", "WARC-Target-URI").alias("uri"), F.md5("payload").alias("md5"))
+    """Every record read on its own at the offset of an index."""
+    places = document_archive(spark, sf_dir, True, payload="none").select("path", "offset")
+    return A.extract_all(places).select(H.get_header("rec_headers", "WARC-Target-URI").alias("uri"), F.md5("payload").alias("md5"))
+
+
+@query("SELECT 'http://docs.example/' || doc_id AS uri, md5(coalesce(text, '')) AS md5 FROM documents")
+def gzip_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes from offset on, as many as the record's length, are a gzip member with the whole record."""
+    from quarry.plans.encode import member_payloads
+
+    places = document_archive(spark, sf_dir, True, payload="none").select(H.get_header("rec_headers", "WARC-Target-URI").alias("uri"), "path", "offset", "record_length")
+    return member_payloads(places).select("uri", F.md5("payload").alias("md5"))
+
+
+@query("""SELECT CAST(floor(doc_id / 2) AS BIGINT) AS file, least(count(*), 1) AS n_read, greatest(least(count(*) - 1, 1), 0) AS n_errors, count(*) AS n_joined FROM documents GROUP BY ALL""")
+def gzip_members_of_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two records in one gzip member: the second is an error, unless members are read as one stretch."""
+    from quarry.plans.encode import joined_members
+    from quarry.streaming.archives import parsed_files
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    built = A.build_records(docs, F.concat(F.lit("http://d.example/"), "doc_id"), "resource", F.col("text"), F.lit("2020-01-01T00:00:00Z"), F.col("doc_id"), F.lit("text/plain"), keep=["doc_id"])
+    files = joined_members(A.serialized_records(built, keep=["doc_id"]).select(F.floor(F.col("doc_id") / 2).alias("file"), "data"))
+    file = F.col("path").cast("bigint").alias("file")
+    plain = parsed_files(files, payload="none").groupBy(file).agg(F.count_if(F.col("error").isNull()).alias("n_read"), F.count("error").alias("n_errors"))
+    joined = parsed_files(files, payload="none", gzip_mode="all_members").filter("error IS NULL").groupBy(file).agg(F.count("*").alias("n_joined"))
+    return plain.join(joined, "file")
 
 
 @query("SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents")
 def recompress_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plain archive read and written with a gzip member for each record, and read again."""
-    plain = document_archive(spark, sf_dir, False, arc2warc=True)
+    """A plain archive recompressed into one file with a gzip member for each record, and read again."""
+    plain = document_archive(spark, sf_dir, False)
     folder = _local(workspace.fresh_path(spark, "archive"))
-    A.write(plain, folder, True)
-    return A.read(spark, folder).agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes"))
+    os.makedirs(folder)
+    n, repaired = A.recompress(spark, os.path.dirname(plain.select("path").first().path), f"{folder}/all.warc.gz")
+    rows = A.read(spark, folder).agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes"))
+    return rows.filter((F.col("n") == n) & F.lit(not repaired))
 
 
 @query("SELECT 'http://docs.example/' || doc_id AS uri, strlen(coalesce(text, '')) AS length FROM documents")
@@ -192,6 +217,16 @@ def _b32(data: str) -> str:
     return group
 
 
+def _b32_of_256(data: str) -> str:
+    """Base 32 of the SHA-256 of a blob in SQL: six times ten hexadecimal digits, four digits, padding."""
+    h = f"sha256({data})"
+    char = f"substr('{_ALPHABET}', 1 + (({{n}} >> {{by}}) & 31), 1)"
+    ten = char.format(n=f"CAST('0x' || substr({h}, 1 + 10 * k, 10) AS BIGINT)", by="(35 - 5 * i)")
+    four = char.format(n=f"(CAST('0x' || substr({h}, 61, 4) AS BIGINT) << 4)", by="(15 - 5 * i)")
+    whole = f"array_to_string(list_transform(range(0, 6), lambda k: array_to_string(list_transform(range(0, 8), lambda i: {ten}), '')), '')"
+    return f"({whole} || array_to_string(list_transform(range(0, 4), lambda i: {four}), '') || '====')"
+
+
 @query(f"SELECT record_seq, 'sha1:' || {_b32('payload')} AS digest, 'md5:' || md5(payload) AS md5 FROM archive_records WHERE payload IS NOT NULL")
 def digest_b32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).filter("payload IS NOT NULL").select("record_seq", digest_of("payload").alias("digest"), F.concat(F.lit("md5:"), F.md5("payload")).alias("md5"))
@@ -205,15 +240,31 @@ _AS_HEX = f"""CASE WHEN length(v) = 2 * size THEN lower(v) WHEN length(v) < ceil
 
 @query(f"""WITH d AS (SELECT record_seq, payload, {_DECLARED} AS declared FROM archive_records WHERE rec_type = 'response' AND payload IS NOT NULL),
            e AS (SELECT *, {_VALUE} AS v, CASE WHEN lower(split_part(declared, ':', 1)) = 'sha256' THEN 32 WHEN lower(split_part(declared, ':', 1)) = 'md5' THEN 16 ELSE 20 END AS size, {_HASH} AS h FROM d)
-           SELECT record_seq, CASE WHEN h IS NULL THEN NULL WHEN length(v) = 32 AND size = 20 THEN v = {_b32('payload')}
-           WHEN length(v) = 2 * size OR length(v) < ceil(size / 5.0) * 8 THEN coalesce({_AS_HEX} = h, false) END AS ok FROM e
-           WHERE NOT (length(v) = ceil(size / 5.0) * 8 AND size = 32) OR declared IS NULL""")
+           SELECT record_seq, CASE WHEN h IS NULL THEN NULL WHEN length(v) = 32 AND size = 20 THEN v = {_b32('payload')} WHEN length(v) = 56 AND size = 32 THEN v = {_b32_of_256('payload')}
+           WHEN length(v) = 2 * size OR length(v) < ceil(size / 5.0) * 8 THEN coalesce({_AS_HEX} = h, false) END AS ok FROM e""")
 def digest_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests declared in base 32, base 64, its URL form and hexadecimal against the payload."""
     declared = H.get_header("rec_headers", "WARC-Payload-Digest")
     rows = records(spark, sf_dir).filter("rec_type = 'response' AND payload IS NOT NULL")
-    of256 = (F.lower(F.substring_index(declared, ":", 1)) == "sha256") & (F.length(declared) == 7 + 56)
-    return rows.filter(~F.coalesce(of256, F.lit(False))).select("record_seq", digest_matches(declared, "payload").alias("ok"))
+    return rows.select("record_seq", digest_matches(declared, "payload").alias("ok"))
+
+
+@query("SELECT 'http://docs.example/' || doc_id AS uri, CASE WHEN doc_id % 7 = 0 THEN 'fail' WHEN doc_id % 7 = 1 THEN 'fail' ELSE 'pass' END AS verdict, CASE WHEN doc_id % 7 IN (0, 1) THEN 1 ELSE 0 END AS n_problems FROM documents")
+def check_pass_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written with a wrong payload digest (id 0 modulo 7), one of an unknown algorithm (1), or as a segment, of which only the block is judged (2)."""
+    k = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    given = F.when((k % 7).isin(0, 2), digest_of(F.encode(F.concat(text, F.lit("x")), "UTF-8"))).when(k % 7 == 1, F.lit("whirl:ABC")).otherwise(digest_of(F.encode(text, "UTF-8")))
+    wanted = F.array(H.header("WARC-Payload-Digest", given))
+    wanted = F.when(k % 7 == 2, F.concat(wanted, F.array(H.header("WARC-Segment-Number", F.lit("2"))))).otherwise(wanted)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    built = A.build_records(docs, F.concat(F.lit("http://docs.example/"), k), "resource", F.col("text"), F.lit("2020-01-01T00:00:00Z"), k, F.lit("text/plain"), warc_headers=wanted)
+    folder = _local(workspace.fresh_path(spark, "archive"))
+    A.write(built, folder)
+    rows = A.read(spark, folder, check_digests=True)
+    verdicts = A.check(rows).select("path", "offset", "verdict", F.size("problems").alias("n_problems"))
+    uris = rows.select("path", "offset", H.get_header("rec_headers", "WARC-Target-URI").alias("uri"))
+    return uris.join(verdicts, ["path", "offset"]).select("uri", "verdict", "n_problems")
 
 
 @query(f"""WITH d AS (SELECT rec_type, error, digest.passed AS passed, {_DECLARED} AS declared, coalesce({_header('WARC-Block-Digest')}, '') <> '' OR coalesce({_DECLARED}, '') <> '' AS present FROM archive_records)
@@ -484,12 +535,13 @@ def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/archive_records.parque[t]")
     out, at = workspace.fresh_path(spark, "hours"), workspace.fresh_path(spark, "progress")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = captures_by_hour(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
+    q = captures_by_hour(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("start timestamp, rec_type string, n bigint").parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    counts = spark.read.schema("start timestamp, rec_type string, n bigint, batch int").parquet(out)
+    return counts.groupBy("start", "rec_type").agg(F.max_by("n", "batch").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""SELECT doc_id, 'revisit' AS type, 'http://d.example/' || doc_id AS uri, 'http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' AS profile, 'http://d.example/0' AS refers_to,
@@ -502,10 +554,59 @@ def build_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("doc_id", *(H.get_header("rec_headers", n).alias(a) for a, n in got.items()), "content_type", "length")
 
 
-@query(f"""SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 4 > 0 AS longer, md5('WARC/1.0' || chr(13) || chr(10)) AS top FROM documents""")
+_CRLF = "chr(13) || chr(10)"
+_TEXT = "coalesce(text, '')"
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(['WARC/1.0', 'WARC-Type: resource',
+           'WARC-Record-ID: <urn:uuid:' || regexp_replace(md5(CAST(doc_id AS VARCHAR)), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5') || '>',
+           'WARC-Target-URI: http://d.example/' || doc_id, 'WARC-Date: 2020-01-01T00:00:00Z', 'WARC-Payload-Digest: sha1:' || {_b32(f'encode({_TEXT})')}, 'WARC-Block-Digest: sha1:' || {_b32(f'encode({_TEXT})')},
+           'Content-Type: text/plain', 'Content-Length: ' || strlen({_TEXT}), '', {_TEXT}, '', ''], {_CRLF})) AS md5 FROM documents""")
 def serialize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as bytes, and compressed and read back."""
+    """Every byte of records as they are written."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     built = A.build_records(docs, F.concat(F.lit("http://d.example/"), "doc_id"), "resource", F.col("text"), F.lit("2020-01-01T00:00:00Z"), F.col("doc_id"), F.lit("text/plain"), keep=["doc_id"])
-    data = A.serialized_records(built, keep=["doc_id", "payload"])
-    return data.select("doc_id", (F.octet_length("data") > F.octet_length("payload") + 4).alias("longer"), F.md5(F.substring("data", 1, 10)).alias("top"))
+    return A.serialized_records(built, keep=["doc_id"]).select("doc_id", F.md5("data").alias("md5"))
+
+
+@query("""SELECT s_suppkey, 0 AS step, CAST(NULL AS VARCHAR) AS url FROM supplier WHERE FALSE
+          UNION ALL SELECT s_suppkey, 1, 'https://shop' || s_nationkey || '.example' || CASE WHEN s_suppkey % 2 = 0 THEN ':8443' ELSE '' END || '/s/' || s_suppkey FROM supplier
+          UNION ALL SELECT s_suppkey, 2, 'https://shop' || s_nationkey || '.example' || CASE WHEN s_suppkey % 2 = 0 THEN ':8443' ELSE '' END || '/again' FROM supplier""")
+def connect_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that follow CONNECT on their connection go to the tunnel's host; CONNECT itself has no record."""
+    k = F.col("s_suppkey")
+    place = F.concat(F.lit("shop"), F.col("s_nationkey"), F.lit(".example:"), F.when(k % 2 == 0, "8443").otherwise("443"))
+    first = F.array(F.concat(F.lit("CONNECT "), place), F.concat(F.lit("GET /s/"), k), F.lit("GET /again"))
+    steps = table(spark, sf_dir, "supplier").select(k, F.posexplode(first).alias("step", "line"))
+    exchanges = steps.select(
+        (k * 3 + F.col("step")).alias("exchange_id"), k.alias("connection"), F.concat("line", F.lit(" HTTP/1.1\r\nHost: x\r\n\r\n")).cast("binary").alias("request"), F.lit("HTTP/1.1 200 OK\r\n\r\n").cast("binary").alias("response"),
+        F.lit("proxy.example").alias("host"), F.lit(3128).alias("port"), F.lit(443).alias("default_port"), F.lit(None).cast("string").alias("ip"), F.timestamp_seconds(F.col("step")).cast("timestamp_ntz").alias("time"),
+    )
+    rows = A.exchange_records(exchanges).filter("rec_type = 'request'")
+    return rows.select(F.floor(F.col("exchange_id") / 3).cast("bigint").alias("s_suppkey"), (F.col("exchange_id") % 3).cast("int").alias("step"), H.get_header("rec_headers", "WARC-Target-URI").alias("url"))
+
+
+@query("SELECT doc_id, md5('Text: ' || coalesce(text, '')) AS md5 FROM documents")
+def content_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that are not what their headers say pass as they are; a chunked body may end early or lack its last chunk."""
+    from quarry.functions.content import with_content
+
+    k, text = F.col("doc_id") % 4, F.encode(F.concat(F.lit("Text: "), F.coalesce("text", F.lit(""))), "UTF-8")
+    size = F.hex(F.length(text) + F.when(k == 2, 5).otherwise(0))
+    body = F.when(k == 0, text).when(k == 1, text).when(k == 2, F.concat(F.encode(F.concat(size, F.lit("\r\n")), "UTF-8"), text)).otherwise(F.concat(F.encode(F.concat(size, F.lit(";x=y\r\n")), "UTF-8"), text, F.encode(F.lit("\r\n"), "UTF-8")))
+    te = F.array(H.header("Transfer-Encoding", F.lit("chunked")))
+    ce = F.array(H.header("Content-Encoding", F.lit("GZip")))
+    headers = F.when(k == 0, F.concat(te, ce)).when(k == 1, ce).otherwise(te)
+    rows = table(spark, sf_dir, "documents").select("doc_id", headers.alias("http_headers"), body.alias("payload"))
+    return with_content(rows).select("doc_id", F.md5("content").alias("md5"))
+
+
+@query("SELECT 'http://docs.example/' || doc_id AS uri, 'WARC/1.1' AS version FROM documents")
+def written_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as another version, and the same job run twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    built = A.build_records(docs, F.concat(F.lit("http://docs.example/"), "doc_id"), "resource", F.col("text"), F.lit("2020-01-01T00:00:00Z"), F.col("doc_id"), F.lit("text/plain"))
+    folder = _local(workspace.fresh_path(spark, "archive"))
+    for _ in range(2):
+        A.write(built, folder, job="load1", warc_version="WARC/1.1")
+    return A.read(spark, folder, payload="none").select(H.get_header("rec_headers", "WARC-Target-URI").alias("uri"), F.col("rec_protocol").alias("version"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import zlib
 from collections.abc import Iterator
@@ -64,3 +65,34 @@ def framed_length(rows: DataFrame, key: str, declared: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.int64())], [key, "length"])
 
     return rows.select(F.col(key).cast("bigint"), declared).mapInArrow(part, f"{key} bigint, length bigint")
+
+
+def member_payloads(places: DataFrame) -> DataFrame:
+    """uri, payload: the bytes of records at (path, offset, record_length), each decompressed as one gzip member."""
+    workspace.small_batches(places.sparkSession)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uris, payloads = [], []
+            for r in batch.to_pylist():
+                with open(r["path"], "rb") as f:
+                    f.seek(r["offset"])
+                    data = gzip.decompress(f.read(r["record_length"]))
+                uris.append(r["uri"])
+                payloads.append(data.partition(b"\r\n\r\n")[2].removesuffix(b"\r\n\r\n"))
+            yield pa.RecordBatch.from_arrays([pa.array(uris, pa.string()), pa.array(payloads, pa.binary())], ["uri", "payload"])
+
+    return places.select("uri", "path", "offset", "record_length").sortWithinPartitions("path", "offset").mapInArrow(part, "uri string, payload binary")
+
+
+def joined_members(rows: DataFrame) -> DataFrame:
+    """path, content: the data of each file (two records) in one gzip member."""
+    workspace.small_batches(rows.sparkSession)
+    both = rows.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("data")), lambda x: F.hex(x)), "").alias("data"))  # two records a file
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [str(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([gzip.compress(bytes.fromhex(x)) for x in batch.column(1).to_pylist()], pa.binary())], ["path", "content"])
+
+    return both.mapInArrow(part, "path string, content binary")

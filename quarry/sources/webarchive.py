@@ -2,8 +2,9 @@
 
 Catalyst does not prune the columns of Python data sources, so what is not wanted is named by
 options: ``payload`` (raw, none), ``parse_http``, ``check_digests``. Filters on ``path``,
-``filename`` and ``offset`` reach the reader where the session allows pushdown for Python sources
-(spark.sql.python.filterPushdown.enabled); Spark applies them again, so this is only a saving.
+``filename`` and, with one of these, ``offset`` reach the reader where the session allows pushdown for
+Python sources (spark.sql.python.filterPushdown.enabled); Spark applies them again, so this is only a
+saving. An offset at which no record begins gives no row.
 
 A file is one task, since records can't be found from the middle of it. A plain table of (path,
 offset) makes extraction parallel inside a file: see quarry.operators.archive.extract_all.
@@ -138,8 +139,10 @@ def to_arrow(rows: list[dict[str, Any]]) -> pa.RecordBatch:
 
 
 class FilePartition(InputPartition):
-    def __init__(self, path: str, start: int = 0, limit: int | None = None) -> None:
-        self.path, self.start, self.limit = path, start, limit
+    """A file, or what begins at start; ``pushed`` if a filter and not the caller asked for that."""
+
+    def __init__(self, path: str, start: int = 0, limit: int | None = None, pushed: bool = False) -> None:
+        self.path, self.start, self.limit, self.pushed = path, start, limit, pushed
 
 
 class ArchiveReader(DataSourceReader):
@@ -154,42 +157,50 @@ class ArchiveReader(DataSourceReader):
             yield f  # and again by Spark
 
     def partitions(self) -> Sequence[InputPartition]:
-        start = int(self.equal.get("offset", self.options.get("offset", 0)))
-        one = "offset" in self.equal or "offset" in self.options
-        limit = int(self.options["limit"]) if "limit" in self.options else 1 if one and "offset" in self.equal else None
+        pushed = "offset" in self.equal and "offset" not in self.options and ("path" in self.equal or "filename" in self.equal)
+        start = int(self.equal["offset"] if pushed else self.options.get("offset", 0))
+        limit = int(self.options["limit"]) if "limit" in self.options else 1 if pushed else None
         files = files_below(self.options.get("path") or self.options["paths"])
         if "path" in self.equal:
             files = [f for f in files if f == self.equal["path"]]
         if "filename" in self.equal:
             files = [f for f in files if os.path.basename(f) == self.equal["filename"]]
-        return [FilePartition(f, start, limit) for f in files]
+        return [FilePartition(f, start, limit, pushed) for f in files if not pushed or 0 <= start < os.path.getsize(f)]
 
-    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        failfast = str(self.options.get("mode", "permissive")).lower() == "failfast"
+    def read(self, partition: FilePartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's way to read no partitions
+            return iter(())
+        failfast = str(self.options.get("mode", "permissive")).lower() == "failfast" and not partition.pushed
         policy = str(self.options.get("check_digests", "")).lower()
-        return arrow_batches(rows_of_file(partition.path, reading(self.options), failfast, policy, partition.start, partition.limit))
+        rows = rows_of_file(partition.path, reading(self.options), failfast, policy, partition.start, partition.limit)
+        if partition.pushed:  # no record need begin there
+            rows = (r for r in rows if not r.get("error"))
+        return arrow_batches(rows)
 
 
 class ArchiveStreamReader(DataSourceStreamReader):
-    """New files of a folder in the order they came, each a task; the offset is how many there were."""
+    """New files of a folder, each a task. The offset has the names of the files seen.
+
+    So it is for folders of some thousands of files; quarry.streaming.archives has a stream for any number.
+    """
 
     def __init__(self, options: CaseInsensitiveDict) -> None:
         self.options = dict(options)
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"files": len(self._files())}
-
-    def _files(self) -> list[str]:
-        return sorted(files_below(self.options["path"]), key=lambda f: (os.stat(f).st_mtime_ns, f))
+        return {"files": files_below(self.options["path"])}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return [FilePartition(f) for f in self._files()[start["files"] : end["files"]]]
+        seen = set(start["files"])
+        return [FilePartition(f) for f in end["files"] if f not in seen]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        return arrow_batches(rows_of_file(partition.path, reading(self.options)))
+        failfast = str(self.options.get("mode", "permissive")).lower() == "failfast"
+        policy = str(self.options.get("check_digests", "")).lower()
+        return arrow_batches(rows_of_file(partition.path, reading(self.options), failfast, policy))
 
 
 class Written(WriterCommitMessage):
@@ -198,17 +209,22 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """One file for each task, first hidden, shown when the job commits; rows in the order they come."""
+    """One file for each task, first hidden, shown when the job commits; rows in the order they come.
+
+    Overwriting removes the archives that were there when the job commits, not before. ``job`` names
+    the files; a job of the same name takes the place of what it wrote before. ``mode`` ignore and
+    errorifexists are Spark's.
+    """
 
     def __init__(self, options: CaseInsensitiveDict, overwrite: bool) -> None:
         self.options = dict(options)
         self.folder = local_path(self.options["path"])
         self.gzip = _flag(self.options, "gzip", True)
-        self.job = uuid.uuid4().hex[:12]
-        if overwrite and os.path.isdir(self.folder):
-            for name in os.listdir(self.folder):
-                if name.startswith("part-") and ".warc" in name:
-                    os.remove(os.path.join(self.folder, name))
+        self.overwrite = overwrite
+        self.named = bool(self.options.get("job"))
+        self.job = self.options.get("job") or uuid.uuid4().hex[:12]
+        self.attempt = uuid.uuid4().hex[:8]
+        self.version = self.options.get("warc_version")
         os.makedirs(self.folder, exist_ok=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -216,31 +232,37 @@ class ArchiveWriter(DataSourceArrowWriter):
 
         context = TaskContext.get()
         name = f"part-{context.partitionId():05d}-{self.job}.warc" + (".gz" if self.gzip else "")
-        hidden = os.path.join(self.folder, f"_{name}.{context.taskAttemptId()}")
+        hidden = os.path.join(self.folder, f"_{name}.{self.attempt}-{context.taskAttemptId()}")
         n = 0
         with open(hidden, "wb") as f:
             for batch in iterator:
                 for row in batch.to_pylist():
                     if row.get("error"):
                         continue
-                    data = serialized(plain_row(row))
+                    data = serialized(plain_row(row) | ({"rec_protocol": self.version} if self.version else {}))
                     f.write(gzip_member(data) if self.gzip else data)
                     n += 1
         return Written(hidden, n)
 
     def commit(self, messages: list[Written | None]) -> None:
+        for name in os.listdir(self.folder):
+            if name.startswith("part-") and ".warc" in name and (self.overwrite or self.named and f"-{self.job}.warc" in name):
+                os.remove(os.path.join(self.folder, name))
         for m in messages:
             if m is not None:
                 name = os.path.basename(m.path)[1:].rpartition(".")[0]
                 if m.records:
                     os.replace(m.path, os.path.join(self.folder, name))
-                else:
-                    os.remove(m.path)
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Remove what the job left hidden, failed tasks' files too."""
+        for name in os.listdir(self.folder):
+            if name.startswith("_part-") and f".{self.attempt}-" in name:
+                os.remove(os.path.join(self.folder, name))
 
 
 def plain_row(row: dict[str, Any]) -> dict[str, Any]:

@@ -46,11 +46,11 @@ def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 8, **
 
 
 def write_stream(records: DataFrame, folder: str, checkpoint: str, gzip: bool = True, **trigger: Any) -> StreamingQuery:
-    """Write a stream of records as archive files, a job for each micro-batch."""
+    """Write a stream of records as archive files, a job for each micro-batch; one that is run again takes the place of its first run."""
     from quarry.operators.archive import write
 
-    def each(batch: DataFrame, _: int) -> None:
-        write(batch, folder, gzip)
+    def each(batch: DataFrame, number: int) -> None:
+        write(batch, folder, gzip, job=f"batch{number}")
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -1,7 +1,7 @@
 """Places for intermediate tables.
 
 A cluster names a folder that all its nodes share in ``spark.checkpoint.dir``; everything that must
-outlive an executor goes there. Only where that setting is absent, as in tests, a local folder is set.
+outlive an executor goes there. Only on a local master, as in tests, a local folder may stand in for it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder of this session; also makes it the checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all nodes of {master} share")
         folder = getattr(shared_folder, "own", None)
         if folder is None:
             folder = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="quarry-")

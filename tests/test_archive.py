@@ -237,3 +237,114 @@ def test_workspace(spark):
     assert kept.count() == 3 and workspace.clear(spark) >= 2
     with pytest.raises(Exception):
         spark.read.parquet(kept.inputFiles()[0] if kept.inputFiles() else "gone").count()
+
+
+def test_pushed_offsets_give_no_false_rows(spark, folder):
+    """An offset alone is no place in every file, and one at which no record begins gives no row and raises nothing."""
+    path = str(folder / "in")
+    rows = A.read(spark, path, payload="none").select("filename", "offset").collect()
+    offset = next(r.offset for r in rows if r.filename == "b.warc" and r.offset)
+    want = sorted((r.filename, r.offset) for r in rows if r.offset == offset)
+    assert sorted(map(tuple, A.read(spark, path).filter(F.col("offset") == offset).select("filename", "offset").collect())) == want
+    for mode in ("permissive", "failfast"):
+        for one in ("b.warc", "a.warc.gz"):
+            assert A.read(spark, path, mode=mode).filter((F.col("filename") == one) & (F.col("offset") == 10)).count() == 0
+        assert A.read(spark, path, mode=mode).filter((F.col("filename") == "b.warc") & (F.col("offset") == 10**9)).count() == 0
+
+
+def test_overwriting_removes_at_commit(spark, tmp_path):
+    """A job that fails leaves what was there, and nothing hidden."""
+    from pyspark.sql import DataFrame
+
+    out = str(tmp_path / "out")
+    good = A.read(spark, str(_one(tmp_path)))
+    A.write(good, out)
+    before = sorted(os.listdir(out))
+
+    def broken(batches):
+        yield from batches
+        raise RuntimeError("lost")
+
+    bad: DataFrame = good.mapInArrow(broken, good.schema)
+    with pytest.raises(Exception, match="lost"):
+        A.write(bad, out, mode="overwrite")
+    assert sorted(os.listdir(out)) == before
+    A.write(good.limit(1), out, mode="overwrite")
+    assert A.read(spark, out).count() == 1 and not [f for f in os.listdir(out) if f.startswith("_part")]
+
+
+def _one(tmp_path):
+    (tmp_path / "x.warc.gz").write_bytes(warc(4))
+    return tmp_path / "x.warc.gz"
+
+
+def test_a_job_run_again_takes_the_place_of_its_files(spark, tmp_path):
+    rows = A.read(spark, str(_one(tmp_path)))
+    for n in (4, 2):
+        A.write(rows.repartition(n), str(tmp_path / "out"), job="batch7")
+    A.write(rows, str(tmp_path / "out"), job="batch70")
+    assert A.read(spark, str(tmp_path / "out")).count() == 8
+
+
+def test_stream_of_the_source_knows_files_by_name(spark, tmp_path):
+    """A file with an older time is not missed, and one that is removed shifts nothing."""
+    folder, out, at = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "at")
+    folder.mkdir()
+
+    def run() -> list[str]:
+        from quarry.sources.webarchive import register
+
+        register(spark)
+        q = spark.readStream.format("webarchive").option("payload", "none").load(str(folder)).select("filename").writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(once=True).start()
+        q.awaitTermination()
+        return sorted({r.filename for r in spark.read.parquet(out).collect()})
+
+    (folder / "m.warc.gz").write_bytes(warc(2))
+    (folder / "n.warc.gz").write_bytes(warc(1))
+    assert run() == ["m.warc.gz", "n.warc.gz"]
+    (folder / "m.warc.gz").unlink()
+    (folder / "a.warc.gz").write_bytes(warc(1))
+    os.utime(folder / "a.warc.gz", (1, 1))
+    assert run() == ["a.warc.gz", "m.warc.gz", "n.warc.gz"] and spark.read.parquet(out).count() == 4
+
+
+def test_revisits_with_and_without_digest(spark):
+    """Records without a digest stay, ties and repeated rows too, and null ids do no harm."""
+    h = lambda kind, digest, id_: [{"name": n, "value": v} for n, v in (("WARC-Type", kind), ("WARC-Payload-Digest", digest), ("WARC-Record-ID", id_)) if v]
+    rows = [(k, "response", h("response", d, i), bytearray(b"p")) for k, d, i in ((1, "sha1:A", "a"), (2, "sha1:A", "b"), (2, "sha1:A", "b"), (3, None, "c"), (4, "sha1:B", None), (5, "sha1:B", None))]
+    rows += [(6, "request", h("request", None, None), bytearray(b"q"))] * 2 + [(7, None, None, None)]
+    frame = spark.createDataFrame(rows, f"offset int, rec_type string, rec_headers {HEADERS}, payload binary")
+    got = sorted((r.offset, r.rec_type or "", bytes(r.payload or b"")) for r in A.as_revisits(frame, ["offset"]).collect())
+    assert got == [(1, "response", b"p"), (2, "revisit", b""), (2, "revisit", b""), (3, "response", b"p"), (4, "response", b"p"), (5, "revisit", b""), (6, "request", b"q"), (6, "request", b"q"), (7, "", b"")]
+
+
+def test_late_captures_are_left_out(spark, tmp_path):
+    """A row that comes after the watermark has passed its window is not counted."""
+    folder, out = tmp_path / "in", []
+    schema = f"rec_type string, rec_headers {HEADERS}"
+
+    def put(n: int, *hours: int) -> None:
+        rows = [("response", [{"name": "WARC-Date", "value": f"2020-01-01T{k:02d}:30:00Z"}]) for k in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        counted = captures_by_hour(spark.readStream.schema(schema).parquet(str(folder)), late="1 hour")
+        q = counted.writeStream.outputMode("update").foreachBatch(lambda b, _: out.extend((r.start.hour, r.n) for r in b.collect())).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    put(1, 10, 11, 11)
+    assert sorted(out) == [(10, 1), (11, 2)]
+    put(2, 15)
+    out.clear()
+    put(3, 10, 15)
+    assert out == [(15, 2)]
+
+
+def test_intermediate_tables_need_a_shared_folder(monkeypatch):
+    """Only on a local master is a local folder taken."""
+    from types import SimpleNamespace
+
+    from quarry import workspace
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    spark = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://node:7077"))
+    with pytest.raises(ValueError, match="share"):
+        workspace.shared_folder(spark)

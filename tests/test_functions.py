@@ -130,7 +130,10 @@ def test_uris(spark):
     assert [r.u for r in spark.createDataFrame([(s,) for s in uris], "s string").select(U.repaired_uri("s").alias("u")).collect()] == ["http://a/%20b", "<http://a", "http://a", "<", None]
     rows = spark.createDataFrame([("GET", "/p", "h", 80, 80), ("GET", "/p", "h", 8443, 443), ("GET", "http://o/x", "proxy", 3128, 80), ("CONNECT", "o:443", "proxy", 3128, 80)], "v string, t string, h string, p int, d int")
     got = rows.select(U.request_url("t", "h", "p", "d", "v").alias("r")).select("r.*").collect()
-    assert [tuple(r) for r in got] == [("http://h/p", None), ("https://h:8443/p", None), ("http://o/x", "http://proxy:3128"), ("https://o:443/", "https://proxy:3128")]
+    assert [tuple(r) for r in got] == [("http://h/p", None), ("https://h:8443/p", None), ("http://o/x", "http://proxy:3128"), (None, "https://proxy:3128")]
+    through = spark.createDataFrame([("GET", "/p", "proxy", 3128, 443, "o:443"), ("GET", "/p", "proxy", 3128, 443, "o:8443"), ("GET", "/p", "proxy", 3128, 443, "o"), ("GET", "/p", "h", 443, 443, None)], "v string, t string, h string, p int, d int, c string")
+    got = through.select(U.request_url("t", "h", "p", "d", "v", "c").alias("r")).select("r.*").collect()
+    assert [tuple(r) for r in got] == [("https://o/p", "https://proxy:3128"), ("https://o:8443/p", "https://proxy:3128"), ("https://o/p", "https://proxy:3128"), ("https://h/p", None)]
 
 
 def test_content_columns(spark):
