@@ -114,7 +114,7 @@ def _reading(text: str, model: Model, odd: float) -> bool:
         return False
     found = text.split()
     # one byte for one: function words of few letters outside ASCII can be read as they stand
-    states = _LETTERS if 2 * sum(not w.isascii() for w in found) >= len(found) else _WIDE
+    states = _LETTERS if 2 * sum(not w.isascii() for w in found) >= len(found) else _WIDE if max(map(len, runs)) > 1 else ()
     others: set[str] = set()
     for state, may in states:
         memo = _memo[state]
@@ -133,7 +133,7 @@ _SURE = [(s, may) for s, may in _LETTERS if s[0][0] == "utf-8"]
 def misread(text: str) -> bool:
     """Whether most of a line's runs outside ASCII are UTF-8 that was read as something else."""
     runs = HIGH.findall(text)
-    return len(runs) >= 3 and any(sum(may.issuperset(r) and _undone(r, state, _memo[state]) is not None for r in runs) >= 0.7 * len(runs) for state, may in _SURE)
+    return len(runs) >= 3 and max(map(len, runs)) > 1 and any(sum(may.issuperset(r) and _undone(r, state, _memo[state]) is not None for r in runs) >= 0.7 * len(runs) for state, may in _SURE)
 
 
 def repetition(texts: list[str], least: float = 0.0) -> float:
@@ -177,8 +177,6 @@ def masked(text: str) -> str:
 SLOT = "\0"
 _INNER = re.compile(r"[^\W\d_][/.:@_#][^\W\d_]|[/\\@#_]")
 _EDGES = "\"'“”„«»‘’()[]<>¿¡.,;:!?–—-|…"
-_SLOTS = re.compile(f"{SLOT}(?: {SLOT})+")
-_TWO = f"{SLOT} {SLOT}"
 
 
 class _Masked(dict):
@@ -202,24 +200,24 @@ _masked = _Masked().__getitem__
 EDGE = 4
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str) -> list[str]:
     """A line's words; names, numbers and paths in a row are one slot. A line in capitals has no names."""
-    out = " ".join(filter(None, map(_masked, (text.lower() if text.isupper() else text).split())))
-    return _SLOTS.sub(SLOT, out) if _TWO in out else out
+    out = list(filter(None, map(_masked, (text.lower() if text.isupper() else text).split())))
+    if out.count(SLOT) > 1:
+        return [w for w, before in zip(out, ["", *out]) if w != SLOT or before != SLOT]
+    return out
 
 
-def form_of(codes: str) -> int | None:
+def form_of(words: list[str]) -> int | None:
     """Key of a skeleton with words of its own."""
-    return digest(codes) if codes and codes != SLOT else None
+    return digest(" ".join(words)) if len(words) > 1 or words and words[0] != SLOT else None
 
 
-def edges_of(codes: str) -> list[int]:
+def edges_of(words: list[str]) -> list[int]:
     """Keys of both ends of a longer skeleton: what stands before or after a slot that holds anything."""
-    start = codes.split(" ", EDGE)
-    if len(start) <= EDGE:
+    if len(words) <= EDGE:
         return []
-    ends = ["> " + " ".join(start[:EDGE]), "< " + " ".join(codes.rsplit(" ", EDGE)[1:])]
-    return [digest(x) for x in ends if x.count(SLOT) <= EDGE - 2]
+    return [digest(mark + " ".join(part)) for mark, part in ((">", words[:EDGE]), ("<", words[-EDGE:])) if part.count(SLOT) <= EDGE - 2]
 
 
 def pages_of(contents_: Iterator[str], model: Model) -> Iterator["Page"]:
@@ -470,12 +468,12 @@ def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool =
                 for x, nw, prose, fluent in zip(page.lines, page.words, page.is_prose, page.fluent):
                     if x.link:
                         continue
-                    codes = skeleton(x.bare)
-                    small.update(codes.split(" "))
-                    form = form_of(codes)
+                    skeleton_ = skeleton(x.bare)
+                    small.update(skeleton_)
+                    form = form_of(skeleton_)
                     if form is not None:
                         forms.append({"form": form, "key": digest(x.bare), "words": nw if prose and x.box == of else 0, "fluent": nw if fluent else 0})
-                        edges.update(edges_of(codes))
+                        edges.update(edges_of(skeleton_))
                 row["forms"], row["edges"] = forms, list(edges)
                 if article:
                     small -= sent
