@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import atexit
 import os
 import sys
 import tempfile
@@ -10,6 +11,14 @@ import tempfile
 from quarry import __version__
 
 
+#: What is said of a recompressed file; fixed values, as users look for them.
+FAILED = "Repair Failed"
+DONE = "{n} records read and recompressed to file: {output}"
+REPAIRED, WHOLE = "Compression Errors Found and Fixed!", "No Errors Found!"
+#: What is said of a file that can't be read on; fixed value.
+SKIPPED = "skipping rest of file"
+
+
 def _session():
     from pyspark.sql import SparkSession
 
@@ -19,13 +28,14 @@ def _session():
 
 
 def _inputs(names: list[str]) -> list[str]:
-    """Files; - is standard input, kept in a temporary file."""
+    """Files; - is standard input, kept in a temporary file until the process ends."""
     out = []
     for n in names or ["-"]:
         if n == "-":
             with tempfile.NamedTemporaryFile(delete=False, suffix=".warc") as f:
                 f.write(sys.stdin.buffer.read())
             n = f.name
+            atexit.register(os.unlink, n)
         out.append(os.path.abspath(n))
     return out
 
@@ -38,6 +48,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("inputs", nargs="*")
     p.add_argument("-f", "--fields", default="offset,warc-type,warc-target-uri")
     p.add_argument("-o", "--output")
+    p.add_argument("--folder", help="write the lines from the workers as text files below a new folder, in no order")
     p = sub.add_parser("check")
     p.add_argument("inputs", nargs="+")
     p.add_argument("-v", "--verbose", action="store_true")
@@ -64,12 +75,16 @@ def main(args: list[str] | None = None) -> int:
         try:
             n, repaired = archive.recompress(spark, os.path.abspath(given.filename), given.output)
         except ArchiveError as e:
-            print("Repair Failed" + (f": {e}" if given.verbose else ""), file=sys.stderr)
+            print(FAILED + (f": {e}" if given.verbose else ""), file=sys.stderr)
             return 1
-        print(f"{n} records read and recompressed to file: {given.output}")
-        print("Compression Errors Found and Fixed!" if repaired else "No Errors Found!")
+        print(DONE.format(n=n, output=given.output))
+        print(REPAIRED if repaired else WHOLE)
         return 0
     failed = 0
+    if given.cmd == "index" and given.folder:
+        rows = archive.read(spark, _inputs(given.inputs), arc2warc=True, parse_http=archive.needs_http(given.fields), payload="none", mode="failfast")
+        archive.index_lines(archive.index(rows, given.fields)).write.text(given.folder)
+        return 0
     out = open(given.output, "w") if given.cmd == "index" and given.output else sys.stdout
     for name in _inputs(given.inputs):
         if given.cmd == "index":
@@ -82,7 +97,7 @@ def main(args: list[str] | None = None) -> int:
         shown = False
         for r in rows.coalesce(1).toLocalIterator():
             failed |= r.verdict in ("fail", "error")
-            said = list(r.problems) if r.verdict == "fail" else [r.error, "skipping rest of file"] if r.verdict == "error" else [archive.MESSAGES[r.verdict]] if given.verbose else []
+            said = list(r.problems) if r.verdict == "fail" else [r.error, SKIPPED] if r.verdict == "error" else [archive.MESSAGES[r.verdict]] if given.verbose else []
             if said:
                 if not shown:
                     print(name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import shutil
@@ -21,7 +22,7 @@ from quarry.functions.digests import SIZES, digest_matches, digest_of
 from quarry.functions.headers import add_header, get_header, has_header, header, remove_header, replace_header, status_code
 from quarry.functions.uris import base_name
 from quarry.schema import HEADERS
-from quarry.sources.webarchive import arrow_batches, local_path, plain_row, register, rows_of_file
+from quarry.sources.webarchive import arrow_batches, local_path, plain_row, register, rows_of_file, to_arrow
 
 #: Content types of records by type, and of any other; fixed values.
 CONTENT_TYPES = {
@@ -58,7 +59,8 @@ def read(spark: SparkSession, path: str | Sequence[str], **options: object) -> D
 def write(records: DataFrame, path: str, gzip: bool = True, mode: str = "append", one_file: bool = False, order: Sequence[str] = ("path", "record_id_seq"), **options: str) -> None:
     """Write records as archive files below a folder; one_file keeps all of them in order in one task.
 
-    Options: ``job`` (a name, so that the same job run again takes the place of its files), ``warc_version``.
+    Options: ``job`` (a name, so that the same job run again takes the place of its files),
+    ``warc_version``, ``drop_http_headers`` (names of HTTP headers that are not written).
     """
     register(records.sparkSession)
     rows = records
@@ -194,6 +196,28 @@ def extract_all(places: DataFrame, **options: object) -> DataFrame:
     return places.select("path", "offset").sortWithinPartitions("path", "offset").mapInArrow(part, RECORDS)
 
 
+def parsed_records(rows: DataFrame, data: str = "data", keep: Sequence[str] = (), **options: object) -> DataFrame:
+    """The columns in keep and the first record of the bytes (plain or a gzip member) in a column; null or empty bytes give no row."""
+    from quarry.schema import RECORDS
+
+    workspace.small_batches(rows.sparkSession)
+    chosen = Options(**options)
+    schema = rows.select(*keep).schema.simpleString()[7:-1]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for k, value in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for row in read_records(io.BytesIO(value or b""), chosen, limit=1):
+                    at.append(k)
+                    found.append(row)
+            if found:
+                kept, made = batch.select(list(keep)).take(pa.array(at, pa.int64())), to_arrow(found)
+                yield pa.RecordBatch.from_arrays([*kept.columns, *made.columns], [*keep, *made.schema.names])
+
+    return rows.select(*keep, data).mapInArrow(part, (schema + "," if schema else "") + RECORDS)
+
+
 # -- records -------------------------------------------------------------------------------------
 
 
@@ -214,6 +238,29 @@ def version_name(version: str | float | None) -> str:
     return text if text.startswith("WARC/") else "WARC/" + text
 
 
+def split_http(message: Column | str) -> tuple[Column, Column]:
+    """(struct of protocol, statusline and headers, body) of the bytes of an HTTP message; all of it is head without an empty line."""
+    from quarry.functions.headers import parse_block
+
+    raw = F.col(message) if isinstance(message, str) else message
+    text = F.decode(raw, "ISO-8859-1")
+    at = F.instr(text, "\r\n\r\n")
+    return parse_block(F.when(at > 0, F.substring(text, F.lit(1), at + 1)).otherwise(text)), F.when(at > 0, F.substring(raw, at + 4, F.length(raw))).otherwise(F.lit(b""))
+
+
+def build_http_records(rows: DataFrame, uri: Column, rec_type: str, message: str, **given: object) -> DataFrame:
+    """build_records() of response or request records whose HTTP headers stand at the start of the bytes in a column."""
+    block, body = split_http(message)
+    staged = rows.withColumn("_message", F.explode(F.array(block)))  # parsed once
+    parts = {f"http_{n}": F.col(f"_message.{n}") for n in ("protocol", "statusline", "headers")}
+    return build_records(staged, uri, rec_type, body, **parts, **given)
+
+
+def build_warcinfo(rows: DataFrame, filename: Column, fields: Sequence[tuple[str, Column]], **given: object) -> DataFrame:
+    """warcinfo records that name the file they open, with ``name: value`` lines as their body."""
+    return build_records(rows, F.lit(None).cast("string"), "warcinfo", warcinfo_body(fields), warc_headers=F.array(header("WARC-Filename", filename)), **given)
+
+
 def build_records(
     rows: DataFrame,
     uri: Column,
@@ -402,7 +449,9 @@ def recompress(spark: SparkSession, path: str, output: str) -> tuple[int, bool]:
                         shutil.copyfileobj(f, out)
                     n += sum(1 for _ in rows_of_file(os.path.join(folder, name), Options(payload=False)))
             return n, joined
-        except Exception as e:
+        except Exception as e:  # Spark wraps what its workers raise
+            if not isinstance(e, ArchiveError) and "ArchiveError" not in str(e):
+                raise
             if joined:
                 raise ArchiveError(str(e)) from e
         finally:
@@ -420,17 +469,10 @@ def exchange_records(exchanges: DataFrame, key: str = "exchange_id", version: st
     and optionally connection: exchanges that follow a CONNECT on the same connection go to its host.
     CONNECT itself has no URL and gives no records.
     """
-    from quarry.functions.headers import parse_block
     from quarry.functions.uris import request_url
 
-    def cut(raw: str) -> tuple[Column, Column]:
-        at = F.instr(F.decode(raw, "ISO-8859-1"), "\r\n\r\n")
-        text = F.when(at > 0, F.substring(F.decode(raw, "ISO-8859-1"), F.lit(1), at + 1)).otherwise(F.decode(raw, "ISO-8859-1"))
-        body = F.when(at > 0, F.substring(F.col(raw), at + 4, F.length(raw))).otherwise(F.lit(b""))
-        return parse_block(text), body
-
-    q, q_body = cut("request")
-    r, r_body = cut("response")
+    q, q_body = split_http("request")
+    r, r_body = split_http("response")
     staged = exchanges.select("*", F.explode(F.array(q)).alias("_q")).select("*", F.explode(F.array(r)).alias("_r"))  # parsed once
     target, opens = F.substring_index(F.col("_q.statusline"), " ", 1), F.upper("_q.protocol") == "CONNECT"
     tunnel = F.lit(None).cast("string")

@@ -53,17 +53,24 @@ def _local(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
+_written: dict[tuple[str, str, bool], str] = {}
+
+
 def document_archive(spark: SparkSession, sf_dir: str, gzip: bool, **reading: object) -> DataFrame:
-    """The documents as resource records, written as an archive and read again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    key = F.col("doc_id").cast("string")
-    built = A.build_records(
-        docs, F.concat(F.lit("http://docs.example/"), key), "resource", F.col("text"), F.lit("2020-01-01T00:00:00Z"), key,
-        F.lit("text/plain"), version="WARC/1.0", keep=["doc_id"],
-    )
-    folder = workspace.fresh_path(spark, "archive")
-    A.write(built.drop("doc_id"), _local(folder), gzip)
-    return A.read(spark, _local(folder), **reading)
+    """The documents as resource records, written as an archive (once in a session) and read again."""
+    place = (spark.sparkContext.applicationId, sf_dir, gzip)
+    folder = _written.get(place)
+    if folder is None or not os.path.isdir(folder):
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+        key = F.col("doc_id").cast("string")
+        built = A.build_records(
+            docs, F.concat(F.lit("http://docs.example/"), key), "resource", F.col("text"), F.lit("2020-01-01T00:00:00Z"), key,
+            F.lit("text/plain"), version="WARC/1.0", keep=["doc_id"],
+        )
+        folder = _local(workspace.fresh_path(spark, "archive"))
+        A.write(built.drop("doc_id"), folder, gzip)
+        _written[place] = folder
+    return A.read(spark, folder, **reading)
 
 
 def response_archive(spark: SparkSession, sf_dir: str, gzip: bool = True, **reading: object) -> DataFrame:
@@ -610,3 +617,45 @@ def written_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         A.write(built, folder, job="load1", warc_version="WARC/1.1")
     return A.read(spark, folder, payload="none").select(H.get_header("rec_headers", "WARC-Target-URI").alias("uri"), F.col("rec_protocol").alias("version"))
+
+
+@query("SELECT doc_id, 'http://d.example/' || doc_id AS uri, strlen(coalesce(text, '')) AS length, md5(coalesce(text, '')) AS md5 FROM documents")
+def parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records held as bytes in a column, plain and compressed by turns."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    built = A.build_records(docs, F.concat(F.lit("http://d.example/"), "doc_id"), "resource", F.col("text"), F.lit("2020-01-01T00:00:00Z"), F.col("doc_id"), F.lit("text/plain"), keep=["doc_id"])
+    odd = F.col("doc_id") % 2 == 1
+    data = A.serialized_records(built.filter(odd), keep=["doc_id"]).unionByName(A.serialized_records(built.filter(~odd), True, keep=["doc_id"]))
+    return A.parsed_records(data, keep=["doc_id"]).select("doc_id", H.get_header("rec_headers", "WARC-Target-URI").alias("uri"), "length", F.md5("payload").alias("md5"))
+
+
+@query("""SELECT o_orderkey, 'HTTP/1.1' AS protocol, '200 OK' AS statusline, 'text/x; v=' || o_custkey AS type, CAST(2 AS INT) AS n_headers, CAST(length(o_orderpriority) AS BIGINT) AS length, md5(o_orderpriority) AS md5 FROM orders""")
+def build_http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response records whose HTTP headers are parsed out of the payload."""
+    raw = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/x; v="), F.col("o_custkey"), F.lit("\r\nX-Empty:\r\n\r\n"), F.col("o_orderpriority")).cast("binary")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("message"))
+    built = A.build_http_records(rows, F.concat(F.lit("http://o.example/"), "o_orderkey"), "response", "message", date=F.lit("2020-01-01T00:00:00Z"), identity=F.col("o_orderkey"), keep=["o_orderkey"])
+    return built.select("o_orderkey", F.col("http_protocol").alias("protocol"), F.col("http_statusline").alias("statusline"), H.get_header("http_headers", "content-type").alias("type"), F.size("http_headers").alias("n_headers"), "length", F.md5("payload").alias("md5"))
+
+
+@query("""SELECT batch_no, 'warcinfo' AS type, 'batch-' || batch_no || '.warc.gz' AS filename, CAST(NULL AS VARCHAR) AS uri, 'application/warc-fields' AS content_type,
+          concat('crawl: ', crawl_kind, chr(13), chr(10), CASE WHEN coalesce(operator, '') <> '' THEN 'operator: ' || operator || chr(13) || chr(10) ELSE '' END) AS body FROM batches""")
+def build_warcinfo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A warcinfo record for each batch."""
+    rows = table(spark, sf_dir, "batches")
+    filename = F.concat(F.lit("batch-"), "batch_no", F.lit(".warc.gz"))
+    built = A.build_warcinfo(rows, filename, [("crawl", F.col("crawl_kind")), ("operator", F.col("operator"))], date=F.lit("2020-01-01T00:00:00Z"), identity=F.col("batch_no"), keep=["batch_no"])
+    return built.select("batch_no", F.col("rec_type").alias("type"), H.get_header("rec_headers", "WARC-Filename").alias("filename"), H.get_header("rec_headers", "WARC-Target-URI").alias("uri"), "content_type", F.col("payload").cast("string").alias("body"))
+
+
+@query("""SELECT o_orderkey, 1 AS n_headers, CAST(length('HTTP/1.1 200 OK' || 'X-Kept: ' || o_custkey) + 6 + length(o_orderpriority) AS BIGINT) AS length FROM orders""")
+def write_without_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses written without some of their HTTP headers."""
+    raw = F.concat(F.lit("HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nX-Kept: "), F.col("o_custkey"), F.lit("\r\nset-cookie: b\r\n\r\n"), F.col("o_orderpriority")).cast("binary")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("message"))
+    built = A.build_http_records(rows, F.concat(F.lit("http://o.example/"), "o_orderkey"), "response", "message", date=F.lit("2020-01-01T00:00:00Z"), identity=F.col("o_orderkey"))
+    folder = _local(workspace.fresh_path(spark, "archive"))
+    A.write(built, folder, drop_http_headers="Set-Cookie")
+    got = A.read(spark, folder)
+    key = F.substring_index(H.get_header("rec_headers", "WARC-Target-URI"), "/", -1).cast("bigint").alias("o_orderkey")
+    return got.select(key, F.size("http_headers").alias("n_headers"), "length")

@@ -13,6 +13,7 @@ offset) makes extraction parallel inside a file: see quarry.operators.archive.ex
 from __future__ import annotations
 
 import fnmatch
+import logging
 import os
 import uuid
 from collections.abc import Iterator, Sequence
@@ -27,6 +28,7 @@ from quarry.codec.container import ArchiveError, Options, read_records
 from quarry.codec.serialize import gzip_member, serialized
 from quarry.schema import COLUMNS, RECORDS
 
+_log = logging.getLogger("quarry")
 #: Rows and payload bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -102,8 +104,11 @@ def rows_of_file(path: str, options: Options, failfast: bool = False, digest_pol
             if failfast and row.get("error"):
                 raise ArchiveError(f"{path}: {row['error']}")
             verdict = row.get("digest")
-            if digest_policy == "raise" and verdict and verdict[1]:
-                raise ArchiveError(f"{path}: {verdict[1][0]}")
+            if verdict and verdict[1]:
+                if digest_policy == "raise":
+                    raise ArchiveError(f"{path}: {verdict[1][0]}")
+                if digest_policy == "log":
+                    _log.warning("%s, offset %s: %s", path, row.get("offset"), "; ".join(verdict[1]))
             yield row | {"path": path, "filename": name}
 
 
@@ -225,6 +230,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.job = self.options.get("job") or uuid.uuid4().hex[:12]
         self.attempt = uuid.uuid4().hex[:8]
         self.version = self.options.get("warc_version")
+        self.dropped = {x.strip().lower() for x in self.options.get("drop_http_headers", "").split(",") if x.strip()}
         os.makedirs(self.folder, exist_ok=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -239,11 +245,17 @@ class ArchiveWriter(DataSourceArrowWriter):
                 for row in batch.to_pylist():
                     if row.get("error"):
                         continue
-                    data = serialized(plain_row(row) | ({"rec_protocol": self.version} if self.version else {}))
+                    data = serialized(self._without(plain_row(row)) | ({"rec_protocol": self.version} if self.version else {}))
                     f.write(gzip_member(data) if self.gzip else data)
                     n += 1
         return Written(hidden, n)
 
+    def _without(self, row: dict[str, Any]) -> dict[str, Any]:
+        """A row without the HTTP headers that are not written."""
+        if self.dropped and row.get("http_headers"):
+            row["http_headers"] = [(n, v) for n, v in row["http_headers"] if n.lower() not in self.dropped]
+        return row
+
     def commit(self, messages: list[Written | None]) -> None:
         for name in os.listdir(self.folder):
             if name.startswith("part-") and ".warc" in name and (self.overwrite or self.named and f"-{self.job}.warc" in name):

@@ -206,6 +206,8 @@ def test_command_line(spark, folder, capsysbinary, tmp_path):
     assert capsysbinary.readouterr().out == b"body 0"
     assert main(["index", path, "-f", "offset,warc-type", "-o", str(tmp_path / "i")]) == 0
     assert (tmp_path / "i").read_text().splitlines()[0] == '{"offset": "0", "warc-type": "response"}'
+    assert main(["index", path, path, "-f", "offset,warc-type", "--folder", str(tmp_path / "lines")]) == 0
+    assert spark.read.text(str(tmp_path / "lines")).count() == 10
     assert main(["check", path, "-v"]) == 0
     assert b"no digest to check" in capsysbinary.readouterr().out
     assert main(["recompress", path, str(tmp_path / "r.warc.gz")]) == 0

@@ -104,6 +104,7 @@ def test_header_multimap():
 
 def test_header_encoding():
     assert headers.encode_value("plain; a=b") == "plain; a=b"
+    assert headers.as_text({b"A": "b", "C": b"\xe9"}) == [("A", "b"), ("C", "é")] and headers.as_text([(b"x", b"y")]) == [("x", "y")]
     assert headers.encode_value("/é ü") == "/%C3%A9%20%C3%BC"
     assert headers.encode_value('attachment; filename="é"') == "attachment; filename*=UTF-8''%C3%A9"
     assert headers.encode_value('inline; name=a; filename="é;ü"; x') == "inline; name*=UTF-8''a; filename*=UTF-8''%C3%A9%3B%C3%BC; x"
