@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.pages import columns, contents, page_records, text_lines
-from quarry.llm.residue import settle
+from quarry.llm.residue import demoted
 from quarry.llm.structure import analyse
 
 #: A sentence is a notice if so many pages of its host hold it, and such a share of them.
@@ -40,8 +40,8 @@ def main_lines(records: DataFrame) -> DataFrame:
     site have one path in common like those of any other. A page that lacks the winning path keeps
     its own best container. Repeated records each give their rows; extra input columns are ignored.
     """
-    analysis = analyse(records, with_lines=True)
-    analysis = analysis.join(settle(analysis).demoted, "page", "left_anti")
+    analysis = analyse(records, with_lines=True, with_residue=False)
+    analysis = analysis.drop("forms").join(demoted(analysis), "page", "left_anti")
     wins = winning_paths(analysis).withColumnRenamed("site", "of_site")
     pages = analysis.filter("has_article").join(wins, F.col("site").eqNullSafe(F.col("of_site")), "left")
     at = F.coalesce(F.when(F.exists("lines", lambda x: x["path"] == F.col("win")), F.col("win")), F.col("path"), F.col("win"))

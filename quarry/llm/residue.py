@@ -17,8 +17,6 @@ ends of lines (four words before or after whatever a slot holds) of which the sa
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,45 +37,71 @@ MARKED_GAPS, DIFFERENT = 3, 0.5
 KNOWN_SHARE = 0.5
 
 
-class Settled(NamedTuple):
-    """Pages of the analysis without article (page, record_seq, status, perplexity, normal, demoted, formed, filler, template, n_words, n_again), and pages whose article is none."""
-
-    bare: DataFrame
-    demoted: DataFrame
-
-
 def _lines(pages: DataFrame, *keep: str) -> DataFrame:
     return pages.select(*keep, F.inline("forms"))
 
 
-def settle(analysis: DataFrame) -> Settled:
-    """What pages without an article are, after all pages were compared; written to the shared folder."""
+def _unsure(analysis: DataFrame) -> DataFrame:
+    """page of the pages whose prose is no article without the lines that come again with other values, written."""
     claims = analysis.filter("has_article AND NOT damaged")
     alike = _lines(analysis).groupBy("form").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
     varied = alike.filter((F.col("n") >= TEMPLATE_LINES) & (F.col("low") < F.col("high"))).select("form")
     gone = _lines(claims, "page", "article").filter("words > 0").join(varied, "form", "left_semi").groupBy("page").agg(F.sum("words").alias("gone"), F.max("article").alias("article"))
-    unsure = workspace.written(gone.filter(F.col("article") - F.col("gone") < ARTICLE).select("page"), "unsure")
-    bare = workspace.written(
-        analysis.filter("NOT has_article").drop("lines", "variables", "path").unionByName(claims.join(unsure, "page", "left_semi").drop("lines", "variables", "path")), "bare"
-    )
-    every = F.array_union(F.transform("forms", lambda f: f["form"]), F.col("edges"))
-    asked = bare.select("page", F.explode(every).alias("key"))
+    return workspace.written(gone.filter(F.col("article") - F.col("gone") < ARTICLE).select("page"), "unsure")
+
+
+def _templates(bare: DataFrame, asked: DataFrame, sure: DataFrame) -> DataFrame:
+    """key, differ of the keys asked for (page, key) of bare pages that hardly ever stand on sure ones (key), written."""
     again = asked.groupBy("key").agg(F.count("*").alias("pages"))
     lines = _lines(bare).groupBy(F.col("form").alias("key")).agg(F.count("*").alias("lines"), (F.min("key") < F.max("key")).alias("differ"))
-    sure = analysis.filter("has_article").join(unsure, "page", "left_anti").select(F.explode(every).alias("key"))
     counted = again.join(lines, "key", "left").withColumn("n", F.greatest("pages", F.coalesce("lines", F.lit(0)))).filter(F.col("n") >= TEMPLATE_LINES)
     beside = sure.join(counted.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("beside"))
-    templates = workspace.written(
-        counted.join(beside, "key", "left").filter(F.coalesce("beside", F.lit(0)) <= BESIDE * (F.coalesce("beside", F.lit(0)) + F.col("n"))).select("key", F.coalesce("differ", F.lit(True)).alias("differ")), "templates"
-    )
+    n_beside = F.coalesce("beside", F.lit(0))
+    return workspace.written(counted.join(beside, "key", "left").filter(n_beside <= BESIDE * (n_beside + F.col("n"))).select("key", F.coalesce("differ", F.lit(True)).alias("differ")), "templates")
+
+
+def _lost(pages: DataFrame, differing: DataFrame) -> DataFrame:
+    """page, lost: words of prose in lines of templates."""
+    return _lines(pages, "page").filter("words > 0").join(differing, "form", "left_semi").groupBy("page").agg(F.sum("words").alias("lost"))
+
+
+def _is_demoted() -> F.Column:
+    return F.col("has_article") & (F.col("article") - F.coalesce("lost", F.lit(0)) < ARTICLE)
+
+
+def demoted(analysis: DataFrame) -> DataFrame:
+    """page of the pages whose article is none, as it consists of the lines of templates."""
+    unsure = _unsure(analysis)
+    slim = analysis.select("page", "has_article", "damaged", "article", "forms")
+    doubtful = slim.join(unsure, "page", "left_semi")
+    bare = workspace.written(slim.filter("NOT has_article").unionByName(doubtful), "bare")
+    keys = F.array_distinct(F.transform("forms", lambda f: f["form"]))
+    wanted = _lines(bare.filter("has_article")).filter("words > 0").select(F.col("form").alias("key")).distinct()
+    asked = bare.select("page", F.explode(keys).alias("key")).join(wanted, "key", "left_semi")
+    sure = slim.filter("has_article").join(unsure, "page", "left_anti").select(F.explode(keys).alias("key"))
+    differing = _templates(bare, asked, sure).filter("differ").select(F.col("key").alias("form"))
+    claims = bare.filter("has_article")
+    return claims.join(_lost(claims, differing), "page", "left").filter(_is_demoted()).select("page")
+
+
+def settle(analysis: DataFrame) -> DataFrame:
+    """What pages without an article are, after all pages were compared; written to the shared folder.
+
+    page, record_seq, status, perplexity, normal, demoted, formed, filler, template, keywords, article,
+    n_words, n_again; demoted are pages whose article is none.
+    """
+    unsure = _unsure(analysis)
+    slim = analysis.drop("lines", "variables", "path")
+    bare = workspace.written(slim.filter("NOT has_article").unionByName(slim.join(unsure, "page", "left_semi")), "bare")
+    every = F.array_union(F.transform("forms", lambda f: f["form"]), F.col("edges"))
+    asked = bare.select("page", F.explode(every).alias("key"))
+    sure = analysis.filter("has_article").join(unsure, "page", "left_anti").select(F.explode(every).alias("key"))
+    templates = _templates(bare, asked, sure)
     held = asked.join(templates.select("key"), "key", "left_semi").select("page").distinct().withColumn("template", F.lit(True))
     differing = templates.filter("differ").select(F.col("key").alias("form"))
-    lost = _lines(bare.filter("has_article"), "page").filter("words > 0").join(differing, "form", "left_semi").groupBy("page").agg(F.sum("words").alias("lost"))
     formed = _lines(bare, "page").filter("fluent > 0").join(differing, "form", "left_semi").groupBy("page").agg(F.sum("fluent").alias("formed"))
-    default = filler(analysis, bare)
-    found = bare.join(held, "page", "left").join(lost, "page", "left").join(formed, "page", "left").join(default, "page", "left")
-    demoted = F.col("has_article") & (F.col("article") - F.coalesce("lost", F.lit(0)) < ARTICLE)
-    found = found.filter(~F.col("has_article") | demoted).select(
+    found = bare.join(held, "page", "left").join(_lost(bare.filter("has_article"), differing), "page", "left").join(formed, "page", "left").join(filler(analysis, bare), "page", "left")
+    found = found.filter(~F.col("has_article") | _is_demoted()).select(
         "page",
         "record_seq",
         "status",
@@ -92,8 +116,7 @@ def settle(analysis: DataFrame) -> Settled:
         F.aggregate("uses", F.lit(0), lambda a, u: a + u["n"]).alias("n_words"),
         F.aggregate("uses", F.lit(0), lambda a, u: a + F.when(u["n"] >= AGAIN, u["n"]).otherwise(0)).alias("n_again"),
     )
-    out = workspace.written(found, "settled")
-    return Settled(out, out.filter("demoted").select("page"))
+    return workspace.written(found, "settled")
 
 
 def filler(analysis: DataFrame, bare: DataFrame) -> DataFrame:
@@ -116,7 +139,7 @@ def _again() -> F.Column:
 
 
 def is_residue() -> F.Column:
-    """Whether a settled page is residue: rows of Settled.bare."""
+    """Whether a settled page is residue: rows of settle()."""
     error = F.col("template") | (F.coalesce("status", F.lit(0)) >= 400)
     return F.col("demoted") | F.col("formed") | F.col("filler") | (error & (_again() < KEYWORD_SHARE))
 
@@ -149,7 +172,7 @@ def residue_pages(records: DataFrame) -> DataFrame:
     Null status counts as none; null or empty content gives no row. Repeated records each give their
     row; extra input columns are ignored.
     """
-    analysis = analyse(records, with_variables=True)
+    analysis = analyse(records)
     with_gap = analysis.select("page", "record_seq").join(gaps(analysis), "page", "left_semi").select("record_seq", F.lit("gap").alias("kind"))
     kind = F.when(F.col("filler"), "filler").otherwise("error")
-    return with_gap.unionByName(settle(analysis).bare.filter(is_residue()).select("record_seq", kind.alias("kind")))
+    return with_gap.unionByName(settle(analysis).filter(is_residue()).select("record_seq", kind.alias("kind")))

@@ -22,6 +22,6 @@ def spam_pages(records: DataFrame) -> DataFrame:
     Empty pages and pages of a few words are none. Null headers, sites or content give no row.
     Repeated records each give a row; extra input columns are ignored.
     """
-    analysis = analyse(records, with_variables=True)
-    found = settle(analysis).bare.filter(is_spam()).join(gaps(analysis), "page", "left_anti")
+    analysis = analyse(records)
+    found = settle(analysis).filter(is_spam()).join(gaps(analysis), "page", "left_anti")
     return found.selectExpr("record_seq", "keywords AS n_keywords", "article AS n_prose", "perplexity")

@@ -161,18 +161,6 @@ def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-NAME = re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-ÞĀ-ſА-ЯЁ][\w'’-]*(?:\s+[A-ZÀ-ÖØ-ÞА-ЯЁŁŚŻŹĆŃĘĄÓ][\w'’-]*)*")
-NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
-
-
-def masked(text: str) -> str:
-    """A line with numbers, dates and names set aside. Of a line in capitals only the numbers are."""
-    text = NUMBER.sub("0", text)
-    if not text.isupper():
-        text = NAME.sub("N", text)
-    return text.lower()
-
-
 #: A slot: a name, a number, a path, an address.
 SLOT = "\0"
 _INNER = re.compile(r"[^\W\d_][/.:@_#][^\W\d_]|[/\\@#_]")
@@ -334,8 +322,8 @@ _DATE_LIKE = re.compile(r"\d{4}-\d\d-\d\d|\b\d{1,2}[./]\d{1,2}[./]\d{4}\b|\b\d{1
 BODY_ITSELF = "body"
 
 
-def body_lines(page: Page, n: list[int]) -> list[tuple[int, str, int | None, int | None]]:
-    """(line_no, path, key, template) of lines that may belong to a main body.
+def body_lines(page: Page, n: list[int], known: dict[int, int | None]) -> list[tuple[int, str, int | None, int | None]]:
+    """(line_no, path, key, template) of lines that may belong to a main body; ``known`` has keys of skeletons by number of the line.
 
     Key and template are null for lines that need no comparison with the other pages of the site:
     a paragraph that ends like a sentence may still be one of the site's notices.
@@ -352,7 +340,8 @@ def body_lines(page: Page, n: list[int]) -> list[tuple[int, str, int | None, int
             if nw > NOTICE_WORDS:
                 out.append((x.no, path, None, None))
             else:
-                out.append((x.no, path, digest(x.text.lower()), digest(masked(x.text))))
+                form = known[x.no] if x.no in known else form_of(skeleton(x.bare))
+                out.append((x.no, path, digest(x.text.lower()), 0 if form is None else form))
     return out
 
 
@@ -433,15 +422,17 @@ def _uses(page: Page) -> list[dict]:
     return [{"word": digest(w), "n": n, "small": w in small} for w, n in found.items()]
 
 
-def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool = False) -> DataFrame:
+def analyse(records: DataFrame, with_lines: bool = False, with_residue: bool = True) -> DataFrame:
     """One row of counts for each page, written to the shared folder.
 
     ``page`` numbers the rows, as a record may come twice. ``forms`` has the lines outside of links: the key of their skeleton, that of their text, the
     words of prose they give to the article, and those of normal perplexity; ``normal`` is whether the
     perplexity of a page without an article is that of prose and its text does not foretell itself by
     repetition; ``edges`` the ends of the skeletons, and ``uses`` the words
-    (of a page with an article only those in lower case outside of links that its worker has not sent before). ``with_lines`` adds the
-    lines that may be main body, ``with_variables`` what stands between marks.
+    (of a page with an article only those in lower case outside of links that its worker has not sent before). ``variables`` is
+    what stands between marks. Without ``with_residue`` edges, uses and variables are empty, and forms
+    has only lines that may be prose.
+    ``with_lines`` adds the lines that may be main body.
     """
     pages = page_records(records, F.expr("try_cast(split_part(http_statusline, ' ', 1) AS int) AS status"))
     model = prose_model(pages)
@@ -454,35 +445,38 @@ def analyse(records: DataFrame, with_lines: bool = False, with_variables: bool =
             rows = []
             for (seq, site, status), page in zip(columns(batch, "record_seq", "site", "status"), pages_of(contents(batch), m)):
                 article, beside = page.has_article, page.beside
-                odd = None if article else page.perplexity(m)
+                odd = page.perplexity(m) if with_residue and not article else None
                 best = BODY_ITSELF if beside else next((x.path for x in page.lines if x.box == page.best and x.path), None) if page.article else None
                 n_pages += 1
                 row = {"page": n_pages, "record_seq": seq, "site": site, "status": status, "has_article": article, "damaged": page.damaged >= ARTICLE, "article": page.loose if beside else page.article}
                 row |= {"total": page.total, "keywords": page.keywords, "perplexity": odd, "normal": odd is None or (not page.stuffed and m.low <= odd <= m.high), "path": best, "lines": None, "variables": None}
-                if with_lines and article:
-                    row["lines"] = [dict(zip(("no", "path", "key", "template"), x)) for x in body_lines(page, page.words)]
                 of = 0 if beside else page.best
                 forms: list[dict] = []
                 edges: set[int] = set()
                 small: set[str] = set()
+                known: dict[int, int | None] = {}
                 for x, nw, prose, fluent in zip(page.lines, page.words, page.is_prose, page.fluent):
-                    if x.link:
+                    if x.link or not (with_residue or fluent or prose):
                         continue
                     skeleton_ = skeleton(x.bare)
-                    small.update(skeleton_)
-                    form = form_of(skeleton_)
+                    if with_residue:
+                        small.update(skeleton_)
+                    known[x.no] = form = form_of(skeleton_)
                     if form is not None:
                         forms.append({"form": form, "key": digest(x.bare), "words": nw if prose and x.box == of else 0, "fluent": nw if fluent else 0})
-                        edges.update(edges_of(skeleton_))
-                row["forms"], row["edges"] = forms, list(edges)
-                if article:
+                        if with_residue:
+                            edges.update(edges_of(skeleton_))
+                row["forms"], row["edges"], row["uses"] = forms, list(edges), []
+                if with_lines and article:
+                    row["lines"] = [dict(zip(("no", "path", "key", "template"), x)) for x in body_lines(page, page.words, known)]
+                if article and with_residue:
                     small -= sent
                     if len(sent) < REMEMBERED:
                         sent |= small
                     row["uses"] = [{"word": digest(w), "n": 1, "small": True} for w in small]
-                else:
+                elif with_residue:
                     row["uses"] = _uses(page)
-                if with_variables:
+                if with_residue:
                     row["variables"] = [dict(zip(("wrap", "name", "sure"), v)) for x in page.lines if _MARK.search(x.bare) for v in variables(x.bare)]
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, ANALYSIS)
