@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry import workspace
 from quarry.llm.pages import columns, contents, page_records, text_lines
 from quarry.llm.residue import demoted
 from quarry.llm.structure import analyse
@@ -42,7 +43,8 @@ def main_lines(records: DataFrame) -> DataFrame:
     """
     analysis = analyse(records, with_lines=True, with_residue=False)
     analysis = analysis.drop("forms").join(demoted(analysis), "page", "left_anti")
-    wins = winning_paths(analysis).withColumnRenamed("site", "of_site")
+    # written, so that its size is known: line arrays are shuffled by site only if there are too many sites to send
+    wins = workspace.written(winning_paths(analysis), "wins").withColumnRenamed("site", "of_site")
     pages = analysis.filter("has_article").join(wins, F.col("site").eqNullSafe(F.col("of_site")), "left")
     at = F.coalesce(F.when(F.exists("lines", lambda x: x["path"] == F.col("win")), F.col("win")), F.col("path"), F.col("win"))
     kept = pages.withColumn("at", at).select(

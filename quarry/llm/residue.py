@@ -70,7 +70,7 @@ def _is_demoted() -> F.Column:
 
 
 def demoted(analysis: DataFrame) -> DataFrame:
-    """page of the pages whose article is none, as it consists of the lines of templates."""
+    """page of the pages whose article is none, as it consists of the lines of templates; written."""
     unsure = _unsure(analysis)
     slim = analysis.select("page", "has_article", "damaged", "article", "forms")
     doubtful = slim.join(unsure, "page", "left_semi")
@@ -81,7 +81,7 @@ def demoted(analysis: DataFrame) -> DataFrame:
     sure = slim.filter("has_article").join(unsure, "page", "left_anti").select(F.explode(keys).alias("key"))
     differing = _templates(bare, asked, sure).filter("differ").select(F.col("key").alias("form"))
     claims = bare.filter("has_article")
-    return claims.join(_lost(claims, differing), "page", "left").filter(_is_demoted()).select("page")
+    return workspace.written(claims.join(_lost(claims, differing), "page", "left").filter(_is_demoted()).select("page"), "demoted")
 
 
 def settle(analysis: DataFrame) -> DataFrame:
