@@ -331,27 +331,28 @@ def as_revisits(records: DataFrame, order: Sequence[Column | str], version: str
     """Responses whose payload digest came before become revisits of the first one; other records stay as they are.
 
     The first of a digest is found by an aggregate over the few columns it needs, not by a window, so
-    that a digest of a third of all rows is no task of its own. Payloads move only once, spread evenly
-    by the records' places, and those of records without a digest not at all. Ties go by the record id.
+    that a digest of a third of all rows is no task of its own. The digests that come again are written
+    first, so that their size is known: if it is small, no payload is shuffled. Else records without a
+    digest are spread by their places instead of sharing a key. Ties go by the record id.
     """
     digest = get_header("rec_headers", "WARC-Payload-Digest")
     place = F.struct(*order, get_header("rec_headers", "WARC-Record-ID").alias("_id"))
     marked = records.withColumn("_digest", F.when(F.col("rec_type") == "response", digest)).withColumn("_place", place)
-    slim = marked.filter("_digest IS NOT NULL").select("_digest", "_place", F.struct(get_header("rec_headers", "WARC-Target-URI").alias("uri"), get_header("rec_headers", "WARC-Date").alias("date")).alias("_own"))
-    firsts = slim.groupBy("_digest").agg(F.min("_place").alias("_first"), F.min_by("_own", "_place").alias("_of"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    later = slim.select("_digest", "_place").join(firsts, "_digest").filter("_place > _first").select(F.col("_place").alias("_again"), "_of").distinct()
+    own = F.struct(get_header("rec_headers", "WARC-Target-URI").alias("uri"), get_header("rec_headers", "WARC-Date").alias("date"))
+    firsts = marked.filter("_digest IS NOT NULL").select("_digest", "_place", own.alias("_own")).groupBy("_digest").agg(F.min("_place").alias("_first"), F.min_by("_own", "_place").alias("_of"), F.count("*").alias("_n"))
+    again = workspace.written(firsts.filter("_n > 1").select(F.col("_digest").alias("_key"), "_first", "_of"), "firsts")
+    key = F.coalesce("_digest", F.concat(F.lit("\0"), F.xxhash64("_place").cast("string")))
+    is_later = F.coalesce(F.col("_place") > F.col("_first"), F.lit(False))
     kept = replace_header(remove_header(remove_header("rec_headers", "WARC-Payload-Digest"), "WARC-Block-Digest"), "WARC-Type", "revisit")
     more = F.array(*revisit_headers(F.col("_digest"), F.col("_of.uri"), F.col("_of.date"), version))
-    again = F.col("_of").isNotNull()
-    changed = (
-        marked.filter("_digest IS NOT NULL")
-        .join(later, F.col("_place").eqNullSafe(F.col("_again")), "left")
-        .withColumn("rec_headers", F.when(again, F.concat(kept, more)).otherwise(F.col("rec_headers")))
-        .withColumn("rec_type", F.when(again, "revisit").otherwise(F.col("rec_type")))
-        .withColumn("payload", F.when(again, F.lit(b"")).otherwise(F.col("payload")))
-        .drop("_digest", "_place", "_again", "_of")
+    return (
+        marked.withColumn("_key", key)
+        .join(again, "_key", "left")
+        .withColumn("rec_headers", F.when(is_later, F.concat(kept, more)).otherwise(F.col("rec_headers")))
+        .withColumn("rec_type", F.when(is_later, "revisit").otherwise(F.col("rec_type")))
+        .withColumn("payload", F.when(is_later, F.lit(b"")).otherwise(F.col("payload")))
+        .drop("_key", "_digest", "_place", "_first", "_of")
     )
-    return marked.filter("_digest IS NULL").drop("_digest", "_place").unionByName(changed)
 
 
 def resolved_revisits(records: DataFrame) -> DataFrame:
